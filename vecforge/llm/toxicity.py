@@ -5,9 +5,10 @@ A linear-time scan finds every maximal segment of positive total in a document;
 one scale by extreme-value statistics fitted to clean documents (Gumbel tail, Karlin-Altschul sum statistic), and
 an isotonic curve turns that into a probability. The scan covers the whole text.
 
-Bounds: features are hashed to ``2**FEATURE_BITS`` buckets and only significant ones reach the tasks; labels are
-joined as a broadcast of at most about ``MAX_LABELS`` rows, a hash sample when there are more; corpus text is never
-shuffled. Repeated words within a document count once.
+Bounds: features are 32-bit hashes and only significant ones leave the shuffle; labels are joined as a broadcast of
+at most about ``MAX_LABELS`` rows, a hash sample when there are more; corpus text is never shuffled. Repeated words
+within a document count once, and training documents with the same smallest shingle hash (copies and most near
+copies) share the weight of one, so that a large group of copies doesn't make its rare words look toxic.
 
 Defined results: a null or empty text has no segment and gets the score of a clean document; a document labelled
 twice counts as toxic if either says so; rows with a null id or label do not train; rows with a null id are left
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 from vecforge.llm import calibration
 from vecforge.llm.common import as_bytes, record_batch, stored
 
-FEATURE_BITS = 20
+SHINGLE = 3
+FLUSH = 400_000
 MAX_LABELS = 400_000
 PREFIXES = (4, 5, 6)
 PRIOR = 0.5
-PRIOR_MASS = 1000.0
+PRIOR_SHARE = 0.01
 LEAST_Z = 3.3
+LEAST_DELTA = 2.0
 MOST = 8.0
 DRIFT = 0.25
 CACHE = 300_000
@@ -61,9 +64,8 @@ def words(text: bytes) -> list[bytes]:
 
 def buckets(word: bytes) -> tuple[int, ...]:
     """The word's own bucket and those of its prefixes."""
-    mask = (1 << FEATURE_BITS) - 1
     parts = [b"=" + word, *(word[:n] for n in PREFIXES if len(word) > n)]
-    return tuple(xxhash.xxh32_intdigest(p) & mask for p in parts)
+    return tuple(xxhash.xxh32_intdigest(p) for p in parts)
 
 
 class _Cached(dict):
@@ -111,6 +113,8 @@ def evidence(totals: list[float], n_words: int, lam: float, k: float) -> float:
     best, total = LOW, 0.0
     for r, s in enumerate(sorted(totals, reverse=True)[:64], 1):
         total += lam * s - shift
+        if r > 1 and total <= r * (r + 1):  # the tail formula holds above that only
+            break
         best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r))
     return float(min(max(best, LOW), HIGH))
 
@@ -134,25 +138,52 @@ def calibrates() -> Column:
     return F.pmod(F.xxhash64("_id", F.lit("calibrate")), F.lit(4)) == 0
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        low = []
+        for text in as_bytes(b.column(2)):
+            own = words(text)
+            low.append(min((xxhash.xxh64_intdigest(b" ".join(own[i : i + SHINGLE])) for i in range(max(len(own) - SHINGLE + 1, 1))), default=0))
+        yield record_batch(_id=b.column(0), label=b.column(1), sketch=np.array(low, np.uint64).view(np.int64))
+
+
+def weighted(rows: DataFrame) -> DataFrame:
+    """(_id, label, weight): documents of one label with the same smallest shingle hash weigh one together."""
+    sketched = stored(rows.select("_id", "label", "text").mapInArrow(_sketch, "_id long, label double, sketch long"), "toxic-sketch")
+    n = sketched.groupBy("label", "sketch").agg((1 / F.count("*")).alias("weight"))
+    return sketched.join(n, ["label", "sketch"]).groupBy("_id").agg(F.max("label").alias("label"), F.max("weight").alias("weight"))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros((2, 1 << FEATURE_BITS), np.int32)
+    sums: tuple[dict[int, float], dict[int, float]] = ({}, {})
     cache = _Cached(buckets)
+
+    def out():
+        keys = list(sums[0].keys() | sums[1].keys())
+        for i in range(0, len(keys), 1 << 16):
+            part = keys[i : i + (1 << 16)]
+            yield record_batch(bucket=pa.array(part, pa.int64()), clean=pa.array([sums[0].get(k, 0.0) for k in part], pa.float64()), toxic=pa.array([sums[1].get(k, 0.0) for k in part], pa.float64()))
+        sums[0].clear()
+        sums[1].clear()
+
     for b in batches:
-        for text, label in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-            found = {i for w in set(words(text)) for i in cache[w]}
-            n[int(label > 0), np.fromiter(found, np.int64, len(found))] += 1
-    at = np.flatnonzero(n.any(axis=0))
-    for i in range(0, len(at), 1 << 16):
-        part = at[i : i + (1 << 16)]
-        yield record_batch(bucket=part.astype(np.int32), clean=n[0, part].astype(np.int64), toxic=n[1, part].astype(np.int64))
-
-
-def log_odds(counts: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
-    """(bucket, delta) of the buckets that are significantly more frequent in toxic documents."""
-    prior = PRIOR + PRIOR_MASS * (F.col("clean") + F.col("toxic")) / (n_clean + n_toxic) / (1 << FEATURE_BITS)
+        for text, label, weight in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            own = sums[int(label > 0)]
+            for k in {i for w in set(words(text)) for i in cache[w]}:
+                own[k] = own.get(k, 0.0) + weight
+            if len(own) > FLUSH:
+                yield from out()
+    yield from out()
+
+
+def log_odds(counts: DataFrame, n_clean: float, n_toxic: float) -> DataFrame:
+    """(bucket, delta) of the features that are significantly more frequent in toxic documents.
+
+    The prior of a feature is a constant and a small share of its count in all training documents."""
+    prior = PRIOR + PRIOR_SHARE * (F.col("clean") + F.col("toxic")) / 2
     t, c = F.col("toxic") + prior, F.col("clean") + prior
-    delta = F.log(t / (n_toxic + 2 * prior - t + 1)) - F.log(c / (n_clean + 2 * prior - c + 1))
-    return counts.withColumn("delta", delta).where((F.col("delta") > 0) & (F.col("delta") / F.sqrt(1 / t + 1 / c) >= LEAST_Z)).select("bucket", F.least("delta", F.lit(MOST)).alias("delta"))
+    delta = F.log(t / (n_toxic + 2 * prior - t)) - F.log(c / (n_clean + 2 * prior - c))
+    return counts.withColumn("delta", delta).where((F.col("delta") >= LEAST_DELTA) & (F.col("delta") / F.sqrt(1 / t + 1 / c) >= LEAST_Z)).select("bucket", F.least("delta", F.lit(MOST)).alias("delta"))
 
 
 def _scorer(model: Model):
@@ -184,13 +215,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """Learn from the rows of ``labels``; hold rows out by not giving them."""
     given = stored(bounded_labels(labels, label, id_col, bound), "labels")
     rows = labelled(docs, given, id_col, text_col)
+    learn = stored(weighted(rows.where(~calibrates())), "toxic-weights")
+    n_toxic, n_clean = learn.agg(F.sum(F.col("label") * F.col("weight")), F.sum((1 - F.col("label")) * F.col("weight"))).first()
     n, toxic = given.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if not n or not 0 < toxic < n:
+    if not n_toxic or not n_clean:
         return Model(base=toxic / n if n else 0.5)
-    learn = rows.where(~calibrates())
-    counts = learn.select("text", "label").mapInArrow(_count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n_toxic, n_clean = given.where(~calibrates()).agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0.0))).first()
-    weights = {r.bucket: r.delta for r in log_odds(counts, int(n_clean), int(n_toxic)).collect()}
+    counts = labelled(docs, learn, id_col, text_col).select("text", "label", "weight").mapInArrow(_count, "bucket long, clean double, toxic double").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    weights = {r.bucket: r.delta for r in log_odds(counts, n_clean, n_toxic).collect()}
     kept = stored(raw_scores(rows.where(calibrates()), Model(weights)), "toxic-calibration")
     over, excess, exposed = kept.where("label = 0").agg(F.sum((F.col("top") > 0).cast("double")), F.sum("top"), F.sum("n_words")).first()
     # above zero the tail of clean documents is exponential: the mean gives lambda, their share gives K
