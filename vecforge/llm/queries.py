@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecforge.llm import mixing, quality, sharding, simhash, toxicity
+from vecforge.llm import ann, embedding_dedup, mixing, packing, quality, repair, sharding, simhash, substring_dedup, toxicity
 
 SHARDS = 40
+WORD_VOCABULARY = 49_408
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,27 @@ def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.positions(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.removed(_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op6_iterative_quantisation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def op7_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = repair.stored_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), WORD_VOCABULARY)
+    return repair.read_checksums(spark, path, WORD_VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
+def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(_fold("doc_id", 3) != 1)
@@ -47,8 +70,25 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (_fold("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_simhash_deletion_variants, op3_quality_fourier_features, op4_poisson_mixing, op9_toxic_segments)}
+    own = (
+        op1_hilbert_shards,
+        op2_simhash_deletion_variants,
+        op3_quality_fourier_features,
+        op4_poisson_mixing,
+        op5_suffix_array_dedup,
+        op6_iterative_quantisation_dedup,
+        op7_repair_token_shards,
+        op8_sum_of_squares_packing,
+        op9_toxic_segments,
+        op10_multi_index_neighbours,
+    )
+    return {f.__name__: f for f in own}
 
 
 _OP4 = f"""

@@ -5,8 +5,8 @@ differ by at most one bit in one of them, so they share a segment in which one b
 distinct fingerprint is indexed under its 64 one-wildcard variants, equal keys meet in a shuffle, and each
 meeting is verified on all 64 bits.
 
-Skew: copies share a fingerprint and are one row before the index is built. A key with more than ``BLOCK``
-distinct fingerprints is cut into blocks, and pairs of blocks are compared as rows of their own. A bucket
+Skew: copies share a fingerprint and are one row before the index is built. A key with more than
+``hamming.BLOCK`` distinct fingerprints is cut into blocks, and pairs of blocks are compared as rows of their own. A bucket
 gives a spanning forest of its links, never all its pairs.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, linked like any other;
@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import as_bytes, connected_components, n_partitions, popcount, record_batch, sorted_runs, stored
+from vecforge.llm.common import as_bytes, connected_components, record_batch, stored
+from vecforge.llm.hamming import links
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 SEGMENT = 32
-BLOCK = 1024
 #: For each byte value its eight bits, one in each byte of a 64-bit word.
 _LANES = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8).view(np.uint64).ravel()
 
@@ -67,81 +67,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").mapInArrow(run, "id long, fp long")
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = b.column(0).to_numpy().view(np.uint64)
-        for at in range(0, len(fps), 1 << 12):
-            part = fps[at : at + (1 << 12)]
-            keys = [(part >> np.uint64(s * SEGMENT)) & np.uint64(0xFFFFFFFF) & ~np.uint64(1 << i) | np.uint64((s * SEGMENT + i) << 32) for s in range(64 // SEGMENT) for i in range(SEGMENT)]
-            yield record_batch(key=np.concatenate(keys).view(np.int64), fp=np.tile(part, len(keys)).view(np.int64))
-
-
-def _forest(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is linked: within ``a``, or between ``a`` and ``b``."""
-    x = a if b is None else np.concatenate([a, b])
-    near = popcount(x[:, None] ^ x[None, :]) <= MAX_BITS
-    if b is not None:
-        near[: len(a), : len(a)] = near[len(a) :, len(a) :] = False
-        np.fill_diagonal(near, True)
-    label = np.arange(len(x))
-    while True:
-        new = np.where(near, label, len(x)).min(axis=1)
-        if (new == label).all():
-            break
-        label = new
-    far = label != np.arange(len(x))
-    return x[far], x[label[far]]
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within a key's block, and the blocks of keys that have more than one."""
-    us: list[np.ndarray] = []
-    vs: list[np.ndarray] = []
-    n = 0
-
-    def links(us, vs):
-        u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
-        return record_batch(u=u, v=v, key=pa.nulls(len(u), pa.int64()), block=pa.nulls(len(u), pa.int32()), fps=pa.nulls(len(u), pa.binary()))
-
-    for key, block, cols in sorted_runs(batches, "key", BLOCK):
-        fps = cols["fp"].view(np.uint64)
-        if block or len(fps) == BLOCK:
-            none = pa.nulls(1, pa.int64())
-            yield record_batch(u=none, v=none, key=pa.array([key], pa.int64()), block=pa.array([block], pa.int32()), fps=pa.array([fps.tobytes()], pa.binary()))
-        if len(fps) > 1:
-            u, v = _forest(fps)
-            if len(u):
-                us.append(u)
-                vs.append(v)
-                n += len(u)
-        if n > 1 << 15:
-            yield links(us, vs)
-            us, vs, n = [], [], 0
-    if us:
-        yield links(us, vs)
-
-
-def _blocks_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            u, v = _forest(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-            yield record_batch(u=u.view(np.int64), v=v.view(np.int64))
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(u, v) fingerprints whose links join all fingerprints at most three bits apart; ``fps`` has a column fp."""
-    n = n_partitions(fps.sparkSession)
-    index = fps.select("fp").distinct().mapInArrow(_variants, "key long, fp long")
-    met = stored(index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "u long, v long, key long, block int, fps binary"), "simhash-met")
-    blocks = met.where("block is not null").select("key", "block", "fps")
-    across = blocks.alias("a").join(blocks.alias("b"), F.expr("a.key = b.key and a.block < b.block")).select("a.fps", F.col("b.fps").alias("other"))
-    return met.where("u is not null").select("u", "v").union(across.mapInArrow(_blocks_meet, "u long, v long"))
+def variants(fps: np.ndarray) -> list[np.ndarray]:
+    """The index keys of fingerprints: each segment with each of its bits as a wildcard."""
+    low = np.uint64((1 << SEGMENT) - 1)
+    return [(fps >> np.uint64(s * SEGMENT)) & low & ~np.uint64(1 << i) | np.uint64((s * SEGMENT + i) << 32) for s in range(64 // SEGMENT) for i in range(SEGMENT)]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long, component_id) for each row with an id: the smallest id reachable over links, itself included."""
     fps = stored(fingerprints(docs, id_col, text_col), "simhash")
-    roots = connected_components(links(fps)).select(F.col("id").alias("fp"), "root")
+    roots = connected_components(links(fps.select(F.col("fp").alias("code")), variants, MAX_BITS)).select(F.col("id").alias("fp"), "root")
     classes = fps.groupBy("fp").agg(F.min("id").alias("low")).join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     classes = stored(classes, "simhash-classes")
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
