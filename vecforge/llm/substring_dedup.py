@@ -145,11 +145,13 @@ def _copies(known: dict[tuple[int, int], int]) -> pa.RecordBatch:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, becomes digest, bytes, and compressed text."""
     pack = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        texts = as_bytes(b.column(1))
+        texts = as_bytes(b.column(b.num_columns - 1))
         doc = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
-        yield record_batch(id=b.column(0), doc=_signed(doc), size=pa.array([len(t) for t in texts], pa.int64()), packed=pa.array([pack.compress(t) for t in texts], pa.binary()))
+        new = {"doc": _signed(doc), "size": pa.array([len(t) for t in texts], pa.int64()), "packed": pa.array([pack.compress(t) for t in texts], pa.binary())}
+        yield record_batch(**dict(zip(b.schema.names[:-1], b.columns[:-1], strict=True)), **new)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     contexts = several.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "size", "at")).alias("one"))
     contexts = stored(contexts.select("h", "c", "n", "one.*"), "contexts")
     wanted = contexts.groupBy("doc", "size").agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("wanted"))
-    packed = texts.select(F.lit(0).cast("long").alias("id"), "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_digests, "id long, doc long, size long, packed binary")
+    packed = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_digests, "doc long, size long, packed binary")
     distinct = packed.groupBy("doc", "size").agg(F.first("packed").alias("packed"))
     units = distinct.join(wanted, ["doc", "size"]).select("packed", "wanted").mapInArrow(_units, "h long, c long, unit long, core long, left binary, right binary, n long")
     units = stored(units, "units")
@@ -263,6 +265,27 @@ def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def whole_characters(text: bytes, own: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches without the UTF-8 characters that they hold in part."""
+
+    def start(i: int, step: int) -> int:
+        while i < len(text) and text[i] & 0xC0 == 0x80:
+            i += step
+        return i
+
+    return [(b, e) for a, z in own if (b := start(a, 1)) < (e := start(z, -1))]
+
+
+def _with_windows(docs: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The columns to keep, size, packed text and windows of each row with an id."""
+    own = docs.where(F.col(id_col).isNotNull())
+    grouped = repeated_windows(own, text_col).groupBy("doc", "size").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
+    columns = [F.col(c).alias(f"keep_{c}") for c in keep]
+    fields = "".join(f"`keep_{c}` {dict(docs.dtypes)[c]}, " for c in keep)
+    packed = own.select(*columns, F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, f"{fields}doc long, size long, packed binary")
+    return packed.join(grouped, ["doc", "size"], "left").select(*[f"`keep_{c}`" for c in keep], "size", "packed", "windows")
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans, kept, kept_sha256) for each row with an id; spans: [begin, end) removed; kept: what is left."""
 
@@ -273,18 +296,35 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for packed, windows in zip(b.column("packed").to_pylist(), b.column("windows").to_pylist(), strict=True):
                 text = unpack.decompress(packed)
                 own = spans([(w["first"], w["last"]) for w in windows or ()])
-                edges = [0, *(x for s in own for x in s), len(text)]
-                kept = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
+                rest.append(without(text, own))
                 gone.append([{"begin": a, "end": z} for a, z in own])
-                rest.append(kept)
-                sums.append(hashlib.sha256(kept).hexdigest())
+                sums.append(hashlib.sha256(rest[-1]).hexdigest())
             yield record_batch(
-                id=b.column("id"), n_bytes=b.column("size"), spans=pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), kept=pa.array(rest, pa.binary()), kept_sha256=pa.array(sums, pa.string())
+                id=b.column(0).cast(pa.int64()), n_bytes=b.column("size"), spans=pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), kept=pa.array(rest, pa.binary()), kept_sha256=pa.array(sums, pa.string())
             )
 
-    own = docs.where(F.col(id_col).isNotNull())
-    found = repeated_windows(own, text_col)
-    grouped = found.groupBy("doc", "size").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
-    packed = own.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, "id long, doc long, size long, packed binary")
-    joined = packed.join(grouped, ["doc", "size"], "left").select("id", "size", "packed", "windows")
+    joined = _with_windows(docs, [id_col], id_col, text_col)
     return joined.mapInArrow(cut, "id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string")
+
+
+def without(text: bytes, own: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for s in own for x in s), len(text)]
+    return b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with an id, repeated passages cut from the text at whole characters; a null text becomes empty."""
+    keep = [c for c in docs.columns if c != text_col]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            texts = []
+            for packed, windows in zip(b.column("packed").to_pylist(), b.column("windows").to_pylist(), strict=True):
+                text = unpack.decompress(packed)
+                texts.append(without(text, whole_characters(text, spans([(w["first"], w["last"]) for w in windows or ()]))).decode())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*b.schema.names[: len(keep)], "cut"])
+
+    fields = "".join(f"`keep_{c}` {dict(docs.dtypes)[c]}, " for c in keep)
+    out = _with_windows(docs, keep, id_col, text_col).mapInArrow(cut, f"{fields}cut string")
+    return out.select(*[F.col("cut").alias(c) if c == text_col else F.col(f"keep_{c}").alias(c) for c in docs.columns])

@@ -246,3 +246,19 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     return own.mapInArrow(run, "id long, score double, passages array<struct<first:int,end:int,total:double>>")
+
+
+def filtered(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with an id whose score is below the threshold, with all their columns."""
+    own = docs.where(F.col(id_col).isNotNull())
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(model)
+        for b in batches:
+            found = [score(t) for t in as_bytes(b.column(at).cast(pa.string()))]
+            raw = np.array([evidence([s[2] for s in segs], n, model.lam, model.k) for n, segs in found], float)
+            value = np.full(len(raw), model.base) if model.curve is None else calibration.apply(model.curve, raw)
+            yield b.filter(pa.array(value < threshold))
+
+    return own.mapInArrow(run, own.schema)
