@@ -33,60 +33,58 @@ from vecforge.llm.tokens import encoder, gather
 SHARD_TOKENS = 1 << 20
 MAGIC = 0x52505231
 END = 2
-ROUNDS = 10
+ROUNDS = 8
 LEAST = 48
 #: Pairs replaced in one round, most frequent first.
 AT_ONCE = 1024
 HASH_BITS = 20
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _frequent(left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
-    """Codes (left << 32 | right) of at most ``most`` pairs that occur ``LEAST`` times, most frequent first.
-
-    Hash buckets are counted first; only pairs in heavy buckets are counted one by one, so counts are exact."""
-    code = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-    bucket = ((code * _SPREAD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-    heavy = np.bincount(bucket, minlength=1 << HASH_BITS) >= LEAST
-    pairs, n = np.unique(code[heavy[bucket]], return_counts=True)
-    pairs, n = pairs[n >= LEAST], n[n >= LEAST]
-    return pairs[np.lexsort((pairs, -n))][:most]
+#: Odd multipliers that spread codes of either width over the buckets.
+_SPREAD = {np.uint32: 0x9E3779B1, np.uint64: 0x9E3779B97F4A7C15}
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, document end after each symbol, rules) of one shard; ``ends`` marks the last id of each document."""
-    symbols, last = ids.astype(np.uint32), ends.copy()
+    """(symbols, document end after each symbol, rules) of one shard; ``ends`` marks the last id of each document.
+
+    Pairs are counted in hash buckets. Of each bucket one pair stands for the others, and its own occurrences are
+    counted exactly; the rest of the bucket waits for a later round, which hashes anew."""
+    kind = np.uint32 if base < 1 << 16 else np.uint64
+    half = kind(16 if base < 1 << 16 else 32)
+    symbols, last = ids.astype(kind), ends.copy()
     rules: list[np.ndarray] = []
-    n_rules, room = 0, (1 << 16) - base if base < 1 << 16 else 1 << 30
-    for _ in range(ROUNDS):
-        open_ = np.flatnonzero(~last[:-1])
-        pairs = _frequent(symbols[open_], symbols[open_ + 1], min(AT_ONCE, room - n_rules))
-        if not len(pairs):
+    n_rules, room = 0, (1 << 16) - base if base < 1 << 16 else 1 << 24
+    for turn in range(ROUNDS):
+        if len(symbols) < 2 or n_rules >= room:
+            break
+        code = (symbols[:-1] << half) | symbols[1:]
+        spread = kind(_SPREAD[kind] + 2 * turn)
+        bucket = (code * spread) >> kind(code.itemsize * 8 - HASH_BITS)
+        speaks = np.zeros(1 << HASH_BITS, kind)
+        speaks[bucket] = code
+        own = np.flatnonzero((code == speaks[bucket]) & ~last[:-1])
+        counts = np.bincount(bucket[own], minlength=1 << HASH_BITS)
+        top = np.flatnonzero(counts >= LEAST)
+        top = top[np.lexsort((speaks[top], -counts[top]))][: min(AT_ONCE, room - n_rules)]
+        if not len(top):
             break
-        order = np.argsort(pairs)
-        known = pairs[order]
-        code = (symbols[open_].astype(np.uint64) << np.uint64(32)) | symbols[open_ + 1].astype(np.uint64)
-        # a bitmap over hashed codes leaves few positions for the exact look-up
-        marks = np.zeros(1 << HASH_BITS, bool)
-        marks[((known * _SPREAD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)] = True
-        maybe = np.flatnonzero(marks[((code * _SPREAD) >> np.uint64(64 - HASH_BITS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(known, code[maybe]), len(known) - 1)
-        hit = known[at] == code[maybe]
-        where, which = open_[maybe[hit]], order[at[hit]]
+        rank = np.full(1 << HASH_BITS, -1, np.int32)
+        rank[top] = np.arange(len(top))
+        which = rank[bucket[own]]
+        where, which = own[which >= 0], which[which >= 0]
         # neighbouring hits overlap: of each run, the first, third, ... are replaced
         start = np.concatenate([[True], np.diff(where) != 1])
         begin = np.maximum.accumulate(np.where(start, np.arange(len(where)), 0))
         take = (np.arange(len(where)) - begin) % 2 == 0
         where, which = where[take], which[take]
-        used, which = np.unique(which, return_inverse=True)
-        rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        symbols[where] = (base + n_rules + which).astype(np.uint32)
+        used = np.flatnonzero(np.bincount(which, minlength=len(top)))
+        number = np.zeros(len(top), np.int64)
+        number[used] = np.arange(len(used))
+        pairs = speaks[top[used]]
+        rules.append(np.stack([pairs >> half, pairs & kind((1 << int(half)) - 1)], 1).astype(np.uint32))
+        symbols[where] = (base + n_rules + number[which]).astype(kind)
         last[where] = last[where + 1]
         stay = np.ones(len(symbols), bool)
         stay[where + 1] = False
         symbols, last, n_rules = symbols[stay], last[stay], n_rules + len(used)
-        if n_rules >= room:
-            break
     return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 

@@ -12,14 +12,23 @@ import functools
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
 PIECES = 1_000_000
 BATCH_CHARS = 1 << 20
+PUNCTUATION = 10_000
 _ODD_BLANK = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?= \S)")
 _NEXT = re.compile(r" \S")
+#: Latin letters below U+0250, but for one whose small form is two characters, then ASCII punctuation.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130")
+_WORD = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+#: Byte-level vocabularies write each byte as one visible character: unprintable ones follow from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_VISIBLE = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+_BLANK = chr(_VISIBLE[32])
 
 
 class _Pieces(dict):
@@ -35,6 +44,20 @@ class _Pieces(dict):
         return n
 
 
+class _Known(dict):
+    """Ids of runs of punctuation, kept while they are few."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, text: str) -> list[int]:
+        ids = self.encode(text)
+        if len(self) < PUNCTUATION:
+            self[text] = ids
+        return ids
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of ``flat`` one after another."""
     ends = np.cumsum(lengths)
@@ -49,6 +72,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.short = _Known(lambda text: [t.id for t in self.model.tokenize(text.translate(_VISIBLE))])
         self.keep_blank = keep_blank
         self._reset()
 
@@ -59,17 +84,46 @@ class Encoder:
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
+        """Encode the pieces that wait: words and their punctuation by the library's model, others by the whole library."""
         new = self.names[len(self.lengths) :]
-        if new:
-            ids = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
-            n = np.array([len(i) for i in ids], np.int64)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
-            self.lengths = np.concatenate([self.lengths, n])
-            self.flat = np.concatenate([self.flat, *[np.array(i, np.uint32) for i in ids]])
-
-    def _numbers(self, text: str, begins: bool) -> list[int]:
+        if not new:
+            return
+        ids = [self._words(p) for p in new]
+        if odd := [i for i, own in enumerate(ids) if own is None]:
+            for i, e in zip(odd, self.library.encode_batch([new[i] for i in odd], add_special_tokens=False), strict=True):
+                ids[i] = e.ids
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
+        self.lengths = np.concatenate([self.lengths, n])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))])
+
+    def _words(self, piece: str) -> list[int] | None:
+        """Ids of a piece made of Latin words, each with punctuation after it or none, on lines of their own; else None.
+
+        Such words and runs of punctuation are just what both vocabularies cut a text into before merging."""
+        out: list[int] = []
+        blank = piece[:1] == " "
+        for i, line in enumerate((piece[1:] if blank else piece).split("\n")):
+            m = _WORD.fullmatch(line)
+            if m is None:
+                return None
+            word, after = m.groups()
+            if not self.keep_blank:
+                word = word.lower()
+            elif i:
+                out += self.short["\n"]
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)
+            if blank and not i:
+                mapped = _BLANK + mapped
+            out += [t.id for t in self.model.tokenize(mapped)]
+            if after:
+                out += self.short[after]
+        return out
+
+    def _numbers(self, text: str, begins: bool) -> np.ndarray:
         if not self.keep_blank:
-            return list(map(self.spaced.__getitem__, text.split(" ")))
+            parts = text.split(" ")
+            return np.fromiter(map(self.spaced.__getitem__, parts), np.int32, len(parts))
         if _ODD_BLANK.search(text):
             parts = [p[1:] if i or not begins else p for i, p in enumerate(_CUT.split(text))]
             if begins and not parts[0]:
@@ -79,9 +133,11 @@ class Encoder:
             parts = text.split(" ")
             if not parts[0]:  # the text begins with its blank
                 parts, begins = parts[1:], False
-        if not begins:
-            return list(map(self.spaced.__getitem__, parts))
-        return [self.first[parts[0]], *map(self.spaced.__getitem__, parts[1:])]
+        out = np.empty(len(parts), np.int32)
+        if begins:
+            out[0] = self.first[parts[0]]
+        out[begins:] = np.fromiter(map(self.spaced.__getitem__, parts[begins:]), np.int32, len(parts) - begins)
+        return out
 
     def _windows(self, text: str) -> Iterator[str]:
         """Very long texts in stretches that can be encoded one by one."""
@@ -93,24 +149,22 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null counts as empty."""
-        waiting: list[int] = []
+        waiting: list[np.ndarray] = []
         sizes: list[int] = []
         chars = 0
         for text in texts:
-            before = len(waiting)
-            if text:
-                for i, part in enumerate(self._windows(text)):
-                    waiting += self._numbers(part, i == 0)
-            sizes.append(len(waiting) - before)
+            own = [self._numbers(part, i == 0) for i, part in enumerate(self._windows(text))] if text else []
+            waiting += own
+            sizes.append(sum(map(len, own)))
             chars += len(text or "")
             if chars > BATCH_CHARS:
                 yield from self._flush(waiting, sizes)
                 waiting, sizes, chars = [], [], 0
         yield from self._flush(waiting, sizes)
 
-    def _flush(self, numbers: list[int], sizes: list[int]) -> Iterator[np.ndarray]:
+    def _flush(self, numbers: list[np.ndarray], sizes: list[int]) -> Iterator[np.ndarray]:
         self._learn()
-        at = np.array(numbers, np.int64)
+        at = np.concatenate([*numbers, np.zeros(0, np.int32)])
         n = self.lengths[at]
         ids = gather(self.flat, self.starts[at], n)
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *sizes])]
