@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import as_bytes, n_partitions, record_batch, release, stored
+from vecforge.llm.common import as_bytes, discard, record_batch, release, stored
 from vecforge.llm.suffix_array import adjacent, suffix_order
 
 LENGTH = 200
@@ -110,38 +110,41 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of each distinct text of a task: minimizer, text hash, document, place, copies in the task."""
-    known: dict[tuple[int, int], int] = {}
+    """Two kinds of rows: the runs (h, c, text, at) of each distinct text of a task, and (text, doc, size, copies).
+
+    ``text`` numbers the texts of a task; a text that comes again in the task is only counted."""
+    none = {n: pa.nulls(0, pa.int64()) for n in ("h", "c", "text", "at", "doc", "size", "copies")}
+    number, known = 0, {}
+
+    def counted() -> pa.RecordBatch:
+        text, doc, size, copies = (np.array(x, np.uint64) for x in zip(*((i, d, n, c) for (d, n), (i, c) in known.items()), strict=True))
+        gap = pa.nulls(len(text), pa.int64())
+        return record_batch(**none | {"h": gap, "c": gap, "at": gap, "text": _signed(text), "doc": _signed(doc), "size": _signed(size), "copies": _signed(copies)})
+
     for b in batches:
-        fresh: dict[tuple[int, int], bytes] = {}
+        out: list[list[np.ndarray]] = [[] for _ in range(4)]
         for text in as_bytes(b.column(0)):
-            if len(text) >= LENGTH:
-                key = (xxhash.xxh3_64_intdigest(text), len(text))
-                if key not in known:
-                    known[key] = 0
-                    fresh[key] = text
-                known[key] += 1
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for (digest, size), text in fresh.items():
+            if len(text) < LENGTH:
+                continue
+            key = (xxhash.xxh3_64_intdigest(text), len(text))
+            if key in known:
+                known[key] = (known[key][0], known[key][1] + 1)
+                continue
+            known[key] = (number, 1)
             h, p, a, z = runs(text)
             whole = np.array([xxhash.xxh64_intdigest(text[x : y + LENGTH]) for x, y in zip(a.tolist(), z.tolist(), strict=True)], np.uint64)
-            for column, x in zip(out, (h.astype(np.uint64), whole, np.full(len(h), digest, np.uint64), np.full(len(h), size, np.uint64), ((a << 16) | ((z - a) << 8) | (p - a)).astype(np.uint64)), strict=True):
-                column.append(x)
-        if fresh:
-            h, c, d, n, at = (_signed(np.concatenate(x)) for x in out)
-            yield record_batch(h=h, c=c, doc=d, size=n, at=at, copies=np.ones(len(h), np.int64))
+            for column, x in zip(out, (h, whole, np.full(len(h), number), (a << 16) | ((z - a) << 8) | (p - a)), strict=True):
+                column.append(x.astype(np.uint64))
+            number += 1
+        if out[0]:
+            h, c, text, at = (_signed(np.concatenate(x)) for x in out)
+            gap = pa.nulls(len(h), pa.int64())
+            yield record_batch(**none | {"h": h, "c": c, "text": text, "at": at, "doc": gap, "size": gap, "copies": gap})
         if len(known) > REMEMBER:
-            yield _copies(known)
-            known.clear()
-    yield _copies(known)
-
-
-def _copies(known: dict[tuple[int, int], int]) -> pa.RecordBatch:
-    """One row without a minimizer for each text that a task saw more than once."""
-    own = [(d, n, c - 1) for (d, n), c in known.items() if c > 1]
-    none = pa.nulls(len(own), pa.int64())
-    d, n, c = (np.array(x, np.uint64) for x in (zip(*own, strict=True) if own else ([], [], [])))
-    return record_batch(h=none, c=none, doc=_signed(d), size=_signed(n), at=none, copies=_signed(c))
+            yield counted()
+            known = {}
+    if known:
+        yield counted()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,60 +201,67 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc, size, first, last): runs of window starts in texts (digest, bytes) that occur more than once."""
+    """(doc, size, first, last): runs of window starts in texts (digest, bytes) that occur more than once; rows may repeat."""
     spark = docs.sparkSession
-    n = n_partitions(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    seen = stored(texts.mapInArrow(_found, "h long, c long, doc long, size long, at long, copies long"), "runs")
-    own = seen.where("h is not null")
+    seen = texts.mapInArrow(_found, "h long, c long, text long, at long, doc long, size long, copies long")
+    # a text's number is made unique by its task's number
+    seen = stored(seen.withColumn("text", F.col("text") + F.shiftleft(F.spark_partition_id().cast("long"), 40)), "runs")
+    known = stored(seen.where("doc is not null").select("text", "doc", "size", "copies"), "texts")
     # texts with copies repeat from end to end; so do those that two tasks saw, as their runs then count twice
-    copied = seen.where("h is null").select("doc", "size", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last")).distinct()
-    minimizers = own.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("times > 1").select("h", (F.col("c0") < F.col("c1")).alias("several"))
-    again = stored(own.join(minimizers, "h").select("h", "c", "doc", "size", "at", "several"), "runs-again")
+    copied = known.where("copies > 1").select("text", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"))
+    own = seen.where("h is not null").select("h", "c", "text", "at")
+    minimizers = own.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    again = stored(own.join(minimizers, "h"), "runs-again")
+    discard(seen)
+    release(spark)
+    contexts = stored(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("text", "at")).alias("one")).select("h", "c", "n", "one.*"), "contexts")
+    alone = contexts.where("n = 1")  # its minimizer has other texts
+    ends = (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("last")
+    whole = stored(again.join(alone.select("h", "c"), ["h", "c"], "left_anti").select("text", F.shiftright("at", 16).alias("first"), ends), "repeated-runs")
+    discard(again)
     release(spark)
-    several = again.where("several")
-    contexts = several.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "size", "at")).alias("one"))
-    contexts = stored(contexts.select("h", "c", "n", "one.*"), "contexts")
-    wanted = contexts.groupBy("doc", "size").agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("wanted"))
+    # minimizers with several texts, at least one of them single
+    several = contexts.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h")
+    wanted = contexts.join(several, "h").join(known, "text").groupBy("doc", "size").agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("wanted"))
     packed = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_digests, "doc long, size long, packed binary")
     distinct = packed.groupBy("doc", "size").agg(F.first("packed").alias("packed"))
     units = distinct.join(wanted, ["doc", "size"]).select("packed", "wanted").mapInArrow(_units, "h long, c long, unit long, core long, left binary, right binary, n long")
     units = stored(units, "units")
     release(spark)
-    # equal units of different runs are one string; a core with a single string needs no sorting
-    strings = units.groupBy("h", "core", "unit", "left", "right").agg(F.sum("n").alias("n"))
-    strings = stored(strings.withColumn("sid", F.monotonically_increasing_id()), "unit-strings")
-    cores = strings.groupBy("h", "core", "unit").agg(F.count("*").alias("k")).where("k > 1").select("h", "core", "unit")
+    # equal units of different runs are one string; a core needs sorting if it has several strings, one of them single
+    strings = stored(units.groupBy("h", "core", "unit", "left", "right").agg(F.sum("n").alias("n")).withColumn("sid", F.monotonically_increasing_id()), "unit-strings")
+    cores = strings.groupBy("h", "core", "unit").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", "core", "unit")
     sorted_ = stored(strings.join(cores, ["h", "core", "unit"]), "unit-sorted")
+    release(spark)
     ranked = suffix_order(sorted_.mapInArrow(_letters, "sid long, letters array<long>"), UNIT + 1)
     suffixes = sorted_.join(ranked, "sid").select("sid", "h", "core", "left", "right", "ranks").mapInArrow(_windows, "sid long, t int, position long, prefix binary")
     hits = adjacent(suffixes, "prefix").where("repeated").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, t)")).alias("mask"))
     every = (1 << UNIT) - 1
     masks = strings.join(hits, "sid", "left").select("h", "core", "unit", "left", "right", F.when(F.col("n") > 1, F.lit(every)).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0")
-    by_context = units.join(masks, ["h", "core", "unit", "left", "right"]).groupBy("h", "c").agg(F.collect_list(F.struct("unit", "mask")).alias("masks"))
-    by_context = stored(by_context.join(contexts.where("n = 1"), ["h", "c"]).select("doc", "size", "at", "masks"), "unit-masks")
+    single = units.where("n = 1").join(masks, ["h", "core", "unit", "left", "right"]).groupBy("h", "c").agg(F.collect_list(F.struct("unit", "mask")).alias("masks"))
+    single = single.join(alone, ["h", "c"]).select("text", "at", "masks")
+    partly = stored(single.mapInArrow(_starts, "text long, first long, last long"), "unit-windows")
+    discard(units, strings, sorted_)
     release(spark)
-    single = F.col("at").alias("at")
-    whole = again.join(contexts.where("n = 1").select("h", "c", F.lit(True).alias("alone")), ["h", "c"], "left").where("alone is null").select("doc", "size", F.shiftright(single, 16).alias("first"), (F.shiftright("at", 16) + (F.shiftright("at", 8).bitwiseAND(F.lit(255)))).alias("last"))
-    partly = by_context.mapInArrow(_starts, "doc long, size long, first long, last long")
-    return copied.union(whole).union(partly)
+    return copied.union(whole).union(partly).join(known, "text").select("doc", "size", "first", "last")
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Window starts from the masks of a run's units."""
     for b in batches:
-        rows: list[tuple[int, int, int, int]] = []
-        for doc, size, at, masks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        rows: list[tuple[int, int, int]] = []
+        for text, at, masks in zip(*(c.to_pylist() for c in b.columns), strict=True):
             a = at >> 16
             z, p = a + ((at >> 8) & 255), a + (at & 255)
             starts = sorted(s for m in masks for t in range(UNIT) if m["mask"] >> t & 1 and a <= (s := p - m["unit"] * UNIT - t) <= z)
             for s in starts:
-                if rows and rows[-1][:2] == (doc, size) and rows[-1][3] == s - 1:
-                    rows[-1] = (*rows[-1][:3], s)
+                if rows and rows[-1][0] == text and rows[-1][2] == s - 1:
+                    rows[-1] = (*rows[-1][:2], s)
                 else:
-                    rows.append((doc, size, s, s))
-        doc, size, first, last = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield record_batch(**{k: pa.array(v, pa.int64()) for k, v in zip(("doc", "size", "first", "last"), (doc, size, first, last), strict=True)})
+                    rows.append((text, s, s))
+        text, first, last = zip(*rows, strict=True) if rows else ((), (), ())
+        yield record_batch(**{k: pa.array(v, pa.int64()) for k, v in zip(("text", "first", "last"), (text, first, last), strict=True)})
 
 
 def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:

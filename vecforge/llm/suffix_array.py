@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import n_partitions, record_batch, stored
+from vecforge.llm.common import n_partitions, record_batch, release, stored
 
 #: The letter past the end of a string; letters are at least 0.
 PAST = -1
@@ -125,11 +125,13 @@ def suffix_order(strings: DataFrame, depth: int) -> DataFrame:
         return _in_order(counts_below(rows, ["a", "b", "c"]), "sid", "n0", "ranks")
     rows = stored(strings.mapInArrow(_triples(True), "sid long, j int, a long, b long, c long"), "suffix-triples")
     named = counts_below(rows, ["a", "b", "c"]).select((F.col("sid") * 2 + F.col("j") % 3 - 1).alias("sid"), "j", "n0")
+    release(strings.sparkSession)
     deeper = suffix_order(_in_order(named, "sid", "n0", "letters"), -(-depth // 3))
     sampled = deeper.select(F.floor(F.col("sid") / 2).alias("sid"), (F.col("sid") % 2).alias("cls"), "ranks")
     sides = sampled.groupBy("sid").agg(F.max(F.when(F.col("cls") == 0, F.col("ranks"))).alias("r1"), F.max(F.when(F.col("cls") == 1, F.col("ranks"))).alias("r2"))
     whole = strings.join(sides, "sid", "left")
     keyed = stored(whole.mapInArrow(_remaining, "sid long, j int, own long, kind long, against int, x long, y long, z long"), "suffix-remaining")
+    release(strings.sparkSession)
     columns = ["sid", "j", "own", "kind", "x", "y", "z"]
     with1, with2 = (counts_below(keyed.where(F.col("against") == k).select(*columns), ["x", "y", "z"], 2) for k in (1, 2))
     # a remaining suffix adds up the smaller ones of all classes, a sampled one the smaller remaining ones
