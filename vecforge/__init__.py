@@ -1,0 +1 @@
+"""Vector quantisation analytics on Spark DataFrames."""
