@@ -32,6 +32,7 @@ BITS = 64
 SEEDS = (3, 5)
 BLOCK = 16_384
 QUERIES = 512
+FIRST = 256
 MARGIN = 1.6
 #: For each distance, the values that differ from zero by so many of eight bits.
 _MASKS = [np.array([sum(1 << i for i in c) for c in combinations(range(8), s)], np.int64) for s in range(9)]
@@ -42,28 +43,27 @@ class Index:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes  # rows x words
-        self.parts = codes.view(np.uint8).reshape(len(codes), -1)
-        self.bits = self.parts.shape[1] * 8
-        n = -(-len(codes) // 8)
-        self.maps = np.zeros((self.parts.shape[1], 256, n), np.uint8)
-        rows = np.arange(len(codes))
-        for j in range(self.parts.shape[1]):
-            for value in np.unique(self.parts[:, j]):
-                own = np.zeros(n * 8, bool)
-                own[rows[self.parts[:, j] == value]] = True
-                self.maps[j, value] = np.packbits(own, bitorder="little")
+        parts = codes.view(np.uint8).reshape(len(codes), -1)
+        self.bits = parts.shape[1] * 8
+        self.first = np.arange(parts.shape[1])[:, None] * 256
+        maps = np.zeros((parts.shape[1] * 256, -(-len(codes) // 8) * 8), bool)
+        maps[parts + self.first[:, 0], np.arange(len(codes))[:, None]] = True
+        self.maps = np.packbits(maps, axis=1, bitorder="little")
 
     def within(self, code: np.ndarray):
-        """For s = 0, 1, ...: the radius covered, and the rows within it."""
-        parts = code.view(np.uint8).astype(np.int64)
-        found = np.zeros(self.maps.shape[2], np.uint8)
+        """For s = 0, 1, ...: the radius covered, the rows within it, and their distances."""
+        parts = code.view(np.uint8).astype(np.int64)[:, None]
+        found = np.zeros(self.maps.shape[1], np.uint8)
         for s, masks in enumerate(_MASKS):
-            for j, p in enumerate(parts):
-                found |= np.bitwise_or.reduce(self.maps[j][p ^ masks], axis=0)
+            found |= np.bitwise_or.reduce(self.maps[((parts ^ masks) + self.first).ravel()], axis=0)
             rows = np.flatnonzero(np.unpackbits(found, bitorder="little"))
-            distance = popcount(self.codes[rows] ^ code).sum(axis=1)
+            near = self.codes[rows]
+            distance = np.zeros(len(rows), np.int64)
+            for word in range(self.codes.shape[1]):
+                distance += popcount(near[:, word] ^ code[word])
             radius = min(len(parts) * (s + 1) - 1, self.bits)
-            yield radius, rows[distance <= radius], distance[distance <= radius]
+            inside = distance <= radius
+            yield radius, rows[inside], distance[inside]
 
 
 def needed(cosine: float, bits: int) -> float:
@@ -114,9 +114,14 @@ def _search(tables, dims: int, longest: float, k: int):
                 for qid, vector, code in zip(qids, q, coded(q, False), strict=True):
                     scale = np.linalg.norm(vector) * longest
                     for radius, rows, distance in index.within(code):
-                        rows = rows[ids[rows] != qid]
+                        other = ids[rows] != qid
+                        rows, distance = rows[other], distance[other]
                         if len(rows) < k and radius < index.bits:
                             continue
+                        if len(rows) > FIRST:  # the closest codes tell how far it is worth looking
+                            close = rows[np.argpartition(distance, FIRST)[:FIRST]]
+                            bound = np.partition((x[close] * vector).sum(axis=1), FIRST - k)[FIRST - k]
+                            rows = rows[distance <= needed(bound / scale, index.bits)]
                         score = (x[rows] * vector).sum(axis=1)
                         best = np.lexsort((ids[rows], -score))[:k]
                         if radius >= index.bits or radius >= needed(score[best[-1]] / scale, index.bits):
