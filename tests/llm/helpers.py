@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, h string, c string, position string, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, copies string, curve string, position string, row string"
 
 
 def prose(seed: int, words: int) -> str:

@@ -19,12 +19,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import n_partitions, with_position
+from vecforge.llm.common import n_partitions, stored, with_position
 
 SEED = 1729
 POWER = 0.5
 #: Hex digits of the hash that make the uniform number: 52 bits, exact in a double.
 DIGITS = 13
+#: With more sources than that, their table of some hundred numbers each is not sent to all tasks.
+MOST_SOURCES = 10_000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -60,23 +62,25 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: f
 
 
 def replicated(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as drawn, with copy (from 1), copies and the shuffle key.
+    """(row, copies, copy, shuffle_key): each row as often as drawn; copy counts from 1.
 
-    ``keep`` names the columns that stay (all, if not given)."""
+    ``row`` is a struct of the columns to ``keep`` (all, if not given), so that no name can clash."""
     own = docs.where(F.col(id_col).isNotNull())
-    table = rates(own, weights, epochs, source_col, text_col).select(F.col("source").alias("_source"), "cdf")
-    keep = docs.columns if keep is None else keep
+    table = stored(rates(own, weights, epochs, source_col, text_col).select(F.col("source").alias("_source"), "cdf"), "rates")
+    if table.count() <= MOST_SOURCES:  # else an ordinary join, whose hot keys Spark splits
+        table = F.broadcast(table)
     u = uniform(F.lit("count"), F.lit(str(seed)), F.col(id_col).cast("string"))
-    rows = own.select(*keep, F.col(source_col).alias("_of"), u.alias("_u"), F.col(id_col).cast("string").alias("_id"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    rows = own.select(whole.alias("row"), F.col(source_col).alias("_of"), u.alias("_u"), F.col(id_col).cast("string").alias("_id"))
     drawn = rows.join(table, F.col("_of").eqNullSafe(F.col("_source"))).withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("_u"))))
-    each = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    each = drawn.where("copies > 0").select("row", "_id", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(seed)), F.col("_id"), F.col("copy").cast("string")))
-    return each.withColumn("shuffle_key", key).drop("_of", "_u", "_id", "_source", "cdf")
+    return each.select("row", "copies", "copy", key.alias("shuffle_key"))
 
 
 def positions(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id, source, copies, copy, position): the place of each copy in the shuffled order, from 0."""
-    rows = replicated(docs, weights, epochs, seed, id_col, source_col, text_col, keep=[id_col, source_col])
+    rows = replicated(docs, weights, epochs, seed, id_col, source_col, text_col, keep=[id_col, source_col]).select("row.*", "copies", "copy", "shuffle_key")
     return with_position(rows, ["shuffle_key", id_col, "copy"]).select(id_col, source_col, "copies", "copy", "position")
 
 
@@ -84,4 +88,4 @@ def shuffled(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs
     """All columns of ``docs``, rows repeated and in shuffled order over range partitions."""
     rows = replicated(docs, weights, epochs, seed, id_col, source_col, text_col)
     n = n_partitions(docs.sparkSession)
-    return rows.repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key").select(*docs.columns)
+    return rows.repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key").select("row.*")

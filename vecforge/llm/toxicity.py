@@ -32,7 +32,7 @@ from vecforge.llm import calibration
 from vecforge.llm.common import as_bytes, record_batch, stored
 
 SHINGLE = 3
-FLUSH = 400_000
+FLUSH = 200_000
 MAX_LABELS = 400_000
 PREFIXES = (4, 5, 6)
 PRIOR = 0.5
@@ -41,7 +41,7 @@ LEAST_Z = 3.3
 LEAST_DELTA = 2.0
 MOST = 8.0
 DRIFT = 0.25
-CACHE = 300_000
+CACHE = 100_000
 LOW, HIGH = -20.0, 80.0
 #: ASCII capitals become small, ASCII punctuation, digits and controls become blanks.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
