@@ -79,7 +79,7 @@ def hilbert_shards(docs: DataFrame, shards: int, dims: Sequence[str] = ("lang",
     """(id, size, text_crc32, shard, slot) and the columns to ``keep`` for each row with an id."""
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     own = docs.where(F.col(id_col).isNotNull())
-    placed = on_curve(own, dims).select(F.col(id_col).alias("id"), (F.octet_length(raw).cast("long") + PER_ROW).alias("size"), F.crc32(raw).alias("text_crc32"), "curve", *[F.col(c).alias(f"keep_{c}") for c in keep])
+    placed = on_curve(own, dims, name="_curve").select(F.col(id_col).alias("id"), (F.octet_length(raw).cast("long") + PER_ROW).alias("size"), F.crc32(raw).alias("text_crc32"), F.col("_curve").alias("curve"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     ranked = with_position(placed, ["curve", "id", "text_crc32"])
     n = F.lit(ranked.count())
     shard = F.expr("position") * shards

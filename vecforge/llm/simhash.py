@@ -90,4 +90,4 @@ def as_hex(fp: Column | str) -> Column:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; all columns stay."""
     keep = near_duplicates(docs, id_col, text_col).where("id = component_id").select(F.col("id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    return docs.join(keep, docs[id_col] == keep["_keep"], "left_semi").dropDuplicates([id_col])
