@@ -133,8 +133,8 @@ def packed(docs: DataFrame, tokenizer: str, keep_blank: bool = True, end: int =
         done: list[list[Piece]] = []
         n = 0
         for b in batches:
-            for i, own in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                ids = np.append(own.astype(np.uint16) if own.max(initial=0) < 1 << 16 else own, own.dtype.type(end))
+            for i, own in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
+                ids = np.append(own, own.dtype.type(end))
                 doc_ids.append(i)
                 sizes.append(len(ids))
                 done.extend(packer.add(len(sizes) - 1, ids))

@@ -37,7 +37,7 @@ ROUNDS = 8
 LEAST = 48
 #: Pairs replaced in one round, most frequent first.
 AT_ONCE = 1024
-HASH_BITS = 20
+HASH_BITS = 17
 #: Odd multipliers that spread codes of either width over the buckets.
 _SPREAD = {np.uint32: 0x9E3779B1, np.uint64: 0x9E3779B97F4A7C15}
 
@@ -57,19 +57,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
             break
         code = (symbols[:-1] << half) | symbols[1:]
         spread = kind(_SPREAD[kind] + 2 * turn)
-        bucket = (code * spread) >> kind(code.itemsize * 8 - HASH_BITS)
+        bucket = ((code * spread) >> kind(code.itemsize * 8 - HASH_BITS)).astype(np.intp)
         speaks = np.zeros(1 << HASH_BITS, kind)
         speaks[bucket] = code
         own = np.flatnonzero((code == speaks[bucket]) & ~last[:-1])
-        counts = np.bincount(bucket[own], minlength=1 << HASH_BITS)
+        at = bucket[own]
+        counts = np.bincount(at, minlength=1 << HASH_BITS)
         top = np.flatnonzero(counts >= LEAST)
         top = top[np.lexsort((speaks[top], -counts[top]))][: min(AT_ONCE, room - n_rules)]
         if not len(top):
             break
         rank = np.full(1 << HASH_BITS, -1, np.int32)
         rank[top] = np.arange(len(top))
-        which = rank[bucket[own]]
-        where, which = own[which >= 0], which[which >= 0]
+        which = rank[at]
+        hit = which >= 0
+        where, which = own[hit], which[hit]
         # neighbouring hits overlap: of each run, the first, third, ... are replaced
         start = np.concatenate([[True], np.diff(where) != 1])
         begin = np.maximum.accumulate(np.where(start, np.arange(len(where)), 0))
@@ -160,12 +162,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, keep_blan
             return record_batch(first_id=pa.array([ids[0]], pa.int64()), documents=pa.array([len(ids)], pa.int64()), tokens=pa.array([size], pa.int64()), payload=pa.array([write_shard(ids, held, vocabulary)], pa.binary()))
 
         for b in batches:
-            for i, own in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+            for i, own in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 if held and size + len(own) + 1 > shard_tokens:
                     yield shard()
                     ids, held, size = [], [], 0
                 ids.append(i)
-                held.append(np.append(own.astype(np.uint16) if vocabulary <= 1 << 16 else own, own.dtype.type(end)))
+                held.append(np.append(own, own.dtype.type(end)))
                 size += len(own) + 1
         if held:
             yield shard()

@@ -13,13 +13,19 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECES = 1_000_000
+PIECES = 700_000
 BATCH_CHARS = 1 << 20
+GROUP_BYTES = 1 << 22
 PUNCTUATION = 10_000
 _ODD_BLANK = re.compile(r" (?:\s|$)")
+#: The same for Arrow's expressions, with all that Python takes for white space.
+_ODD_BLANK_RE2 = r" (?:[\s\v\pZ\x1c-\x1f\x{85}]|$)"
 _CUT = re.compile(r"(?= \S)")
 _NEXT = re.compile(r" \S")
 #: Latin letters below U+0250, but for one whose small form is two characters, then ASCII punctuation.
@@ -29,18 +35,19 @@ _WORD = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _VISIBLE = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 _BLANK = chr(_VISIBLE[32])
+_ID = attrgetter("id")
 
 
 class _Pieces(dict):
     """Numbers of known pieces; an unknown one gets the next number and waits for the library."""
 
-    def __init__(self, shared: list[str], blank: str):
+    def __init__(self, owner: Encoder, blank: str):
         super().__init__()
-        self.shared, self.blank = shared, blank
+        self.owner, self.blank = owner, blank
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self.shared)
-        self.shared.append(self.blank + piece)
+        self[piece] = n = len(self.owner.lengths) + len(self.owner.waiting)
+        self.owner.waiting.append(self.blank + piece)
         return n
 
 
@@ -75,49 +82,76 @@ class Encoder:
         self.model = self.library.model
         self.short = _Known(lambda text: [t.id for t in self.model.tokenize(text.translate(_VISIBLE))])
         self.keep_blank = keep_blank
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self._reset()
 
     def _reset(self) -> None:
-        self.names: list[str] = []
-        blank = " " if self.keep_blank else ""
-        self.first, self.spaced = _Pieces(self.names, ""), _Pieces(self.names, blank)
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[str] = []
+        self.first, self.spaced = _Pieces(self, ""), _Pieces(self, " " if self.keep_blank else "")
+        self.flat, self.starts, self.lengths = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that came more often than most, at most half of what there is room for."""
+        least = max(2, int(np.partition(self.uses, -(PIECES // 2))[-(PIECES // 2)]) + 1)
+        stays = self.uses >= least
+        number = np.cumsum(stays) - 1
+        for pieces in (self.first, self.spaced):
+            kept = {p: int(number[n]) for p, n in pieces.items() if stays[n]}
+            pieces.clear()
+            pieces.update(kept)
+        self.flat = gather(self.flat, self.starts[stays], self.lengths[stays])
+        self.lengths = self.lengths[stays]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.uses = self.uses[stays]
 
     def _learn(self) -> None:
         """Encode the pieces that wait: words and their punctuation by the library's model, others by the whole library."""
-        new = self.names[len(self.lengths) :]
+        new, self.waiting = self.waiting, []
         if not new:
             return
-        ids = [self._words(p) for p in new]
+        ids = self._words(new)
         if odd := [i for i, own in enumerate(ids) if own is None]:
             for i, e in zip(odd, self.library.encode_batch([new[i] for i in odd], add_special_tokens=False), strict=True):
                 ids[i] = e.ids
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
         self.lengths = np.concatenate([self.lengths, n])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.kind, int(n.sum()))])
 
-    def _words(self, piece: str) -> list[int] | None:
-        """Ids of a piece made of Latin words, each with punctuation after it or none, on lines of their own; else None.
+    def _words(self, new: list[str]) -> list[list[int] | None]:
+        """Ids of pieces made of Latin words, each with punctuation after it or none, on lines of their own; else None.
 
         Such words and runs of punctuation are just what both vocabularies cut a text into before merging."""
-        out: list[int] = []
-        blank = piece[:1] == " "
-        for i, line in enumerate((piece[1:] if blank else piece).split("\n")):
-            m = _WORD.fullmatch(line)
-            if m is None:
-                return None
-            word, after = m.groups()
-            if not self.keep_blank:
-                word = word.lower()
-            elif i:
-                out += self.short["\n"]
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)
-            if blank and not i:
-                mapped = _BLANK + mapped
-            out += [t.id for t in self.model.tokenize(mapped)]
-            if after:
-                out += self.short[after]
+        keep, tokenize, short, top = self.keep_blank, self.model.tokenize, self.short, len(self.lengths)
+        spaced, first, match, flat = self.spaced, self.first, _WORD.fullmatch, self.flat
+        starts, ends = self.starts, self.starts + self.lengths
+        out: list[list[int] | None] = []
+        for piece in new:
+            blank = piece[:1] == " "
+            ids: list[int] | None = []
+            for i, line in enumerate(piece.split("\n") if "\n" in piece else (piece,)):
+                after_blank = blank and not i
+                m = match(line, 1) if after_blank else match(line)
+                if m is None:
+                    ids = None
+                    break
+                word, after = m.groups()
+                if not keep:
+                    word = word.lower()
+                    known = spaced.get(word, top)
+                else:
+                    if i:
+                        ids += short["\n"]
+                    known = (spaced if after_blank else first).get(word, top)
+                if known < top:  # the bare word has been learnt before
+                    ids += flat[starts[known] : ends[known]].tolist()
+                else:
+                    mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)
+                    ids += map(_ID, tokenize(_BLANK + mapped if keep and after_blank else mapped))
+                if after:
+                    ids += short[after]
+            out.append(ids)
         return out
 
     def _numbers(self, text: str, begins: bool) -> np.ndarray:
@@ -147,31 +181,50 @@ class Encoder:
             at = m.start()
         yield text[at:]
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.Array | Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null counts as empty."""
-        waiting: list[np.ndarray] = []
-        sizes: list[int] = []
-        chars = 0
-        for text in texts:
-            own = [self._numbers(part, i == 0) for i, part in enumerate(self._windows(text))] if text else []
-            waiting += own
-            sizes.append(sum(map(len, own)))
-            chars += len(text or "")
-            if chars > BATCH_CHARS:
-                yield from self._flush(waiting, sizes)
-                waiting, sizes, chars = [], [], 0
-        yield from self._flush(waiting, sizes)
+        column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes) // GROUP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield from self._group(column.slice(a, b - a), sizes[a:b])
+
+    def _group(self, column: pa.Array, sizes: np.ndarray) -> Iterator[np.ndarray]:
+        """Texts with plain blanks are cut and their pieces made distinct by Arrow; others go one by one."""
+        odd = sizes > BATCH_CHARS
+        if self.keep_blank:
+            odd = odd | pc.match_substring_regex(column, _ODD_BLANK_RE2).to_numpy(zero_copy_only=False)
+        rows: list[np.ndarray | None] = [None] * len(odd)
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            lists = pc.split_pattern(column.take(pa.array(plain)), " ")
+            first = np.array(lists.offsets)
+            words = lists.flatten().dictionary_encode()
+            at, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+            numbers = np.fromiter(map(self.spaced.__getitem__, distinct), np.int32, len(distinct))[at]
+            begins = first[:-1] - first[0]
+            if self.keep_blank:
+                numbers[begins] = [self.first[distinct[i]] for i in at[begins].tolist()]
+            for i, a, b in zip(plain.tolist(), begins.tolist(), (first[1:] - first[0]).tolist(), strict=True):
+                rows[i] = numbers[a:b]
+        for i in np.flatnonzero(odd).tolist():
+            rows[i] = np.concatenate([self._numbers(part, j == 0) for j, part in enumerate(self._windows(column[i].as_py()))])
+        yield from self._flush(rows, [len(r) for r in rows])
 
     def _flush(self, numbers: list[np.ndarray], sizes: list[int]) -> Iterator[np.ndarray]:
         self._learn()
         at = np.concatenate([*numbers, np.zeros(0, np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.lengths) - len(self.uses), np.int64)]) + np.bincount(at, minlength=len(self.lengths))
         n = self.lengths[at]
         ids = gather(self.flat, self.starts[at], n)
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *sizes])]
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             yield ids[a:b]
-        if len(self.names) > PIECES:
-            self._reset()
+        if len(self.lengths) > PIECES:
+            self._forget()
 
 
 @functools.lru_cache(maxsize=4)
