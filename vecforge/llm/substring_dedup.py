@@ -147,6 +147,20 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a task once."""
+    seen: set[bytes] = set()
+    for b in batches:
+        keys = [xxhash.xxh3_128_digest(t) for t in as_bytes(b.column(0))]
+        fresh = []
+        for k in keys:
+            fresh.append(k not in seen)
+            seen.add(k)
+        if len(seen) > REMEMBER:
+            seen.clear()
+        yield b.filter(pa.array(fresh, pa.bool_()))
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, becomes digest, bytes, and compressed text."""
     pack = zstandard.ZstdCompressor(level=1)
@@ -157,6 +171,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(**dict(zip(b.schema.names[:-1], b.columns[:-1], strict=True)), **new)
 
 
+def _distinct_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _digests(_once(batches))
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The units of each wanted run: minimizer, run text, unit number, core, bytes left and right of the core."""
     unpack = zstandard.ZstdDecompressor()
@@ -211,35 +229,37 @@ def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # texts with copies repeat from end to end; so do those that two tasks saw, as their runs then count twice
     copied = known.where("copies > 1").select("text", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"))
     own = seen.where("h is not null").select("h", "c", "text", "at")
-    minimizers = own.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    again = stored(own.join(minimizers, "h"), "runs-again")
+    # stored first, so that the join below has a shuffle of its own on either side and Spark can split a hot key
+    minimizers = stored(own.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "minimizers")
+    again = stored(own.join(minimizers.hint("shuffle_hash"), "h"), "runs-again")
     discard(seen)
     release(spark)
-    contexts = stored(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("text", "at")).alias("one")).select("h", "c", "n", "one.*"), "contexts")
+    contexts = stored(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("at").alias("at")), "contexts")
     alone = contexts.where("n = 1")  # its minimizer has other texts
     ends = (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("last")
-    whole = stored(again.join(alone.select("h", "c"), ["h", "c"], "left_anti").select("text", F.shiftright("at", 16).alias("first"), ends), "repeated-runs")
+    whole = stored(again.join(alone.select("h", "c").hint("shuffle_hash"), ["h", "c"], "left_anti").select("text", F.shiftright("at", 16).alias("first"), ends), "repeated-runs")
     discard(again)
     release(spark)
     # minimizers with several texts, at least one of them single
     several = contexts.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h")
     wanted = contexts.join(several, "h").join(known, "text").groupBy("doc", "size").agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("wanted"))
-    packed = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_digests, "doc long, size long, packed binary")
-    distinct = packed.groupBy("doc", "size").agg(F.first("packed").alias("packed"))
-    units = distinct.join(wanted, ["doc", "size"]).select("packed", "wanted").mapInArrow(_units, "h long, c long, unit long, core long, left binary, right binary, n long")
+    packed = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_distinct_digests, "doc long, size long, packed binary")
+    units = packed.join(wanted.hint("shuffle_hash"), ["doc", "size"]).select("packed", "wanted").mapInArrow(_units, "h long, c long, unit long, core long, left binary, right binary, n long")
     units = stored(units, "units")
     release(spark)
-    # equal units of different runs are one string; a core needs sorting if it has several strings, one of them single
-    strings = stored(units.groupBy("h", "core", "unit", "left", "right").agg(F.sum("n").alias("n")).withColumn("sid", F.monotonically_increasing_id()), "unit-strings")
+    # equal units of different runs are one string; a core needs sorting if it has several strings, one of them single;
+    # a text that two tasks sent gives its units twice, which changes none of these sums
+    several_runs = (F.min("c") < F.max("c")).cast("long")
+    strings = stored(units.groupBy("h", "core", "unit", "left", "right").agg((F.max("n") + several_runs).alias("n")).withColumn("sid", F.monotonically_increasing_id()), "unit-strings")
     cores = strings.groupBy("h", "core", "unit").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", "core", "unit")
-    sorted_ = stored(strings.join(cores, ["h", "core", "unit"]), "unit-sorted")
+    sorted_ = stored(strings.join(cores.hint("shuffle_hash"), ["h", "core", "unit"]), "unit-sorted")
     release(spark)
     ranked = suffix_order(sorted_.mapInArrow(_letters, "sid long, letters array<long>"), UNIT + 1)
     suffixes = sorted_.join(ranked, "sid").select("sid", "h", "core", "left", "right", "ranks").mapInArrow(_windows, "sid long, t int, position long, prefix binary")
     hits = adjacent(suffixes, "prefix").where("repeated").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, t)")).alias("mask"))
     every = (1 << UNIT) - 1
     masks = strings.join(hits, "sid", "left").select("h", "core", "unit", "left", "right", F.when(F.col("n") > 1, F.lit(every)).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0")
-    single = units.where("n = 1").join(masks, ["h", "core", "unit", "left", "right"]).groupBy("h", "c").agg(F.collect_list(F.struct("unit", "mask")).alias("masks"))
+    single = units.where("n = 1").join(masks.hint("shuffle_hash"), ["h", "core", "unit", "left", "right"]).groupBy("h", "c").agg(F.collect_list(F.struct("unit", "mask")).alias("masks"))
     single = single.join(alone, ["h", "c"]).select("text", "at", "masks")
     partly = stored(single.mapInArrow(_starts, "text long, first long, last long"), "unit-windows")
     discard(units, strings, sorted_)
@@ -254,7 +274,7 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, at, masks in zip(*(c.to_pylist() for c in b.columns), strict=True):
             a = at >> 16
             z, p = a + ((at >> 8) & 255), a + (at & 255)
-            starts = sorted(s for m in masks for t in range(UNIT) if m["mask"] >> t & 1 and a <= (s := p - m["unit"] * UNIT - t) <= z)
+            starts = sorted({s for m in masks for t in range(UNIT) if m["mask"] >> t & 1 and a <= (s := p - m["unit"] * UNIT - t) <= z})
             for s in starts:
                 if rows and rows[-1][0] == text and rows[-1][2] == s - 1:
                     rows[-1] = (*rows[-1][:2], s)
@@ -293,7 +313,7 @@ def _with_windows(docs: DataFrame, keep: list[str], id_col: str, text_col: str)
     columns = [F.col(c).alias(f"keep_{c}") for c in keep]
     fields = "".join(f"`keep_{c}` {dict(docs.dtypes)[c]}, " for c in keep)
     packed = own.select(*columns, F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, f"{fields}doc long, size long, packed binary")
-    return packed.join(grouped, ["doc", "size"], "left").select(*[f"`keep_{c}`" for c in keep], "size", "packed", "windows")
+    return packed.join(grouped.hint("shuffle_hash"), ["doc", "size"], "left").select(*[f"`keep_{c}`" for c in keep], "size", "packed", "windows")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
