@@ -9,7 +9,7 @@ from vecforge.functions.arrays import as_doubles
 
 #: Record layouts of measurement reports.
 MEASUREMENTS = "passage int, channel string, kind string, kv_mode string, k_bits int, v_bits int, delta_ppl double, top1_pair double, k_mse_layer0 double, v_mse_layer0 double, ppl_ref double, ppl_alt double, t_alt double, fire_count int, fatal string"
-STORAGE = "passage int, channel string, kind string, q_range int, k_bits_per_tok_per_head int, v_bits_per_tok_per_head int, baseline_bytes_128k bigint, kakeya_bytes_128k bigint, total_ratio_128k double, ppl_ref double, ppl_alt double, delta_ppl double, top1_pair double, k_mse_rel double, v_mse_rel double, k_cos_mean double, v_cos_mean double, t_codec double, t_alt double, fire_count int, mismatch_count int, missing_count int, fatal string"
+STORAGE = "passage int, channel string, kind string, q_range int, k_bits_per_tok_per_head int, v_bits_per_tok_per_head int, baseline_bytes_128k bigint, coded_bytes_128k bigint, total_ratio_128k double, ppl_ref double, ppl_alt double, delta_ppl double, top1_pair double, k_mse_rel double, v_mse_rel double, k_cos_mean double, v_cos_mean double, t_codec double, t_alt double, fire_count int, mismatch_count int, missing_count int, fatal string"
 RETRIEVAL = "ctx_len int, depth double, channel string, codec_bits_per_token_per_head int, n_correct int, n_trials int, accuracy double, sample_outputs array<string>, t_gen_last double"
 
 
