@@ -96,3 +96,16 @@ def test_ties_lengths_and_few_candidates(spark, monkeypatch):
     few = ann.nearest(table(spark, [[1.0, 2.0], [2.0, 1.0], [0.0, 0.0], None, [1.0, None], [3.0, 3.0]], [0, 5, 7, 8, 9, 20]), F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.id) for r in few] == [(0, 1, 20), (0, 2, 5), (20, 1, 0), (20, 2, 5)]
     assert ann.nearest(table(spark, []), F.col("id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("mean, norms", [(0.71, False), (0.89, True)])
+def test_recall_with_a_common_direction(spark, mean, norms):
+    rng = np.random.default_rng(8)
+    x = itq.unit(rng.normal(size=(4000, 64)) * np.sqrt((1 - mean**2) / 64) + mean * np.eye(64)[0])
+    x = (x * rng.uniform(0.3, 3, (4000, 1)) if norms else x).astype(np.float32).astype(float)
+    got = {}
+    for r in ann.nearest(table(spark, x), F.col("id") % 40 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert {len(own) for own in got.values()} == {20} and len(got) == 100
+    hits = sum(len({i for i, _ in nearest(x, np.arange(4000), q, 20)} & own) for q, own in got.items())
+    assert hits / (100 * 20) > 0.95

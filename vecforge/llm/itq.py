@@ -41,9 +41,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def learn(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection dims x bits): ``bits`` at most the dimensions; centred on principal axes, then rotated."""
-    mean = x.mean(axis=0)
+def learn(x: np.ndarray, bits: int, seed: int, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection dims x bits): ``bits`` at most the dimensions; on principal axes, then rotated. Not ``centred``,
+    the mean is zero, and the codes compare the angles of the vectors as they are."""
+    mean = x.mean(axis=0) if centred else np.zeros(x.shape[1])
     z = x - mean
     _, axes = np.linalg.eigh(z.T @ z)
     axes = axes[:, ::-1][:, :bits]
@@ -55,16 +56,17 @@ def learn(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, axes @ rotation
 
 
-def fit(vecs: DataFrame, bits: int, seeds: tuple[int, ...], extra: float | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One code table for each seed, from a hash sample of about ``FIT_ROWS`` of the rows (digest, vec)."""
+def sample(vecs: DataFrame) -> np.ndarray:
+    """A hash sample of about ``FIT_ROWS`` of the rows (digest, vec)."""
     n = vecs.count()
     rows = vecs if n <= FIT_ROWS else vecs.where(F.pmod(F.xxhash64("digest", F.lit("itq")), F.lit(1_000_000)) < int(FIT_ROWS / n * 1_000_000))
-    x = unit(matrix([r[0] for r in rows.orderBy("digest").select("vec").collect()]))
-    if not x.size:
-        return []
-    if extra is not None:
-        x = np.hstack([x, np.full((len(x), 1), extra)])
-    return [learn(x, min(bits, x.shape[1]), s) for s in seeds]
+    return matrix([r[0] for r in rows.orderBy("digest").select("vec").collect()])
+
+
+def fit(vecs: DataFrame, bits: int, seeds: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One code table for each seed."""
+    x = unit(sample(vecs))
+    return [learn(x, min(bits, x.shape[1]), s) for s in seeds] if x.size else []
 
 
 def codes(x: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
