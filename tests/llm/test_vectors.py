@@ -109,3 +109,16 @@ def test_recall_with_a_common_direction(spark, mean, norms):
     assert {len(own) for own in got.values()} == {20} and len(got) == 100
     hits = sum(len({i for i, _ in nearest(x, np.arange(4000), q, 20)} & own) for q, own in got.items())
     assert hits / (100 * 20) > 0.95
+
+
+@pytest.mark.parametrize("mean", [0.01, 0.71, 0.89])
+def test_separate_pairs_with_a_common_direction(spark, mean):
+    rng = np.random.default_rng(12)
+    a = itq.unit(rng.normal(size=(1500, 64)) * np.sqrt((1 - mean**2) / 64) + mean * np.eye(64)[0])
+    side = rng.normal(size=a.shape)
+    side = itq.unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    x = np.concatenate([a, 0.951 * a + np.sqrt(1 - 0.951**2) * side]).astype(np.float32).astype(float)
+    links, _ = brute(x)
+    found = sum(r.n_links for r in embedding_dedup.near_duplicates(table(spark, x)).collect())
+    print(f"links found at mean {mean}: {found / links.sum():.4f}")
+    assert 0.98 * links.sum() <= found <= links.sum()

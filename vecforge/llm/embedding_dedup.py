@@ -1,9 +1,11 @@
 """Near-duplicate embeddings: rotated binary codes, multi-index Hamming tables, exact rerank.
 
-Equal vectors are one class. Each class gets a 64-bit code by iterative quantisation; the code is cut into three
-substrings, and each substring and its one-bit neighbours are index keys, so codes meet if they differ by at most
-two bits in some substring (certain for up to eight bits in all). Meetings of at most ``MAX_BITS`` bits join
-candidates to components. In each component the original vectors are compared in blocks of ``BLOCK``, which gives
+Equal vectors are one class. Each class gets a 64-bit code by iterative quantisation in each of some tables; a code is
+cut into three substrings, and each substring and its one-bit neighbours are index keys, so codes meet if they differ
+by at most two bits in some substring (certain for up to eight bits in all). Meetings within a table's radius join
+candidates to components. Codes are centred, so the angle that the threshold means there depends on the vectors: pairs
+exactly at the threshold are made from sampled vectors, and tables are added until ``MET`` of them meet in some table.
+If ``MOST`` tables are too few, as with vectors that nearly all link, all classes are compared. In each component the original vectors are compared in blocks of ``BLOCK``, which gives
 all links of at least the threshold inside it: counts for each class and a spanning forest, never a list of pairs.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component link with nothing;
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecforge.llm import hamming, itq
-from vecforge.llm.common import connected_components, n_partitions, record_batch, sorted_runs, stored
+from vecforge.llm.common import connected_components, n_partitions, popcount, record_batch, sorted_runs, stored
 
 THRESHOLD = 0.95
 BITS = 64
@@ -30,6 +32,9 @@ SUBSTRINGS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 12
 BLOCK = 1024
 SEED = 11
+MET = 0.99
+MOST = 24
+PROBES = 4000
 
 
 def keys(codes: np.ndarray) -> list[np.ndarray]:
@@ -41,6 +46,29 @@ def keys(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def plan(x: np.ndarray, threshold: float) -> list[tuple[tuple[np.ndarray, np.ndarray], int]] | None:
+    """(code table, radius) for as many tables as let ``MET`` of the pairs at the threshold meet; none if ``MOST`` do not.
+
+    ``x`` holds sampled unit vectors; each probe is one of them, turned by the threshold's angle in a random direction."""
+    rng = np.random.default_rng(SEED)
+    a = x[np.linspace(0, len(x) - 1, PROBES).astype(int)]
+    side = rng.normal(size=a.shape)
+    side = itq.unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    b = threshold * a + np.sqrt(max(1 - threshold**2, 0.0)) * side
+    met, out = np.zeros(len(a), bool), []
+    for seed in range(SEED, SEED + MOST):
+        table = itq.learn(x, min(BITS, x.shape[1]), seed)
+        bits = itq.codes(a, table) ^ itq.codes(b, table)
+        apart = popcount(bits)
+        radius = max(MAX_BITS, int(np.ceil(apart.mean() + 2 * apart.std())))
+        some = np.any([popcount(bits >> np.uint64(first) & np.uint64((1 << width) - 1)) <= 2 for first, width in SUBSTRINGS], axis=0)
+        met |= some & (apart <= radius)
+        out.append((table, radius))
+        if met.mean() >= MET:
+            return out
+    return None
+
+
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, c in sorted_runs(batches, "pair", 1 << 62):
@@ -75,27 +103,44 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, n_links, component_id) for each row with an id."""
-    n = n_partitions(df.sparkSession)
-    vecs = stored(itq.vectors(df, id_col, vec_col), "vectors")
-    classes = stored(vecs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("vec").alias("vec")), "vector-classes")
-    tables = itq.fit(classes, BITS, (SEED,))
+def _candidates(classes: DataFrame, tables: list[tuple[tuple[np.ndarray, np.ndarray], int]], fit: int) -> DataFrame:
+    """(id, root) for each class that meets another in some table."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(1).to_pylist()
-            fit = len(tables[0][0]) * 8 if tables else -1
             own = [i for i, r in enumerate(raw) if len(r) == fit]
-            out = np.zeros(len(raw), np.uint64)
+            out = np.zeros((len(tables), len(raw)), np.uint64)
             if own:
-                out[own] = itq.codes(itq.unit(itq.matrix([raw[i] for i in own])), tables[0])
-            yield record_batch(id=b.column(0), code=out.view(np.int64))
+                x = itq.unit(itq.matrix([raw[i] for i in own]))
+                out[:, own] = [itq.codes(x, table) for table, _ in tables]
+            yield record_batch(id=b.column(0), codes=pa.array(out.view(np.int64).T.tolist(), pa.list_(pa.int64())))
 
-    coded = stored(classes.select("id", "vec").mapInArrow(code, "id long, code long"), "vector-codes")
-    # classes of one code are joined through the code's smallest id
-    near = connected_components(hamming.links(coded, keys, MAX_BITS)).select(F.col("id").alias("code"), "root")
-    grouped = coded.join(near, "code", "left").select("id", F.coalesce("root", "code").alias("candidate"))
+    coded = stored(classes.select("id", "vec").mapInArrow(code, "id long, codes array<long>"), "vector-codes")
+    edges = None
+    for t, (_, radius) in enumerate(tables):
+        own = coded.select("id", F.col("codes")[t].alias("code"))
+        low = own.groupBy("code").agg(F.min("id").alias("low"))  # classes of one code are joined through its smallest id
+        met = hamming.links(own.select("code"), keys, radius).join(low.select(F.col("code").alias("u"), F.col("low").alias("a")), "u").join(low.select(F.col("code").alias("v"), F.col("low").alias("b")), "v")
+        found = stored(met.select(F.col("a").alias("u"), F.col("b").alias("v")).union(own.join(low, "code").where("id <> low").select("id", "low")), "vector-edges")
+        edges = found if edges is None else edges.union(found)
+    return connected_components(edges)
+
+
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, n_links, component_id) for each row with an id."""
+    n = n_partitions(df.sparkSession)
+    vecs = stored(itq.vectors(df, id_col, vec_col), "vectors")
+    classes = stored(vecs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("vec").alias("vec")), "vector-classes")
+    sampled = itq.unit(itq.sample(classes))
+    tables = plan(sampled, threshold) if sampled.size else []
+    if tables is None:
+        grouped = classes.select("id", F.octet_length("vec").cast("long").alias("candidate"))
+    elif not tables:
+        grouped = classes.select("id", F.col("id").alias("candidate"))
+    else:
+        near = _candidates(classes, tables, sampled.shape[1] * 8)
+        grouped = classes.select("id").join(near, "id", "left").select("id", F.coalesce("root", "id").alias("candidate"))
     sizes = grouped.groupBy("candidate").count().where("count > 1").select("candidate", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     members = grouped.join(sizes, "candidate").join(classes.select("id", "mult", "vec"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

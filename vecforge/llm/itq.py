@@ -63,12 +63,6 @@ def sample(vecs: DataFrame) -> np.ndarray:
     return matrix([r[0] for r in rows.orderBy("digest").select("vec").collect()])
 
 
-def fit(vecs: DataFrame, bits: int, seeds: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One code table for each seed."""
-    x = unit(sample(vecs))
-    return [learn(x, min(bits, x.shape[1]), s) for s in seeds] if x.size else []
-
-
 def codes(x: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """One code of up to 64 bits for each row of unit vectors."""
     mean, projection = table
