@@ -1,14 +1,17 @@
 """Helpers that the operators of this package share.
 
-Tables that cut lineage go to the folder that the cluster names in ``spark.checkpoint.dir``;
-a folder of our own is used only where that setting is absent, as in tests.
+Tables that cut lineage go to the folder that the cluster names in ``spark.checkpoint.dir``. Without that setting, a
+folder of our own serves a session that is one process, as in tests; on a cluster it is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+#: Where the tables that ``stored`` gave are kept.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: While a table is written: its shuffle files go when it is done, and Python workers get small batches of long rows.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", master := spark.conf.get("spark.master", "")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master!r} share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return f"file://{_LOCAL[0]}"
@@ -32,27 +41,37 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _writing(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that only finished, stored steps have read."""
+    """Empty stored tables that only finished, stored steps have read."""
     for table in tables:
-        spark = table.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if folder.startswith(shared_dir(spark)):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps whose result is already stored."""
-    spark.sparkContext._jvm.System.gc()
+        if path := _PATHS.pop(table, None):
+            table.sparkSession.range(0).write.mode("overwrite").parquet(path)
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -81,7 +100,7 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id that occurs in ``edges`` (u long, v long); root is the smallest id reachable.
 
     Alternates the large-star and small-star steps; each round is stored, so a lost executor costs one
@@ -89,17 +108,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        before = state
+        before, last = state, now
         both = _neighbours(now)
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         now = stored(small.where("u <> v").distinct(), "edges")
+        discard(last)
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct().groupBy("id").agg(F.min("root").alias("root"))
 
 
@@ -139,7 +159,7 @@ def sorted_runs(batches: Iterable[pa.RecordBatch], key: str, cap: int) -> Iterat
                 for n, v in cols.items():
                     held[n].append(v[a : a + take])
                 size, a = size + take, a + take
-                if size == cap and (a < b or True):
+                if size == cap:
                     yield current, block, {n: np.concatenate(v) for n, v in held.items()}
                     held, size, block = {n: [] for n in cols}, 0, block + 1
     if size:
