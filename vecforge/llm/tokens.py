@@ -3,7 +3,8 @@
 Both vocabularies used here never join characters across a blank that is followed by another character than
 white space. A text is cut at such blanks; each distinct piece is encoded once by the library, and whole texts are
 put together from the pieces' ids with array operations. ``keep_blank`` says whether the blank belongs to the piece
-after it (byte-level BPE) or is dropped (word BPE).
+after it (byte-level BPE) or is dropped (word BPE). A text that holds the string of an added token, such as an end
+mark, goes through the library as a whole, so that all texts get the ids of a plain call without special tokens added.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.short = _Known(lambda text: [t.id for t in self.model.tokenize(text.translate(_VISIBLE))])
         self.keep_blank = keep_blank
@@ -197,8 +198,11 @@ class Encoder:
         odd = sizes > BATCH_CHARS
         if self.keep_blank:
             odd = odd | pc.match_substring_regex(column, _ODD_BLANK_RE2).to_numpy(zero_copy_only=False)
+        marked = np.zeros(len(odd), bool)
+        for mark in self.marks:
+            marked |= pc.match_substring(column, mark, ignore_case=True).to_numpy(zero_copy_only=False)
         rows: list[np.ndarray | None] = [None] * len(odd)
-        plain = np.flatnonzero(~odd)
+        plain, odd = np.flatnonzero(~odd & ~marked), odd & ~marked
         if len(plain):
             lists = pc.split_pattern(column.take(pa.array(plain)), " ")
             first = np.array(lists.offsets)
@@ -212,7 +216,12 @@ class Encoder:
                 rows[i] = numbers[a:b]
         for i in np.flatnonzero(odd).tolist():
             rows[i] = np.concatenate([self._numbers(part, j == 0) for j, part in enumerate(self._windows(column[i].as_py()))])
-        yield from self._flush(rows, [len(r) for r in rows])
+        if not marked.any():
+            yield from self._flush(rows, [len(r) for r in rows])
+            return
+        pieced = self._flush([r for r in rows if r is not None], [len(r) for r in rows if r is not None])
+        for i, r in enumerate(rows):
+            yield next(pieced) if r is not None else np.array(self.library.encode(column[i].as_py(), add_special_tokens=False).ids, self.kind)
 
     def _flush(self, numbers: list[np.ndarray], sizes: list[int]) -> Iterator[np.ndarray]:
         self._learn()
