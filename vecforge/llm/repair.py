@@ -1,9 +1,12 @@
 """Token-id shards compressed by Re-Pair grammars, with random access.
 
 Documents are sorted by id, encoded, and cut into shards of about ``SHARD_TOKENS`` ids. In each shard the most
-frequent neighbouring pairs are replaced by nonterminals, round after round, until no pair is frequent; a pair never
-reaches across the end of a document. A shard stores its rules, the expansion length of each rule, the symbols, and
-where each document starts, so one document is decoded without touching the others.
+frequent neighbouring pairs are replaced by nonterminals, round after round, until no pair occurs ``LEAST`` times
+without overlapping itself; a pair never reaches across the end of a document. One round replaces every pair where no
+more frequent one overlaps it, so the most frequent pair always goes first where pairs compete. A shard stores its
+rules, the expansion length of each rule, the symbols, and where each document starts, so one document is decoded
+without touching the others. ``LEAST`` is a parameter of the grammar: a rule takes twelve bytes, an occurrence saves
+two or four.
 
 File format: Parquet rows (shard, first id, documents, tokens, payload). The payload is little-endian: five uint32
 (magic, documents, rules, symbols, bytes in a symbol), then document ids int64, first symbol of each document uint32
@@ -33,60 +36,77 @@ from vecforge.llm.tokens import encoder, gather
 SHARD_TOKENS = 1 << 20
 MAGIC = 0x52505231
 END = 2
-ROUNDS = 8
 LEAST = 48
-#: Pairs replaced in one round, most frequent first.
-AT_ONCE = 1024
-HASH_BITS = 17
-#: Odd multipliers that spread codes of either width over the buckets.
-_SPREAD = {np.uint32: 0x9E3779B1, np.uint64: 0x9E3779B97F4A7C15}
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _among(code: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in ``code`` of the values ``wanted``, which are sorted; their places in ``wanted``)."""
+    bits = code.dtype.itemsize * 8
+
+    def bucket(x: np.ndarray) -> np.ndarray:
+        return ((x * x.dtype.type(0x9E3779B1)) >> x.dtype.type(bits - 17)).astype(np.intp)
+
+    maybe = np.zeros(1 << 17, bool)
+    maybe[bucket(wanted)] = True
+    at = np.flatnonzero(maybe[bucket(code)])
+    place = np.searchsorted(wanted, code[at])
+    same = wanted[np.minimum(place, len(wanted) - 1)] == code[at]
+    return at[same], place[same]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, document end after each symbol, rules) of one shard; ``ends`` marks the last id of each document.
 
-    Pairs are counted in hash buckets. Of each bucket one pair stands for the others, and its own occurrences are
-    counted exactly; the rest of the bucket waits for a later round, which hashes anew."""
-    kind = np.uint32 if base < 1 << 16 else np.uint64
-    half = kind(16 if base < 1 << 16 else 32)
-    symbols, last = ids.astype(kind), ends.copy()
+    Counts only fall, but for pairs with a new symbol: after the first round, only those and the occurrences that a
+    more frequent pair kept from being replaced are counted again, exactly."""
+    symbols, last, top = ids.astype(np.uint32), ends.copy(), base
     rules: list[np.ndarray] = []
-    n_rules, room = 0, (1 << 16) - base if base < 1 << 16 else 1 << 24
-    for turn in range(ROUNDS):
-        if len(symbols) < 2 or n_rules >= room:
+    open_ = np.flatnonzero(~last[:-1])  # where a pair begins that may be frequent
+    while len(open_) >= least:
+        kind, half = (np.uint32, 16) if top <= 1 << 16 else (np.uint64, 32)
+        code = (symbols[open_].astype(kind) << kind(half)) | symbols[open_ + 1].astype(kind)
+        values, counts = np.unique(code, return_counts=True)
+        values = values[counts >= least]
+        if not len(values):
             break
-        code = (symbols[:-1] << half) | symbols[1:]
-        spread = kind(_SPREAD[kind] + 2 * turn)
-        bucket = ((code * spread) >> kind(code.itemsize * 8 - HASH_BITS)).astype(np.intp)
-        speaks = np.zeros(1 << HASH_BITS, kind)
-        speaks[bucket] = code
-        own = np.flatnonzero((code == speaks[bucket]) & ~last[:-1])
-        at = bucket[own]
-        counts = np.bincount(at, minlength=1 << HASH_BITS)
-        top = np.flatnonzero(counts >= LEAST)
-        top = top[np.lexsort((speaks[top], -counts[top]))][: min(AT_ONCE, room - n_rules)]
-        if not len(top):
+        hit, which = _among(code, values)
+        at = open_[hit]
+        beside = np.diff(at) == 1
+        # a pair of equal symbols overlaps itself: of neighbouring occurrences every other one counts
+        begins = np.concatenate([[True], ~beside | (which[1:] != which[:-1])])
+        place = np.arange(len(at))
+        apart = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+        counts = np.bincount(which[apart], minlength=len(values))
+        rank = np.empty(len(values), np.int64)
+        rank[np.lexsort((values, -counts))] = np.arange(len(values))
+        own = np.where(counts >= least, rank, len(values))[which]
+        takes = apart & (own < len(values))
+        takes[1:] &= ~beside | (own[1:] <= own[:-1])
+        takes[:-1] &= ~beside | (own[:-1] <= own[1:])
+        made = np.bincount(which[takes], minlength=len(values)) >= least
+        takes &= made[which]
+        if not takes.any():  # what is left overlaps itself
             break
-        rank = np.full(1 << HASH_BITS, -1, np.int32)
-        rank[top] = np.arange(len(top))
-        which = rank[at]
-        hit = which >= 0
-        where, which = own[hit], which[hit]
-        # neighbouring hits overlap: of each run, the first, third, ... are replaced
-        start = np.concatenate([[True], np.diff(where) != 1])
-        begin = np.maximum.accumulate(np.where(start, np.arange(len(where)), 0))
-        take = (np.arange(len(where)) - begin) % 2 == 0
-        where, which = where[take], which[take]
-        used = np.flatnonzero(np.bincount(which, minlength=len(top)))
-        number = np.zeros(len(top), np.int64)
-        number[used] = np.arange(len(used))
-        pairs = speaks[top[used]]
-        rules.append(np.stack([pairs >> half, pairs & kind((1 << int(half)) - 1)], 1).astype(np.uint32))
-        symbols[where] = (base + n_rules + number[which]).astype(kind)
+        new = np.flatnonzero(made)
+        number = np.zeros(len(values), np.uint32)
+        number[new[np.argsort(rank[new])]] = top + np.arange(len(new), dtype=np.uint32)
+        pairs = values[new[np.argsort(rank[new])]]
+        rules.append(np.stack([pairs >> kind(half), pairs & kind((1 << half) - 1)], 1).astype(np.uint32))
+        where = at[takes]
+        symbols[where] = number[which[takes]]
         last[where] = last[where + 1]
         stay = np.ones(len(symbols), bool)
         stay[where + 1] = False
-        symbols, last, n_rules = symbols[stay], last[stay], n_rules + len(used)
+        fresh = np.zeros(len(symbols), bool)
+        fresh[where] = True
+        again = at[(own < len(values)) & ~takes]
+        moved = np.cumsum(stay) - 1
+        again = moved[again[stay[again] & stay[again + 1] & ~fresh[again] & ~fresh[again + 1]]]
+        symbols, last, top = symbols[stay], last[stay], top + len(new)
+        where = moved[where]
+        fresh = np.zeros(len(symbols), bool)
+        fresh[again] = fresh[where] = fresh[where[where > 0] - 1] = True
+        open_ = np.flatnonzero(fresh[:-1] & ~last[:-1])
     return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
