@@ -1,26 +1,29 @@
 """Toxic passages by maximum-scoring segments.
 
-Words (and their first four to six bytes) get log-odds of toxic against clean documents under a Dirichlet prior.
-A linear-time scan finds every maximal segment of positive total in a document; the segments' scores are put on
-one scale by extreme-value statistics fitted to clean documents (Gumbel tail, Karlin-Altschul sum statistic), and
-an isotonic curve turns that into a probability. The scan covers the whole text.
-
-Bounds: features are 32-bit hashes and only significant ones leave the shuffle; labels are joined as a broadcast of
-at most about ``MAX_LABELS`` rows, a hash sample when there are more; corpus text is never shuffled. Repeated words
+Words and their first four to six bytes are features. Each has a log-odds of toxic against clean documents under a
+Dirichlet prior that adds ``PRIOR`` documents of the smaller class, and as large a share of the other; so a feature
+that was never seen has log-odds zero. A word scores the log-odds of its feature with the largest magnitude, positive
+or negative, less ``DRIFT``. A linear-time scan finds every maximal segment of positive total in the whole text;
+totals are put on one scale by extreme-value statistics fitted to clean documents (Gumbel tail, Karlin-Altschul sum
+statistic over all segments), and an isotonic curve turns that into a probability.
+
+Bounds: labels are joined as a broadcast of at most about ``MAX_LABELS`` rows, a hash sample when there are more, so
+the features come from so many texts at most; of them the ``MOST_FEATURES`` with the largest magnitude above
+``LEAST`` (what a few documents can give) make the model, eight bytes each. Corpus text is never shuffled. Repeated words
 within a document count once, and training documents with the same smallest shingle hash (copies and most near
 copies) share the weight of one, so that a large group of copies doesn't make its rare words look toxic.
 
 Defined results: a null or empty text has no segment and gets the score of a clean document; a document labelled
 twice counts as toxic if either says so; rows with a null id or label do not train; rows with a null id are left
 out of the result; repeated rows come back as often as they came; without training rows of both classes every
-score is the share of toxic labels (0.5 without any label); other columns are never inputs.
+score is the share of toxic labels (0.5 without any label); other columns are never inputs, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,12 @@ SHINGLE = 3
 FLUSH = 200_000
 MAX_LABELS = 400_000
 PREFIXES = (4, 5, 6)
-PRIOR = 0.5
-PRIOR_SHARE = 0.01
-LEAST_Z = 3.3
-LEAST_DELTA = 2.0
-MOST = 8.0
+PRIOR = 5.0
+LEAST = 0.75
+MOST_FEATURES = 1 << 20
 DRIFT = 0.25
+#: A segment is reported as a passage if fewer than so many as high are expected in a clean text of that length.
+EXPECTED = 0.05
 CACHE = 100_000
 LOW, HIGH = -20.0, 80.0
 #: ASCII capitals become small, ASCII punctuation, digits and controls become blanks.
@@ -49,9 +52,10 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else
 
 @dataclass(frozen=True)
 class Model:
-    """weights: log-odds of significant buckets; lam, k: tail of clean documents; curve: calibration."""
+    """keys, weights: features in order and their log-odds; lam, k: tail of clean documents; curve: calibration."""
 
-    weights: dict[int, float] = field(default_factory=dict)
+    keys: np.ndarray
+    weights: np.ndarray
     lam: float = 1.0
     k: float = 1e-3
     curve: tuple[np.ndarray, np.ndarray] | None = None
@@ -111,7 +115,7 @@ def evidence(totals: list[float], n_words: int, lam: float, k: float) -> float:
         return LOW
     shift = math.log(max(k * max(n_words, 1), 1e-12))
     best, total = LOW, 0.0
-    for r, s in enumerate(sorted(totals, reverse=True)[:64], 1):
+    for r, s in enumerate(sorted(totals, reverse=True), 1):
         total += lam * s - shift
         if r > 1 and total <= r * (r + 1):  # the tail formula holds above that only
             break
@@ -177,36 +181,71 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_odds(counts: DataFrame, n_clean: float, n_toxic: float) -> DataFrame:
-    """(bucket, delta) of the features that are significantly more frequent in toxic documents.
+    """(bucket, delta): the log-odds of each feature, positive or negative, that may pass ``LEAST``.
+
+    The prior adds the same rate to both classes: ``PRIOR`` documents of the smaller one."""
+    rate = F.lit(PRIOR / min(n_clean, n_toxic))
+    t, c = F.col("toxic") / n_toxic + rate, F.col("clean") / n_clean + rate
+    return counts.select("bucket", (F.log(t) - F.log(c)).alias("delta")).where(F.abs("delta") >= LEAST)
+
+
+class _Scorer:
+    """The segments of texts; the scores of words are kept as long as they are few."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        keys, values = self.model.keys, self.model.weights
+        best = np.zeros(len(fresh))
+        if len(keys):
+            own = [buckets(w) for w in fresh]
+            n = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.fromiter((i for x in own for i in x), np.uint32, int(n.sum()))
+            at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+            delta = np.where(keys[at] == flat, values[at], 0.0)
+            starts = np.cumsum(n) - n
+            high, low = np.maximum.reduceat(delta, starts), np.minimum.reduceat(delta, starts)
+            best = np.where(high >= -low, high, low)
+        self.known.update(zip(fresh, (best - DRIFT).tolist(), strict=True))
 
-    The prior of a feature is a constant and a small share of its count in all training documents."""
-    prior = PRIOR + PRIOR_SHARE * (F.col("clean") + F.col("toxic")) / 2
-    t, c = F.col("toxic") + prior, F.col("clean") + prior
-    delta = F.log(t / (n_toxic + 2 * prior - t)) - F.log(c / (n_clean + 2 * prior - c))
-    return counts.withColumn("delta", delta).where((F.col("delta") >= LEAST_DELTA) & (F.col("delta") / F.sqrt(1 / t + 1 / c) >= LEAST_Z)).select("bucket", F.least("delta", F.lit(MOST)).alias("delta"))
+    def __call__(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int, float]]]]:
+        split = [words(t) for t in texts]
+        if len(self.known) > CACHE:
+            self.known = {}
+        known = self.known
+        fresh = [w for w in {w for own in split for w in own} if w not in known]
+        if fresh:
+            self._learn(fresh)
+        return [len(own) for own in split], [segments(np.fromiter(map(known.__getitem__, own), float, len(own))) for own in split]
 
 
-def _scorer(model: Model):
-    get = model.weights.get
-    cache = _Cached(lambda w: max((get(i, 0.0) for i in buckets(w)), default=0.0) or -DRIFT)
+#: Texts whose words are looked up together.
+TOGETHER = 256
 
-    def run(text: bytes) -> tuple[int, list[tuple[int, int, float]]]:
-        own = words(text)
-        return len(own), segments(np.fromiter(map(cache.__getitem__, own), float, len(own)))
 
-    return run
+def _scored(texts: list[bytes], scorer: _Scorer) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+    for i in range(0, len(texts), TOGETHER):
+        yield from zip(*scorer(texts[i : i + TOGETHER]), strict=True)
+
+
+def _raw(found: list[tuple[int, list[tuple[int, int, float]]]], model: Model) -> np.ndarray:
+    return np.array([evidence([s[2] for s in segs], n, model.lam, model.k) for n, segs in found], float)
+
+
+def _value(raw: np.ndarray, model: Model) -> np.ndarray:
+    return np.full(len(raw), model.base) if model.curve is None else calibration.apply(model.curve, raw)
 
 
 def raw_scores(rows: DataFrame, model: Model) -> DataFrame:
     """(_id, label, n_words, top, raw) of rows (_id, text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(model)
+        scorer = _Scorer(model)
         for b in batches:
-            found = [score(t) for t in as_bytes(b.column(1))]
-            totals = [[s[2] for s in segs] for _, segs in found]
-            raw = [evidence(t, n, model.lam, model.k) for (n, _), t in zip(found, totals, strict=True)]
-            yield record_batch(_id=b.column(0), label=b.column(2), n_words=pa.array([n for n, _ in found], pa.int64()), top=pa.array([max(t, default=0.0) for t in totals], pa.float64()), raw=pa.array(raw, pa.float64()))
+            found = list(_scored(as_bytes(b.column(1)), scorer))
+            top = [max((s[2] for s in segs), default=0.0) for _, segs in found]
+            yield record_batch(_id=b.column(0), label=b.column(2), n_words=pa.array([n for n, _ in found], pa.int64()), top=pa.array(top, pa.float64()), raw=_raw(found, model))
 
     return rows.select("_id", "text", "label").mapInArrow(run, "_id long, label double, n_words long, top double, raw double")
 
@@ -219,46 +258,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     n_toxic, n_clean = learn.agg(F.sum(F.col("label") * F.col("weight")), F.sum((1 - F.col("label")) * F.col("weight"))).first()
     n, toxic = given.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not n_toxic or not n_clean:
-        return Model(base=toxic / n if n else 0.5)
+        return Model(np.zeros(0, np.uint32), np.zeros(0, np.float32), base=toxic / n if n else 0.5)
     counts = labelled(docs, learn, id_col, text_col).select("text", "label", "weight").mapInArrow(_count, "bucket long, clean double, toxic double").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    weights = {r.bucket: r.delta for r in log_odds(counts, n_clean, n_toxic).collect()}
-    kept = stored(raw_scores(rows.where(calibrates()), Model(weights)), "toxic-calibration")
-    over, excess, exposed = kept.where("label = 0").agg(F.sum((F.col("top") > 0).cast("double")), F.sum("top"), F.sum("n_words")).first()
+    chosen = log_odds(counts, n_clean, n_toxic).orderBy(F.desc(F.abs("delta")), "bucket").limit(MOST_FEATURES)
+    kept = sorted((r.bucket, r.delta) for r in chosen.collect())
+    keys, weights = np.array([k for k, _ in kept], np.uint32), np.array([v for _, v in kept], np.float32)
+    clean = raw_scores(rows.where(calibrates()), Model(keys, weights)).where("label = 0")
+    over, excess, exposed = clean.agg(F.sum((F.col("top") > 0).cast("double")), F.sum("top"), F.sum("n_words")).first()
     # above zero the tail of clean documents is exponential: the mean gives lambda, their share gives K
     lam = (over + 1) / ((excess or 0.0) + 1) if over is not None else 1.0
     k = ((over or 0.0) + 0.5) / max(exposed or 0, 1)
-    model = Model(weights, lam, k)
+    model = Model(keys, weights, lam, k)
     again = raw_scores(rows.where(calibrates()), model)
-    return Model(weights, lam, k, calibration.fit(again, "raw", "label", LOW, HIGH), toxic / n)
+    return Model(keys, weights, lam, k, calibration.fit(again, "raw", "label", LOW, HIGH), toxic / n)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, passages) for each row with an id; passages: (first word, end, total) of each toxic segment."""
+    """(id, score, passages) for each row with an id; passages: (first word, end, total) of each significant segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(model)
+        scorer = _Scorer(model)
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("total", pa.float64())]))
         for b in batches:
-            found = [score(t) for t in as_bytes(b.column(1))]
-            raw = np.array([evidence([s[2] for s in segs], n, model.lam, model.k) for n, segs in found], float)
-            value = np.full(len(raw), model.base) if model.curve is None else calibration.apply(model.curve, raw)
-            spans = pa.array([[{"first": s, "end": e, "total": t} for s, e, t in segs] for _, segs in found], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("total", pa.float64())])))
-            yield record_batch(id=b.column(0), score=value, passages=spans)
+            found = list(_scored(as_bytes(b.column(1)), scorer))
+            least = [math.log(max(model.k * max(n, 1), 1e-12) / EXPECTED) / model.lam for n, _ in found]
+            spans = [[{"first": s, "end": e, "total": t} for s, e, t in segs if t >= low] for (_, segs), low in zip(found, least, strict=True)]
+            yield record_batch(id=b.column(0), score=_value(_raw(found, model), model), passages=pa.array(spans, kind))
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     return own.mapInArrow(run, "id long, score double, passages array<struct<first:int,end:int,total:double>>")
 
 
 def filtered(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with an id whose score is below the threshold, with all their columns."""
-    own = docs.where(F.col(id_col).isNotNull())
-    at = docs.columns.index(text_col)
+    """The rows with an id whose score is below the threshold, with all their columns; only texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(model)
-        for b in batches:
-            found = [score(t) for t in as_bytes(b.column(at).cast(pa.string()))]
-            raw = np.array([evidence([s[2] for s in segs], n, model.lam, model.k) for n, segs in found], float)
-            value = np.full(len(raw), model.base) if model.curve is None else calibration.apply(model.curve, raw)
-            yield b.filter(pa.array(value < threshold))
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = _Scorer(model)
+        for t in texts:
+            yield pa.array(_value(_raw(list(_scored(as_bytes(t), scorer)), model), model))
 
-    return own.mapInArrow(run, own.schema)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.withColumn("score", score(F.col("row")[text_col].cast("string"))).where(F.col("score") < threshold).select("row.*")
