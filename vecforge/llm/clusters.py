@@ -1,0 +1,44 @@
+"""Connected components of rows that meet under shared keys and are linked only where a check says so.
+
+Under each key the row with the smallest id is compared with all others first, which settles groups of copies. Where
+a key still holds rows that are not joined, some ``PIVOTS`` of them are compared with all the others and taken out,
+again and again, until all that are left are joined. So every link between rows that are not joined by other links is
+found, no step grows with the square of a key's rows, and all steps are ordinary joins that Spark splits when hot.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vecforge.llm.common import connected_components, discard, stored
+
+PIVOTS = 64
+
+
+def joined(rows: DataFrame, linked: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """(id, root) for each id with a link: the smallest id reachable.
+
+    rows: (key, id), stored; ``linked`` gives those of the pairs (u, v) that are links; ``known``: links found before."""
+    first = rows.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("last")).where("u < last").select("key", "u")
+    met = stored(rows.select("key", "id").join(first, "key"), "met")
+    left = met.select("key", "id")
+    pairs = stored(met.where("u < id").select("u", F.col("id").alias("v")).distinct(), "pairs")
+    tested, links, turn = pairs, linked(pairs) if known is None else linked(pairs).union(known), 0
+    while True:
+        roots = connected_components(links)
+        labelled = left.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+        chosen = labelled.join(open_keys, "key").withColumn("pivot", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("n") / PIVOTS)) == 0)
+        labelled = stored(chosen, "open")
+        if turn == 0:
+            discard(met)
+        if labelled.isEmpty():
+            return roots
+        pivots = labelled.where("pivot").select("key", F.col("id").alias("p"), F.col("root").alias("p_root"))
+        crossed = labelled.join(pivots, "key").where("root <> p_root").select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).distinct()
+        pairs = stored(crossed.join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested, links = tested.union(pairs), links.union(linked(pairs))
+        left, turn = labelled.where("not pivot").select("key", "id"), turn + 1

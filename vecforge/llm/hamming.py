@@ -1,8 +1,9 @@
 """Joining binary codes at a small Hamming distance through shared index keys.
 
-A caller gives the keys under which a code is indexed; equal keys meet in one shuffle and each meeting is verified.
-A key's codes are taken in blocks of ``BLOCK``; for a key with more than one block, pairs of blocks become rows of
-their own. What comes out joins all codes that are linked, as a spanning forest of each bucket, never as all pairs.
+A caller gives the keys under which a code is indexed; equal keys meet in one shuffle and each meeting is verified on
+the whole codes. A key with at most ``BLOCK`` codes is compared at once and gives a spanning forest of its links,
+never all its pairs. Keys with more codes are counted beforehand and left to the pivot rounds of ``clusters``, whose
+joins Spark splits, so that no task holds a hot key.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import n_partitions, popcount, record_batch, sorted_runs, stored
+from vecforge.llm.clusters import joined
+from vecforge.llm.common import connected_components, n_partitions, popcount, record_batch, sorted_runs, stored
 
 BLOCK = 1024
 OUT = 1 << 15
@@ -42,16 +44,10 @@ def _within(x: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return x[member], x[root]
 
 
-def _between(a: np.ndarray, b: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    x = np.concatenate([a, b])
-    near = np.zeros((len(x), len(x)), bool)
-    near[: len(a), len(a) :] = popcount(a[:, None] ^ b[None, :]) <= max_bits
-    member, root = forest(near | near.T)
-    return x[member], x[root]
-
+def components(codes: DataFrame, keys: Callable[[np.ndarray], list[np.ndarray]], max_bits: int) -> DataFrame:
+    """(id, root) for the values of column ``code`` (long) that are linked with another; the smallest as signed number.
 
-def links(codes: DataFrame, keys: Callable[[np.ndarray], list[np.ndarray]], max_bits: int) -> DataFrame:
-    """(u, v) over the distinct values of column ``code``; keys: from codes (uint64) to index keys, array by array."""
+    keys: from codes (uint64) to index keys, array by array."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,7 +55,7 @@ def links(codes: DataFrame, keys: Callable[[np.ndarray], list[np.ndarray]], max_
             for at in range(0, len(all_codes), 1 << 12):
                 part = all_codes[at : at + (1 << 12)]
                 own = keys(part)
-                yield record_batch(key=np.concatenate(own).view(np.int64), code=np.tile(part, len(own)).view(np.int64))
+                yield record_batch(key=np.concatenate(own).view(np.int64), id=np.tile(part, len(own)).view(np.int64))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us: list[np.ndarray] = []
@@ -67,13 +63,10 @@ def links(codes: DataFrame, keys: Callable[[np.ndarray], list[np.ndarray]], max_
 
         def found():
             u, v = (np.concatenate([*x, np.zeros(0, np.uint64)]).view(np.int64) for x in (us, vs))
-            return record_batch(u=u, v=v, key=pa.nulls(len(u), pa.int64()), block=pa.nulls(len(u), pa.int32()), codes=pa.nulls(len(u), pa.binary()))
+            return record_batch(u=u, v=v)
 
-        for key, block, cols in sorted_runs(batches, "key", BLOCK):
-            x = cols["code"].view(np.uint64)
-            if block or len(x) == BLOCK:
-                none = pa.nulls(1, pa.int64())
-                yield record_batch(u=none, v=none, key=pa.array([key], pa.int64()), block=pa.array([block], pa.int32()), codes=pa.array([x.tobytes()], pa.binary()))
+        for _, _, cols in sorted_runs(batches, "key", BLOCK):
+            x = cols["id"].view(np.uint64)
             if len(x) > 1:
                 u, v = _within(x, max_bits)
                 us.append(u)
@@ -83,15 +76,16 @@ def links(codes: DataFrame, keys: Callable[[np.ndarray], list[np.ndarray]], max_
                 us, vs = [], []
         yield found()
 
-    def blocks_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                u, v = _between(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), max_bits)
-                yield record_batch(u=u.view(np.int64), v=v.view(np.int64))
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
 
     n = n_partitions(codes.sparkSession)
-    indexed = codes.select("code").distinct().mapInArrow(index, "key long, code long")
-    met = stored(indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long, key long, block int, codes binary"), "hamming-met")
-    blocks = met.where("block is not null").select("key", "block", "codes")
-    across = blocks.alias("a").join(blocks.alias("b"), F.expr("a.key = b.key and a.block < b.block")).select("a.codes", F.col("b.codes").alias("other"))
-    return met.where("u is not null").select("u", "v").union(across.mapInArrow(blocks_meet, "u long, v long"))
+    distinct = stored(codes.select("code").distinct(), "codes")
+    indexed = distinct.repartition(n, "code").mapInArrow(index, "key long, id long")
+    hot = stored(indexed.groupBy("key").count().where(F.col("count") > BLOCK).select("key"), "hot-keys")
+    crowded = not hot.isEmpty()
+    cool = indexed.join(hot, "key", "left_anti") if crowded else indexed
+    met = stored(cool.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long").distinct(), "hamming-links")
+    if not crowded:
+        return connected_components(met)
+    return joined(stored(indexed.join(hot, "key"), "hot-rows"), linked, met)
