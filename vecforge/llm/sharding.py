@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve.
 
-Several metadata columns are quantised at their approximate quantiles, the cells are numbered along a Hilbert
-curve, rows are sorted by that number, and the order is cut into runs of equal row counts. Rows that lie close in
+Several metadata columns are quantised at their quantiles (approximate for numbers; strings are compared whole, at
+cuts taken from the counts of their distinct values), the cells are numbered along a Hilbert curve, rows are sorted by that number, and the order is cut into runs of equal row counts. Rows that lie close in
 all dimensions share a shard, so a reader that filters on any of them skips most files.
 
 Law ``rows``: shard sizes differ by one row at most, whatever the skew: a cell that holds a third of all rows is
@@ -15,13 +15,14 @@ table gives an empty result; other columns are ignored unless asked for with ``k
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import with_position
+from vecforge.llm.common import n_partitions, stored, with_position
 
 BITS = 6
 PER_ROW = 16
@@ -53,26 +54,45 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column: strings go by their first six bytes."""
+def string_cuts(df: DataFrame, name: str, parts: int) -> list[str]:
+    """At most ``parts - 1`` values that cut the rows, in the order of the column, into runs of about equal size.
+
+    Distinct values are range-partitioned with their counts; one total for each partition reaches the driver."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange(n_partitions(df.sparkSession), "v").withColumn("part", F.spark_partition_id())
+    kept = stored(ranged, "string-counts")
+    sums = sorted((r[0], r[1]) for r in kept.groupBy("part").agg(F.sum("n")).collect())
+    total = sum(n for _, n in sums)
+    if not total:
+        return []
+    starts = df.sparkSession.createDataFrame(list(zip([p for p, _ in sums], accumulate([n for _, n in sums], initial=0), strict=False)), "part int, start long")
+    below = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("v")) - F.col("n")
+    at = kept.join(F.broadcast(starts), "part").select("v", "n", below.alias("below"))
+    cell = lambda c: F.floor(c * parts / total)
+    cuts = at.where((F.col("below") > 0) & (cell(F.col("below")) > cell(F.col("below") - 1)) | (cell(F.col("below") + F.col("n") - 1) > cell(F.col("below"))))
+    return sorted(r[0] for r in cuts.select("v").collect())
+
+
+def cells(df: DataFrame, name: str, parts: int) -> Column:
+    """The cell of each row, from 0 for null to ``parts`` less one."""
+    value: Column = F.col(name)
     if dict(df.dtypes)[name] == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+        edges: list = string_cuts(df, name, parts)
+    else:
+        value = value.cast("double")
+        found = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+        edges = sorted(set(found or []))
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= value)) if edges else F.lit(0)
 
 
 def on_curve(df: DataFrame, dims: Sequence[str], bits: int = BITS, name: str = "curve") -> DataFrame:
     """``df`` with the position of each row on the curve through the quantised ``dims``."""
-    numbers = [as_number(df, d) for d in dims]
-    at = [i / 2**bits for i in range(1, 2**bits)]
-    cuts = df.agg(*[F.percentile_approx(v, at, 10_000).alias(f"q{i}") for i, v in enumerate(numbers)]).first()
-    edges = [np.unique(np.array(c, float)) if c else np.zeros(0) for c in cuts]
 
     @F.pandas_udf("long")
     def place(frame: pd.DataFrame) -> pd.Series:
-        cells = [np.where(np.isnan(v := frame[c].to_numpy(float)), 0, np.searchsorted(e, v, "right")) for c, e in zip(frame, edges, strict=True)]
-        return pd.Series(hilbert_index(np.stack(cells), bits))
+        return pd.Series(hilbert_index(np.stack([frame[c].to_numpy() for c in frame]), bits))
 
-    return df.withColumn(name, place(F.struct(*[v.alias(f"d{i}") for i, v in enumerate(numbers)])))
+    return df.withColumn(name, place(F.struct(*[cells(df, d, 2**bits).alias(f"d{i}") for i, d in enumerate(dims)])))
 
 
 def hilbert_shards(docs: DataFrame, shards: int, dims: Sequence[str] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
