@@ -5,7 +5,9 @@ Each source has a mean repetition rate: target share x budget / its own size. A
 many times, and all copies are sorted by a hash of (seed, id, copy): a global shuffle that anyone can repeat.
 
 Only per-source sums are gathered, so a hot source is pre-aggregated before its shuffle; its documents are never
-grouped. Sizes are UTF-8 bytes plus one, so that empty documents weigh something.
+grouped. Sizes are UTF-8 bytes plus one, so that empty documents weigh something. A source's distribution is a table
+of the counts within twelve standard deviations (and forty) of its rate, which grows with the square root of the rate;
+the tables are broadcast if they hold at most ``MOST_BYTES``, else joined.
 
 Defined results: a null text has size 1; a null source is a source of its own; rows with a null id are left out;
 repeated rows get the same number of copies each; a source without weight gives no copies; an empty table gives
@@ -14,9 +16,10 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecforge.llm.common import n_partitions, stored, with_position
@@ -25,8 +28,8 @@ SEED = 1729
 POWER = 0.5
 #: Hex digits of the hash that make the uniform number: 52 bits, exact in a double.
 DIGITS = 13
-#: With more sources than that, their table of some hundred numbers each is not sent to all tasks.
-MOST_SOURCES = 10_000
+#: Larger tables of the sources' distributions are not sent to all tasks.
+MOST_BYTES = 64 << 20
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -34,21 +37,28 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
 
 
-def cumulative(rate: Column) -> Column:
-    """P(count <= k) for k = 0, 1, ... until what is left is below the step of the uniform number."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("logfact"), F.array().cast("array<double>").alias("cdf"))
+def log_factorial(k: Column) -> Column:
+    """ln k!: from a table up to 16, then by Stirling's series, whose error is below a double's there."""
+    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(17)])
+    x = F.greatest(k, F.lit(1)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+    return F.when(k <= 16, table[k.cast("int")]).otherwise(series)
 
-    def step(acc, k):
-        logfact = acc["logfact"] + F.when(k > 0, F.log(k.cast("double"))).otherwise(0.0)
-        total = acc["sum"] + F.exp(k * F.log(rate) - rate - logfact)
-        return F.struct(total.alias("sum"), logfact.alias("logfact"), F.array_append(acc["cdf"], total).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["cdf"])
+def distributions(rated: DataFrame) -> DataFrame:
+    """(source, rate, low, cdf): P(count <= low), P(count <= low + 1), ... until what is left is below the step of the
+    uniform number; below ``low`` less is left still."""
+    spread = 12 * F.sqrt("rate") + 40
+    first, last = F.greatest(F.floor(F.col("rate") - spread), F.lit(0)), F.ceil(F.col("rate") + spread)
+    each = rated.select("source", "rate", first.alias("low"), F.explode(F.sequence(first, last)).alias("k"))
+    chance = F.exp(F.col("k") * F.log("rate") - F.col("rate") - log_factorial(F.col("k")))
+    summed = each.withColumn("c", F.sum(chance).over(Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = F.sort_array(F.collect_list(F.struct("k", "c")))
+    return summed.groupBy("source").agg(F.first("rate").alias("rate"), F.first("low").alias("low"), F.transform(pairs, lambda p: p["c"]).alias("cdf"))
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(source, rate, cdf): without weights, the target share goes with the size to the power ``POWER``."""
+    """(source, rate, low, cdf): without weights, the target share goes with the size to the power ``POWER``."""
     size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long") + 1
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("size"))
     if weights is None:
@@ -58,7 +68,7 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: f
         weighted = sizes.withColumn("weight", F.coalesce(*pairs, F.lit(0.0)))
     total = weighted.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))
     rate = F.col("weight") / F.col("all_weight") * (F.lit(float(epochs)) * F.col("all_size")) / F.col("size")
-    return weighted.crossJoin(F.broadcast(total)).withColumn("rate", rate).where("rate > 0").select("source", "rate", cumulative(F.col("rate")).alias("cdf"))
+    return distributions(weighted.crossJoin(F.broadcast(total)).withColumn("rate", rate).where("rate > 0").select("source", "rate"))
 
 
 def replicated(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -66,13 +76,14 @@ def replicated(docs: DataFrame, weights: Mapping[str, float] | None = None, epoc
 
     ``row`` is a struct of the columns to ``keep`` (all, if not given), so that no name can clash."""
     own = docs.where(F.col(id_col).isNotNull())
-    table = stored(rates(own, weights, epochs, source_col, text_col).select(F.col("source").alias("_source"), "cdf"), "rates")
-    if table.count() <= MOST_SOURCES:  # else an ordinary join, whose hot keys Spark splits
+    table = stored(rates(own, weights, epochs, source_col, text_col).select(F.col("source").alias("_source"), "low", "cdf"), "rates")
+    size = table.agg(F.sum(8 * F.size("cdf") + F.coalesce(F.octet_length("_source"), F.lit(0)) + 64)).first()[0]
+    if (size or 0) <= MOST_BYTES:  # else an ordinary join, whose hot keys Spark splits
         table = F.broadcast(table)
     u = uniform(F.lit("count"), F.lit(str(seed)), F.col(id_col).cast("string"))
     whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
     rows = own.select(whole.alias("row"), F.col(source_col).alias("_of"), u.alias("_u"), F.col(id_col).cast("string").alias("_id"))
-    drawn = rows.join(table, F.col("_of").eqNullSafe(F.col("_source"))).withColumn("copies", F.size(F.filter("cdf", lambda c: c <= F.col("_u"))))
+    drawn = rows.join(table, F.col("_of").eqNullSafe(F.col("_source"))).withColumn("copies", (F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("_u")))).cast("int"))
     each = drawn.where("copies > 0").select("row", "_id", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(seed)), F.col("_id"), F.col("copy").cast("string")))
     return each.select("row", "copies", "copy", key.alias("shuffle_key"))
