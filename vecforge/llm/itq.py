@@ -38,7 +38,9 @@ def matrix(raw: list[bytes]) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    """Rows of length one; the largest magnitude is divided out first, so that no square leaves a double's range."""
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0.0), np.finfo(float).tiny)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(float).tiny)
 
 
 def learn(x: np.ndarray, bits: int, seed: int, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +58,12 @@ def learn(x: np.ndarray, bits: int, seed: int, centred: bool = True) -> tuple[np
     return mean, axes @ rotation
 
 
+def usual_length(vecs: DataFrame) -> int:
+    """The most frequent number of components, the smaller on ties; 0 without vectors."""
+    sizes = vecs.groupBy(F.octet_length("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return 0 if sizes is None else sizes["n"] // 8
+
+
 def sample(vecs: DataFrame) -> np.ndarray:
     """A hash sample of about ``FIT_ROWS`` of the rows (digest, vec)."""
     n = vecs.count()
