@@ -14,8 +14,8 @@ losing any repeat:
    and windows with an equal neighbour in that order occur elsewhere.
 
 Skew: copies of one text within a task are sent once with a count; counting is pre-aggregated; joins on minimizers
-are ordinary joins that Spark splits when a key is hot. Documents are known by a 64-bit digest and their length, runs
-by two 64-bit hashes, cores by 64 bits beside their minimizer; equality by them is taken for equality of the text.
+are ordinary joins that Spark splits when a key is hot. Documents are known by a 128-bit digest and their length, runs
+by two 64-bit hashes, cores by 63 bits beside their minimizer; equality by them is taken for equality of the text.
 
 Defined results: a null text counts as empty; a text shorter than ``LENGTH`` loses nothing; rows with a null id are
 left out; repeated rows are copies of each other; other columns are ignored; an empty table gives an empty result.
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import as_bytes, discard, record_batch, release, stored
+from vecforge.llm.common import as_bytes, discard, record_batch, stored
 from vecforge.llm.suffix_array import adjacent, suffix_order
 
 LENGTH = 200
@@ -41,7 +41,11 @@ K = 64
 UNIT = 8
 #: Digests of texts that a task remembers, to send copies once.
 REMEMBER = 1 << 18
-STRETCH = 1 << 22
+STRETCH = 1 << 18
+#: Runs in one batch.
+BATCH = 1 << 16
+#: What a text is known by: a digest and its bytes.
+DOC = ("doc", "doc2", "size")
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -109,24 +113,35 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _digest(text: bytes) -> tuple[int, int]:
+    both = xxhash.xxh3_128_intdigest(text)
+    return both >> 64, both & (1 << 64) - 1
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two kinds of rows: the runs (h, c, text, at) of each distinct text of a task, and (text, doc, size, copies).
+    """Two kinds of rows: the runs (h, c, text, at) of each distinct text of a task, and (text, doc, doc2, size, copies).
 
     ``text`` numbers the texts of a task; a text that comes again in the task is only counted."""
-    none = {n: pa.nulls(0, pa.int64()) for n in ("h", "c", "text", "at", "doc", "size", "copies")}
+    names = ("h", "c", "text", "at", "doc", "doc2", "size", "copies")
     number, known = 0, {}
 
+    def rows(**columns: np.ndarray) -> pa.RecordBatch:
+        gap = pa.nulls(len(columns["text"]), pa.int64())
+        return record_batch(**{n: _signed(columns[n]) if n in columns else gap for n in names})
+
+    def found(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return rows(**dict(zip(names[:4], map(np.concatenate, out), strict=True)))
+
     def counted() -> pa.RecordBatch:
-        text, doc, size, copies = (np.array(x, np.uint64) for x in zip(*((i, d, n, c) for (d, n), (i, c) in known.items()), strict=True))
-        gap = pa.nulls(len(text), pa.int64())
-        return record_batch(**none | {"h": gap, "c": gap, "at": gap, "text": _signed(text), "doc": _signed(doc), "size": _signed(size), "copies": _signed(copies)})
+        doc, doc2, size, text, copies = (np.array(x, np.uint64) for x in zip(*((*key, *n) for key, n in known.items()), strict=True))
+        return rows(doc=doc, doc2=doc2, size=size, text=text, copies=copies)
 
     for b in batches:
         out: list[list[np.ndarray]] = [[] for _ in range(4)]
         for text in as_bytes(b.column(0)):
             if len(text) < LENGTH:
                 continue
-            key = (xxhash.xxh3_64_intdigest(text), len(text))
+            key = (*_digest(text), len(text))
             if key in known:
                 known[key] = (known[key][0], known[key][1] + 1)
                 continue
@@ -136,10 +151,11 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, x in zip(out, (h, whole, np.full(len(h), number), (a << 16) | ((z - a) << 8) | (p - a)), strict=True):
                 column.append(x.astype(np.uint64))
             number += 1
+            if sum(map(len, out[0])) > BATCH:
+                yield found(out)
+                out = [[] for _ in range(4)]
         if out[0]:
-            h, c, text, at = (_signed(np.concatenate(x)) for x in out)
-            gap = pa.nulls(len(h), pa.int64())
-            yield record_batch(**none | {"h": h, "c": c, "text": text, "at": at, "doc": gap, "size": gap, "copies": gap})
+            yield found(out)
         if len(known) > REMEMBER:
             yield counted()
             known = {}
@@ -166,8 +182,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for b in batches:
         texts = as_bytes(b.column(b.num_columns - 1))
-        doc = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
-        new = {"doc": _signed(doc), "size": pa.array([len(t) for t in texts], pa.int64()), "packed": pa.array([pack.compress(t) for t in texts], pa.binary())}
+        doc, doc2 = np.array([_digest(t) for t in texts], np.uint64).reshape(-1, 2).T
+        new = {"doc": _signed(doc), "doc2": _signed(doc2), "size": pa.array([len(t) for t in texts], pa.int64()), "packed": pa.array([pack.compress(t) for t in texts], pa.binary())}
         yield record_batch(**dict(zip(b.schema.names[:-1], b.columns[:-1], strict=True)), **new)
 
 
@@ -219,13 +235,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc, size, first, last): runs of window starts in texts (digest, bytes) that occur more than once; rows may repeat."""
+    """(doc, doc2, size, first, last): runs of window starts in texts (digest, bytes) that occur more than once; rows may
+    repeat."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    seen = texts.mapInArrow(_found, "h long, c long, text long, at long, doc long, size long, copies long")
+    seen = texts.mapInArrow(_found, "h long, c long, text long, at long, doc long, doc2 long, size long, copies long")
     # a text's number is made unique by its task's number
     seen = stored(seen.withColumn("text", F.col("text") + F.shiftleft(F.spark_partition_id().cast("long"), 40)), "runs")
-    known = stored(seen.where("doc is not null").select("text", "doc", "size", "copies"), "texts")
+    known = stored(seen.where("doc is not null").select("text", *DOC, "copies"), "texts")
     # texts with copies repeat from end to end; so do those that two tasks saw, as their runs then count twice
     copied = known.where("copies > 1").select("text", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"))
     own = seen.where("h is not null").select("h", "c", "text", "at")
@@ -233,27 +250,23 @@ def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     minimizers = stored(own.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "minimizers")
     again = stored(own.join(minimizers.hint("shuffle_hash"), "h"), "runs-again")
     discard(seen)
-    release(spark)
     contexts = stored(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("at").alias("at")), "contexts")
     alone = contexts.where("n = 1")  # its minimizer has other texts
     ends = (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("last")
     whole = stored(again.join(alone.select("h", "c").hint("shuffle_hash"), ["h", "c"], "left_anti").select("text", F.shiftright("at", 16).alias("first"), ends), "repeated-runs")
     discard(again)
-    release(spark)
     # minimizers with several texts, at least one of them single
     several = contexts.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h")
-    wanted = contexts.join(several, "h").join(known, "text").groupBy("doc", "size").agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("wanted"))
-    packed = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_distinct_digests, "doc long, size long, packed binary")
-    units = packed.join(wanted.hint("shuffle_hash"), ["doc", "size"]).select("packed", "wanted").mapInArrow(_units, "h long, c long, unit long, core long, left binary, right binary, n long")
+    wanted = contexts.join(several, "h").join(known, "text").groupBy(*DOC).agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("wanted"))
+    packed = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_distinct_digests, "doc long, doc2 long, size long, packed binary")
+    units = packed.join(wanted.hint("shuffle_hash"), list(DOC)).select("packed", "wanted").mapInArrow(_units, "h long, c long, unit long, core long, left binary, right binary, n long")
     units = stored(units, "units")
-    release(spark)
     # equal units of different runs are one string; a core needs sorting if it has several strings, one of them single;
     # a text that two tasks sent gives its units twice, which changes none of these sums
     several_runs = (F.min("c") < F.max("c")).cast("long")
     strings = stored(units.groupBy("h", "core", "unit", "left", "right").agg((F.max("n") + several_runs).alias("n")).withColumn("sid", F.monotonically_increasing_id()), "unit-strings")
     cores = strings.groupBy("h", "core", "unit").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", "core", "unit")
     sorted_ = stored(strings.join(cores.hint("shuffle_hash"), ["h", "core", "unit"]), "unit-sorted")
-    release(spark)
     ranked = suffix_order(sorted_.mapInArrow(_letters, "sid long, letters array<long>"), UNIT + 1)
     suffixes = sorted_.join(ranked, "sid").select("sid", "h", "core", "left", "right", "ranks").mapInArrow(_windows, "sid long, t int, position long, prefix binary")
     hits = adjacent(suffixes, "prefix").where("repeated").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, t)")).alias("mask"))
@@ -263,8 +276,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     single = single.join(alone, ["h", "c"]).select("text", "at", "masks")
     partly = stored(single.mapInArrow(_starts, "text long, first long, last long"), "unit-windows")
     discard(units, strings, sorted_)
-    release(spark)
-    return copied.union(whole).union(partly).join(known, "text").select("doc", "size", "first", "last")
+    return copied.union(whole).union(partly).join(known, "text").select(*DOC, "first", "last")
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,11 +321,12 @@ def whole_characters(text: bytes, own: list[tuple[int, int]]) -> list[tuple[int,
 def _with_windows(docs: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFrame:
     """The columns to keep, size, packed text and windows of each row with an id."""
     own = docs.where(F.col(id_col).isNotNull())
-    grouped = repeated_windows(own, text_col).groupBy("doc", "size").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
+    # stored first, so that Spark can split the join below where a text has very many copies
+    grouped = stored(repeated_windows(own, text_col).groupBy(*DOC).agg(F.collect_set(F.struct("first", "last")).alias("windows")), "text-windows")
     columns = [F.col(c).alias(f"keep_{c}") for c in keep]
     fields = "".join(f"`keep_{c}` {dict(docs.dtypes)[c]}, " for c in keep)
-    packed = own.select(*columns, F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, f"{fields}doc long, size long, packed binary")
-    return packed.join(grouped.hint("shuffle_hash"), ["doc", "size"], "left").select(*[f"`keep_{c}`" for c in keep], "size", "packed", "windows")
+    packed = own.select(*columns, F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, f"{fields}doc long, doc2 long, size long, packed binary")
+    return packed.join(grouped.hint("shuffle_hash"), list(DOC), "left").select(*[f"`keep_{c}`" for c in keep], "size", "packed", "windows")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
