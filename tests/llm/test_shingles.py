@@ -4,7 +4,7 @@ from itertools import combinations
 
 import corpus_pipeline
 from tests.llm.helpers import SCHEMA, documents, prose
-from vecforge.llm import shingles, simhash
+from vecforge.llm import clusters, shingles, simhash
 
 
 def shingle_set(text):
@@ -26,7 +26,7 @@ def brute(sets):
 
 
 def test_components(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "PIVOTS", 16)
+    monkeypatch.setattr(clusters, "PIVOTS", 16)
     words = prose(9, 400).split()
     texts = [" ".join(words[:i] + ["new"] + words[i + 1 :]) for i in range(0, 400, 20)]  # one word: five shingles
     texts += [" ".join(words[i : i + 250]) for i in range(0, 150, 15)]  # a chain of windows
