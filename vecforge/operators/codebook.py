@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecforge.functions.arrays import as_doubles, hadamard_sign, norm, scaled
+from vecforge.functions.arrays import as_doubles, norm, scaled
 
 #: Numbers in a codebook; a larger one is refused rather than sent to the tasks.
 MOST = 1 << 24
@@ -80,13 +80,6 @@ def planes(dims: int, angles: int = 16, scales: int = 1, seed: int = 0xDADA) ->
     return Codebook(f"planes-{angles}x{scales}", _unit(np.concatenate(parts)))
 
 
-def hadamard_rows_table(spark: SparkSession, n: int, dims: int) -> DataFrame:
-    """``hadamard_rows`` as an expression over a range of numbers."""
-    i = F.col("id").cast("int")
-    words = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: hadamard_sign(i, j) / math.sqrt(dims))
-    return spark.range(n).select(i.alias("seg_id"), words.alias("codeword"))
-
-
 def encode(df: DataFrame, codebook: Codebook, vec_col: str) -> DataFrame:
     """``df`` with seg_id and t: the codeword of largest absolute inner product, the first on ties, and that product."""
     words = codebook.codewords

@@ -30,7 +30,8 @@ FP8_BLOCK, FP8_MAX, FP8_LEAST, FP8_LEVELS = 64, 448.0, 1e-4, 127.0
 
 @dataclass(frozen=True)
 class Codec:
-    """variant: d4, e8 or zn; scale: per ``vector``, per ``block``, or one ``global`` maximum given when used."""
+    """variant: d4, e8 or zn; scale: per ``vector``, per ``block``, or one ``global`` maximum given when used;
+    charged: the variant whose bits count, if it is another."""
 
     variant: str
     dims: int
@@ -38,6 +39,7 @@ class Codec:
     unit_norm: bool = True
     rotate: bool = True
     scale: str = "vector"
+    charged: str | None = None
 
     def __post_init__(self) -> None:
         if self.variant not in LATTICES:
@@ -56,9 +58,10 @@ class Codec:
     @property
     def bits(self) -> int:
         """Bits of a stored vector; ablated forms are charged like the full one."""
-        if self.variant == "zn":
+        variant = self.charged or self.variant
+        if variant == "zn":
             return self.dims * ((2 * self.q + 1).bit_length()) + OVERHEAD
-        return host_lattice_bits(self.variant, self.dims, self.q)
+        return host_lattice_bits(variant, self.dims, self.q)
 
     @property
     def label(self) -> str:
@@ -134,7 +137,7 @@ ABLATIONS: Mapping[str, Mapping[str, object]] = {
     "no_hadamard": {"rotate": False},
     "global_qmax": {"scale": "global"},
     "per_block_qmax": {"scale": "block"},
-    "scalar_quantise": {"variant": "zn"},
+    "scalar_quantise": {"variant": "zn", "charged": "d4"},
 }
 
 

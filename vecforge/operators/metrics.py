@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecforge.functions.arrays import as_doubles, dot, hadamard, squared_norm
+from vecforge.operators.codec import FP8_BLOCK, Codec, fp8_roundtrip
+from vecforge.operators.stats import order_statistics
 
 LEAST = 1e-12
 
@@ -72,11 +74,6 @@ def top1(logprobs: Column) -> Column:
     return F.coalesce(-F.array_max(entries)["minus"], F.lit(-1))
 
 
-def perplexity(df: DataFrame, logprob: Column, by: Sequence[str] = ()) -> DataFrame:
-    """exp of minus the mean log-probability; a missing one counts as 0."""
-    return df.groupBy(*by).agg(F.exp(-F.avg(F.coalesce(logprob, F.lit(0.0)))).alias("ppl"))
-
-
 def clipped_perplexity(loss: Column) -> Column:
     return F.exp(F.least(F.lit(20.0), loss))
 
@@ -111,14 +108,34 @@ def audit(df: DataFrame, vec: str, dims: int, by: Sequence[str] = (), short: boo
     summary = [F.avg(F.abs("kurt")).alias("excess_kurtosis_abs"), ratio("var").alias("isotropy_variance_ratio")]
     if short:
         return first.groupBy(*by).agg(*summary)
-    z = each.join(F.broadcast(first.select(*by, "at", "mu", "var")), [*by, "at"]).withColumn("z", F.abs((F.col("x") - F.col("mu")) / F.greatest(F.sqrt("var"), F.lit(1e-6))))
-    tails = z.groupBy(*by, "at").agg((F.percentile("z", 0.99) / 2.326 - 1).alias("tail"))
-    both = first.join(tails, [*by, "at"])
+    z = each.join(first.select(*by, "at", "mu", "var"), [*by, "at"]).withColumn("z", F.abs((F.col("x") - F.col("mu")) / F.greatest(F.sqrt("var"), F.lit(1e-6))))
+    # the 99th percentile, between two neighbours in order
+    at = lambda n: 0.99 * (n - 1)
+    tails = order_statistics(z, "z", [*by, "at"], {"low": (0.99, lambda n: F.floor(at(n))), "high": (0.99, lambda n: F.ceil(at(n)))})
+    p99 = F.col("low") + (F.col("high") - F.col("low")) * (at(F.col("n")) - F.floor(at(F.col("n"))))
+    both = first.join(tails.select(*by, "at", (p99 / 2.326 - 1).alias("tail")), [*by, "at"])
     return both.groupBy(*by).agg(*summary, ratio("var_y").alias("hadamard_post_variance_ratio"), F.sqrt(F.avg(F.col("tail") * F.col("tail"))).alias("rms_wasserstein2_over_sigma_per_dim"), F.max("n").alias("num_vectors"), F.count("*").alias("dims"))
 
 
 def ratio_to_baseline(df: DataFrame, value: str, keys: Sequence[str], codec: str, baseline: str, name: str = "ratio") -> DataFrame:
-    """Each row of one codec over the baseline's row of the same keys; a missing or zero baseline gives no row."""
-    base = df.where(F.col("codec") == baseline).select(*keys, F.col(value).alias("_base"))
-    own = df.where(F.col("codec") == codec).join(base, list(keys))
-    return own.where("_base <> 0").select(*keys, (F.col(value) / F.col("_base")).alias(name))
+    """The row of one codec over the baseline's row of the same keys, in one pass; a missing or zero baseline gives no row."""
+    side = lambda c: F.max(F.when(F.col("codec") == c, F.col(value)))
+    both = df.groupBy(*keys).agg(side(codec).alias("_own"), side(baseline).alias("_base"))
+    return both.where("_own is not null and _base <> 0").select(*keys, (F.col("_own") / F.col("_base")).alias(name))
+
+
+def stream_records(df: DataFrame, vec: str, dims: int, codecs: Mapping[str, Codec], by: Sequence[str]) -> DataFrame:
+    """(by, audit STRUCT, codecs MAP<name, STRUCT<bits, rel_mse, cos_sim>>): one record for each group, with the FP8
+    baseline among the codecs.
+
+    All codecs are summed up in one pass over the rows."""
+    x = as_doubles(F.col(vec))
+    decoded = {name: codec.roundtrip(x) for name, codec in codecs.items()} | {"fp8": fp8_roundtrip(x, dims)}
+    bits = {name: codec.bits for name, codec in codecs.items()} | {"fp8": 8 * dims + dims // FP8_BLOCK * 16}
+    rows = df.select(*by, x.alias("x"), F.struct(*[y.alias(n) for n, y in decoded.items()]).alias("y"))
+    sums = [f for n in decoded for f in (F.avg(squared_error(F.col("x"), F.col("y")[n])).alias(f"{n}_e"), F.avg(cosine(F.col("x"), F.col("y")[n])).alias(f"{n}_c"))]
+    means = rows.groupBy(*by).agg(F.avg(squared_norm(F.col("x"))).alias("n2"), *sums)
+    each = [x for n in decoded for x in (F.lit(n), F.struct(F.lit(bits[n]).alias("bits"), (F.col(f"{n}_e") / F.greatest("n2", F.lit(LEAST))).alias("rel_mse"), F.col(f"{n}_c").alias("cos_sim")))]
+    audits = audit(df, vec, dims, by)
+    own = audits.select(*by, F.struct(*[c for c in audits.columns if c not in by]).alias("audit"))
+    return own.join(means.select(*by, F.create_map(*each).alias("codecs")), list(by))

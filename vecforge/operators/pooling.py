@@ -30,10 +30,9 @@ class Shape:
     eps: float = 1e-6
     theta_main: float = 10_000.0
     theta_pooled: float = 160_000.0
-    original: int = 65_536
-    factor: float = 16.0
-    beta_fast: int = 32
-    beta_slow: int = 1
+    trained: int = 65_536
+    stretch: float = 16.0
+    turns: tuple[int, int] = (32, 1)
 
 
 def check_length(n: int, ratio: int) -> None:
@@ -41,12 +40,13 @@ def check_length(n: int, ratio: int) -> None:
         raise ValueError(f"a sequence of {n} is shorter than one block of {ratio}")
 
 
-def _pool(coords: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _pool(coords: DataFrame, keys: Sequence[str], ratio: int) -> DataFrame:
     """Softmax of the scores within each (keys, block, at), times the values; then arrays in coordinate order.
 
-    The largest score is taken out first, so that exponentials stay in range."""
+    coords: (keys, block, at, v, s, own); a block with fewer than ``ratio`` positions of its own, as at the end of a
+    sequence, is dropped. The largest score is taken out first, so that exponentials stay in range."""
     cell = [*keys, "block", "at"]
-    top = coords.groupBy(*cell).agg(F.max("s").alias("m"))
+    top = coords.groupBy(*cell).agg(F.max("s").alias("m"), F.sum("own").alias("n")).where(F.col("n") >= ratio)
     weight = F.exp(F.col("s") - F.col("m"))
     pooled = coords.join(top, cell).groupBy(*cell).agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v"))
     return pooled.groupBy(*keys, "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]).alias("pooled"))
@@ -58,27 +58,25 @@ def with_position_embedding(df: DataFrame, table: DataFrame, ratio: int, score:
     return own.withColumn(score, F.zip_with(as_doubles(F.col(score)), as_doubles(F.col("ape")), lambda a, b: a + b)).drop("place", "ape")
 
 
-def pool(df: DataFrame, ratio: int, keys: Sequence[str] = (), value: str = "value", score: str = "score", pos: str = "pos", n: int | None = None) -> DataFrame:
-    """(keys, block, pooled): blocks of ``ratio`` positions; positions from ``n`` cut to whole blocks are dropped."""
-    own = df if n is None else df.where(F.col(pos) < n // ratio * ratio)
-    each = own.select(*keys, F.floor(F.col(pos) / ratio).alias("block"), F.posexplode(F.arrays_zip(as_doubles(F.col(value)).alias("v"), as_doubles(F.col(score)).alias("s"))).alias("at", "c"))
-    return _pool(each.select(*keys, "block", "at", "c.v", "c.s"), keys)
+def pool(df: DataFrame, ratio: int, keys: Sequence[str] = (), value: str = "value", score: str = "score", pos: str = "pos") -> DataFrame:
+    """(keys, block, pooled): blocks of ``ratio`` positions, over sequences of any lengths; positions run from 0."""
+    each = df.select(*keys, F.floor(F.col(pos) / ratio).alias("block"), F.posexplode(F.arrays_zip(as_doubles(F.col(value)).alias("v"), as_doubles(F.col(score)).alias("s"))).alias("at", "c"))
+    return _pool(each.select(*keys, "block", "at", "c.v", "c.s", F.lit(1).alias("own")), keys, ratio)
 
 
-def pool_overlapping(df: DataFrame, ratio: int, dims: int, n: int, keys: Sequence[str] = (), value: str = "value", score: str = "score", pos: str = "pos") -> DataFrame:
+def pool_overlapping(df: DataFrame, ratio: int, dims: int, keys: Sequence[str] = (), value: str = "value", score: str = "score", pos: str = "pos") -> DataFrame:
     """(keys, block, pooled) over windows of two blocks: the low half of the block before, the high half of its own.
 
     Vectors are ``2 * dims`` wide. Each position gives its high half to its block and its low half to the next;
     the first block has no block before it."""
-    blocks = n // ratio
     block = F.floor(F.col(pos) / ratio)
 
-    def half(b: Column, first: int) -> Column:
-        return F.struct(b.alias("block"), F.slice(F.col(value), first, dims).alias("v"), F.slice(F.col(score), first, dims).alias("s"))
+    def half(b: Column, first: int, own: int) -> Column:
+        return F.struct(b.alias("block"), F.slice(F.col(value), first, dims).alias("v"), F.slice(F.col(score), first, dims).alias("s"), F.lit(own).alias("own"))
 
-    halves = df.where(F.col(pos) < blocks * ratio).select(*keys, F.explode(F.array(half(block, dims + 1), half(block + 1, 1))).alias("h")).where(F.col("h.block") < blocks)
-    each = halves.select(*keys, F.col("h.block").alias("block"), F.posexplode(F.arrays_zip(as_doubles(F.col("h.v")).alias("v"), as_doubles(F.col("h.s")).alias("s"))).alias("at", "c"))
-    return _pool(each.select(*keys, "block", "at", "c.v", "c.s"), keys)
+    halves = df.select(*keys, F.explode(F.array(half(block, dims + 1, 1), half(block + 1, 1, 0))).alias("h"))
+    each = halves.select(*keys, F.col("h.block").alias("block"), F.col("h.own").alias("own"), F.posexplode(F.arrays_zip(as_doubles(F.col("h.v")).alias("v"), as_doubles(F.col("h.s")).alias("s"))).alias("at", "c"))
+    return _pool(each.select(*keys, "block", "at", "c.v", "c.s", "own"), keys, ratio)
 
 
 def project(df: DataFrame, weight: np.ndarray, vec_col: str, name: str) -> DataFrame:
@@ -105,19 +103,18 @@ def rms_norm(vec: Column, dims: int, weight: Column | None = None, eps: float =
     return out if weight is None else F.zip_with(out, weight, lambda a, b: a * b)
 
 
-def frequencies(dims: int, theta: float, length: int = 0, original: int = 0, factor: float = 1.0, beta_fast: int = 32, beta_slow: int = 1) -> list[float]:
-    """Rotary frequencies of ``dims / 2`` pairs; past the original length the slow ones are stretched along a ramp."""
-    base = [theta ** (-2 * i / dims) for i in range(dims // 2)]
-    if not original or length <= original:
-        return base
-
-    def pair(turns: int) -> float:
-        return dims * math.log(original / (turns * 2 * math.pi)) / (2 * math.log(theta))
-
-    low, high = max(math.floor(pair(beta_fast)), 0), min(math.ceil(pair(beta_slow)), dims - 1)
-    width = (high - low) or 0.001
-    keep = [1 - min(max((i - low) / width, 0.0), 1.0) for i in range(dims // 2)]
-    return [f / factor * (1 - k) + f * k for f, k in zip(base, keep, strict=True)]
+def frequencies(dims: int, base: float, length: int = 0, trained: int = 0, stretch: float = 1.0, turns: tuple[int, int] = (32, 1)) -> list[float]:
+    """Rotary frequencies of ``dims / 2`` pairs. For sequences longer than the trained length, pairs that make few turns
+    over it are slowed by ``stretch``: none up to the pair of ``turns[0]`` turns, all from that of ``turns[1]`` on,
+    evenly more between."""
+    pairs = np.arange(dims // 2)
+    plain = base ** (-2.0 * pairs / dims)
+    if length <= trained or not trained:
+        return plain.tolist()
+    fast, slow = (dims / 2 * math.log(trained / (2 * math.pi * t), base) for t in turns)
+    begin, end = max(math.floor(fast), 0), min(math.ceil(slow), dims - 1)
+    slowed = np.interp(pairs, [begin, end], [0.0, 1.0]) if end > begin else (pairs > begin) * 1.0
+    return (plain * (1 - slowed * (1 - 1 / stretch))).tolist()
 
 
 def rotary(vec: Column, pos: Column, freqs: Sequence[float], dims: int, inverse: bool = False) -> Column:
@@ -150,8 +147,8 @@ def pooled_stream(df: DataFrame, values: np.ndarray, gates: np.ndarray, ape: Dat
     check_length(n, ratio)
     own = project(project(df, values, vec_col, "value"), gates, vec_col, "score")
     own = with_position_embedding(own.select(pos, "value", "score"), ape, ratio, pos=pos)
-    out = pool_overlapping(own, ratio, shape.head, n, pos=pos) if overlap else pool(own, ratio, n=n, pos=pos)
-    freqs = frequencies(shape.rope, shape.theta_pooled, n, shape.original, shape.factor, shape.beta_fast, shape.beta_slow)
+    out = pool_overlapping(own, ratio, shape.head, pos=pos) if overlap else pool(own, ratio, pos=pos)
+    freqs = frequencies(shape.rope, shape.theta_pooled, n, shape.trained, shape.stretch, shape.turns)
     out = out.withColumn("kv", rms_norm(F.col("pooled"), shape.head, eps=shape.eps))
     out = out.withColumn("kv", rotary(F.col("kv"), pooled_positions(F.col("block"), ratio), freqs, shape.head))
     return out.select("block", fp8_roundtrip(F.col("kv"), shape.head, keep_last=shape.rope).alias("kv"))

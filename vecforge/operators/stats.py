@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ T_ABOVE = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365
 NORMAL = 1.96
 #: Bits and range of the scalar and D4 codecs that are compared. Fixed values.
 PAIRS = ((4, 10), (6, 38), (8, 152))
+#: Accuracy of the percentiles that enclose an order statistic.
+ACCURACY = 10_000
 
 
 def _table(points: dict[int, float]) -> Column:
@@ -68,16 +70,24 @@ def head_to_head(means: DataFrame, value: str, pairs: Sequence[tuple[int, int]]
 
 
 def matched(means: DataFrame, value: str, left: str = "e8", right: str = "d4") -> DataFrame:
-    """(param, left, right, ratio) of two codecs at the same parameter."""
-    a = means.where(F.col("codec") == left).select("param", F.col(value).alias(left))
-    b = means.where(F.col("codec") == right).select("param", F.col(value).alias(right))
-    return a.join(b, "param").withColumn("ratio", F.col(left) / F.col(right))
+    """(param, left, right, ratio) of two codecs at the same parameter, in one pass."""
+    sides = [F.max(F.when(F.col("codec") == c, F.col(value))).alias(c) for c in (left, right)]
+    both = means.groupBy("param").agg(*sides).where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    return both.withColumn("ratio", F.col(left) / F.col(right))
+
+
+def with_baseline(means: DataFrame, key: str, value: str, baseline: str) -> DataFrame:
+    """Every row with ``base``, the value of the baseline's row (null without one), in one pass.
+
+    means: one row for each codec; these few rows become one array."""
+    rows = means.agg(F.collect_list(F.struct(*means.columns)).alias("rows"))
+    base = F.array_max(F.transform(F.filter("rows", lambda r: r[key] == baseline), lambda r: r[value]))
+    return rows.select(base.alias("base"), F.explode("rows").alias("r")).select("r.*", "base")
 
 
 def overhead(means: DataFrame, value: str, baseline: str) -> DataFrame:
     """Every row over the single row of the baseline."""
-    base = means.where(F.col("codec") == baseline).agg(F.max(value).alias("_base"))
-    return means.crossJoin(F.broadcast(base)).withColumn("overhead", F.col(value) / F.col("_base")).drop("_base")
+    return with_baseline(means, "codec", value, baseline).withColumn("overhead", F.col(value) / F.col("base")).drop("base")
 
 
 def first_admissible(sweep: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -127,25 +137,42 @@ def majority(df: DataFrame, value: str) -> DataFrame:
     return counts.agg(F.max(F.struct("n", (-F.col(value)).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias(value), F.col("m.n").alias("n"))
 
 
+def order_statistics(df: DataFrame, value: str, by: Sequence[str], places: Mapping[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """(by, n, one column for each place): exact values at given places of each group's order, from 0.
+
+    places: name -> (share of the rows that lie below, place as an expression of their number). Approximate percentiles
+    enclose a place; smaller values are only counted, and only those between are put in order: at most
+    six in ``ACCURACY`` of a large group's rows, so that no task sorts a group."""
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    shares = [min(max(p + side * 3 / ACCURACY, 0.0), 1.0) for p, _ in places.values() for side in (-1, 1)]
+    first = own.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", shares, ACCURACY).alias("_p"))
+    small = F.col("n") <= ACCURACY
+    ends = lambda i: (F.when(small, F.col("_min")).otherwise(F.col("_p")[2 * i]), F.when(small, F.col("_max")).otherwise(F.col("_p")[2 * i + 1]))
+    marks = [F.struct(F.lit(name).alias("_name"), place(F.col("n")).cast("long").alias("_place"), ends(i)[0].alias("_low"), ends(i)[1].alias("_high")) for i, (name, (_, place)) in enumerate(places.items())]
+    sized = first.select(*by, "n", F.array(*marks).alias("_marks"))
+    keys = [F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by]
+    met = own.alias("o").join(sized.alias("s"), keys) if by else own.alias("o").crossJoin(sized.alias("s"))
+    each = met.select(*[f"o.{k}" for k in by], "o._v", "s.n", F.explode("s._marks").alias("m")).select(*by, "_v", "n", "m.*")
+    inside = each.where(F.col("_v").between(F.col("_low"), F.col("_high")))
+    below = each.groupBy(*by, "_name").agg(F.sum((F.col("_v") < F.col("_low")).cast("long")).alias("_below"))
+    ranked = inside.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_name").orderBy("_v")) - 1)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*by, "_name"]]
+    found = ranked.alias("r").join(below.alias("b"), same).where(F.col("r._rank") + F.col("b._below") == F.col("r._place"))
+    return found.select(*[f"r.{k}" for k in by], "r.n", "r._name", "r._v").groupBy(*by, "n").agg(*[F.max(F.when(F.col("_name") == p, F.col("_v"))).alias(p) for p in places])
+
+
 def latency(df: DataFrame, value: str, by: Sequence[str], vectors: int) -> DataFrame:
-    """Mean, deviation, extremes and ordered-index percentiles: entry n//2, and entry floor(0.99 n) but the last at most.
-
-    Percentiles are read off by a window over each group's order, so a group may be of any size."""
-    order = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    at = F.row_number().over(order) - 1
-    own = df.select(*by, value, at.alias("at"), n.alias("n"))
-    p50 = F.max(F.when(F.col("at") == F.floor(F.col("n") / 2), F.col(value)))
-    p99 = F.max(F.when(F.col("at") == F.least(F.col("n") - 1, F.floor(0.99 * F.col("n"))), F.col(value)))
-    out = own.groupBy(*by).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"), F.min(value).alias("min"), p50.alias("p50"), p99.alias("p99"), F.max(value).alias("max"))
+    """Mean, deviation, extremes and ordered-index percentiles: entry n//2, and entry floor(0.99 n) but the last at most."""
+    places = {"p50": (0.5, lambda n: F.floor(n / 2)), "p99": (0.99, lambda n: F.least(n - 1, F.floor(0.99 * n)))}
+    sums = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = sums.join(order_statistics(df, value, by, places), list(by))
     return out.withColumn("per_vector", F.col("mean") / vectors).withColumn("million_per_sec", F.lit(float(vectors)) / F.col("mean"))
 
 
 def slowdown(runs: DataFrame, baseline: str) -> DataFrame:
     """(variant, ppl, decode_s, slowdown): means by variant and decoding time over the baseline's."""
     means = runs.groupBy("variant").agg(F.avg("ppl").alias("ppl"), F.avg("decode_s").alias("decode_s"))
-    base = means.where(F.col("variant") == baseline).select(F.col("decode_s").alias("_base"))
-    return means.crossJoin(F.broadcast(base)).select("variant", "ppl", "decode_s", (F.col("decode_s") / F.col("_base")).alias("slowdown"))
+    return with_baseline(means, "variant", "decode_s", baseline).select("variant", "ppl", "decode_s", (F.col("decode_s") / F.col("base")).alias("slowdown"))
 
 
 def layer_mean(df: DataFrame, value: str, by: Sequence[str], layer: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,41 +26,60 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.size(words(text)) * PER_WORD).cast("long")
 
 
+def _passage_numbers(least: int):
+    """Numbers the rows of each group, in order: a passage ends with the row whose running estimate reaches ``least``.
+
+    A batch is searched for the end of one passage after the other; rows of an unfinished passage carry their total on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, held = None, 0, 0
+        for b in batches:
+            groups, sizes = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
+            out = np.zeros(len(groups), np.int64)
+            for begin, end in zip(edges, edges[1:], strict=False):
+                if begin == end:
+                    continue
+                if groups[begin] != last:
+                    last, number, held = groups[begin], 0, 0
+                sums, at, base = np.cumsum(sizes[begin:end]) + held, 0, 0
+                while (stop := int(np.searchsorted(sums, base + least))) < len(sums):
+                    out[begin + at : begin + stop + 1] = number
+                    number, at, base = number + 1, stop + 1, int(sums[stop])
+                out[begin + at : end] = number
+                held = int(sums[-1]) - base
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["g", "o", "passage"])
+
+    return run
+
+
 def assemble_passages(df: DataFrame, by: str, order: str, text: str, min_tokens: int, n: int) -> DataFrame:
     """(by, passage, rows, words, text): rows joined in order until the estimate reaches ``min_tokens``; what is then
-    too short by its word count is dropped and building starts afresh; at most ``n`` for each group.
-
-    The restart makes this a fold: each group is streamed in sorted batches, holding one passage at a time."""
-    schema = f"{by} {dict(df.dtypes)[by]}, passage int, rows int, words int, text string"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, parts, estimate, made = None, [], 0, 0
-        for f in frames:
-            out = []
-            for g, t in zip(f["g"], f["t"], strict=True):
-                if g != key:
-                    key, parts, estimate, made = g, [], 0, 0
-                if made >= n or not t.strip():
-                    continue
-                parts.append(t)
-                estimate += int(len(t.split()) * PER_WORD)
-                if estimate >= min_tokens:
-                    whole = "".join(parts)
-                    if (count := len(whole.split())) >= min_tokens:
-                        out.append((g, made, len(parts), count, whole))
-                        made += 1
-                    parts, estimate = [], 0
-            yield pd.DataFrame(out, columns=[by, "passage", "rows", "words", "text"])
+    too short by its word count, and an unfinished end, are dropped; at most ``n`` for each group.
 
-    rows = df.where(F.col(text).isNotNull()).select(F.col(by).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"))
-    return rows.repartition("g").sortWithinPartitions("g", "o").select("g", "t").mapInPandas(run, schema)
+    Only (group, order, estimate) goes through a group's order; texts meet by passage. ``order`` is unique in a group."""
+    kinds = dict(df.dtypes)
+    own = df.where(F.size(words(F.col(text))) > 0).select(F.col(by).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"))
+    narrow = own.select("g", "o", estimated_tokens(F.col("t")).alias("e")).repartition("g").sortWithinPartitions("g", "o")
+    numbered = narrow.mapInArrow(_passage_numbers(min_tokens), f"g {kinds[by]}, o {kinds[order]}, passage long")
+    met = own.join(numbered, ["g", "o"]).groupBy("g", "passage")
+    joined = met.agg(F.count("*").cast("int").alias("rows"), F.sum(estimated_tokens(F.col("t"))).alias("e"), F.sort_array(F.collect_list(F.struct("o", "t"))).alias("parts"))
+    whole = joined.where(F.col("e") >= min_tokens).select("g", "passage", "rows", F.concat_ws("", F.transform("parts", lambda p: p["t"])).alias("text"))
+    long = whole.withColumn("words", F.size(words(F.col("text")))).where(F.col("words") >= min_tokens)
+    ranked = long.withColumn("passage", (F.row_number().over(Window.partitionBy("g").orderBy("passage")) - 1).cast("int"))
+    return ranked.where(F.col("passage") < n).select(F.col("g").alias(by), "passage", "rows", "words", "text")
 
 
 def haystack(df: DataFrame, by: str, order: str, text: str, total: int) -> DataFrame:
-    """(by, rows, estimate): the non-blank rows of each group, in order, up to the first that reaches total + margin."""
-    own = df.where(F.trim(text) != "").withColumn("_e", estimated_tokens(F.col(text)))
+    """(by, rows, estimate): the non-blank rows of each group, in order, up to the first that reaches total + margin.
+
+    Each such row counts one token at least, so no more rows than tokens are needed: Spark keeps that many of each
+    group and task before it shuffles."""
+    room = total + MARGIN
+    first = df.where(F.trim(text) != "").select(by, order, estimated_tokens(F.col(text)).alias("_e")).where("_e > 0")
+    own = first.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_at") <= room)
     before = F.coalesce(F.sum("_e").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.withColumn("_before", before).where(F.col("_before") < total + MARGIN).groupBy(by).agg(F.count("*").alias("rows"), F.sum("_e").alias("estimate"))
+    return own.withColumn("_before", before).where(F.col("_before") < room).groupBy(by).agg(F.count("*").alias("rows"), F.sum("_e").alias("estimate"))
 
 
 def with_needle(hay: Column, needle: Column, depth: Column, total: Column) -> Column:
