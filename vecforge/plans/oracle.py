@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 from vecforge.operators.stats import T_ABOVE, T_BELOW
 from vecforge.operators.text import NEEDLE, QUESTION
 
@@ -148,7 +150,7 @@ LIVE = """live AS (SELECT label AS layer_id, vec_id AS token_idx, embedding AS v
 n_live AS (SELECT layer_id, count(*) AS n FROM live GROUP BY layer_id),
 n_kept AS (SELECT layer_id, count(*) AS n FROM live WHERE layer_id < 6 AND NOT (layer_id % 3 = 0 AND token_idx >= 400) GROUP BY layer_id),
 st AS (SELECT l.layer_id, CASE WHEN k.n IS NULL THEN 'missing' WHEN k.n = l.n THEN 'replaced' ELSE 'mismatch' END AS status FROM n_live l LEFT JOIN n_kept k USING (layer_id))"""
-POSITIONS = "ps AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, list_transform(embedding, lambda a: a::DOUBLE) AS value, list_transform(list_reverse(embedding), lambda a: a::DOUBLE) AS score FROM embeddings)"
+POSITIONS = "ps AS (SELECT (vec_id % 10)::INT AS label, vec_id // 10 AS pos, list_transform(embedding, lambda a: a::DOUBLE) AS value, list_transform(list_reverse(embedding), lambda a: a::DOUBLE) AS score FROM embeddings)"
 WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 
 
@@ -165,6 +167,19 @@ best AS (SELECT * FROM prod QUALIFY row_number() OVER (PARTITION BY vec_id ORDER
 SELECT vec_id, seg_id::INT AS seg_id, {r('t')} AS t, {r('list_sum(list_transform(range(1, 65), lambda i: (x[i] - t * nm * c[i]) * (x[i] - t * nm * c[i])))')} AS error FROM best"""
 
 
+def number_list(x: np.ndarray) -> str:
+    """Numbers, or rows of numbers, as a list of doubles."""
+    return "[" + ", ".join(number_list(row) if np.ndim(row) else f"{float(row)!r}::DOUBLE" for row in x) + "]"
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def codewords(x: np.ndarray) -> str:
+    return f"cw AS (SELECT unnest(range({len(x)})) AS seg_id, unnest({number_list(x)}) AS c)"
+
+
 SIGN = "(1 - 2 * (bit_count((i & j)::BIGINT)::INT % 2))"
 ROWS48 = f"cw AS (SELECT i AS seg_id, list_transform(range(64), lambda j: {SIGN} / 8.0::DOUBLE) AS c FROM (SELECT unnest(range(48)) AS i))"
 ROWS64 = ROWS48.replace("range(48)", "range(64)")
@@ -172,6 +187,30 @@ VERTICES = "cw AS (SELECT i AS seg_id, list_transform(range(64), lambda j: CASE
 PLANES = "cw AS (SELECT p * 8 + a AS seg_id, list_transform(range(64), lambda j: CASE WHEN j = 2 * p THEN cos(a * pi() / 8) WHEN j = 2 * p + 1 THEN sin(a * pi() / 8) ELSE 0.0::DOUBLE END) AS c FROM (SELECT unnest(range(32)) AS p), (SELECT unnest(range(8)) AS a))"
 
 
+def three_streams() -> str:
+    """Hidden states of eight numbers through the sliding, the overlapping ratio-4 and the ratio-128 stream."""
+    rng = np.random.default_rng(0)
+    ape4, ape128 = rng.normal(size=(4, 256)) * 0.02, rng.normal(size=(128, 128)) * 0.02
+    w = [np.random.default_rng(i).normal(size=(k * 128, 8)) / np.sqrt(8) for i, k in enumerate((1, 2, 2, 1, 1))]
+    ctes = ["h AS (SELECT vec_id AS pos, list_transform(embedding[1:8], lambda a: a::DOUBLE) AS h FROM embeddings)"]
+    ctes += [f"m AS (SELECT {', '.join(f'{number_list(x)} AS w{i}' for i, x in enumerate(w))}, {number_list(ape4)} AS a4, {number_list(ape128)} AS a128)"]
+    times = lambda i: f"list_transform(w{i}, lambda q: list_sum(list_transform(range(1, 9), lambda k: q[k] * h[k])))"
+    ctes += [f"s0 AS (SELECT 'sliding' AS stream, pos, pos AS turn, 10000.0::DOUBLE AS theta, {times(0)} AS y FROM h, m)"]
+    ctes += [f"p4 AS (SELECT pos // 4 AS b, {times(1)} AS v, {times(2)} AS g, a4[pos % 4 + 1] AS ape FROM h, m)", f"p128 AS (SELECT pos // 128 AS b, {times(3)} AS v, {times(4)} AS g, a128[pos % 128 + 1] AS ape FROM h, m)"]
+    ctes += ["c4 AS (SELECT b, i, 1 AS own, v[i + 129] AS v, g[i + 129] + ape[i + 129] AS s FROM p4, (SELECT unnest(range(128)) AS i) UNION ALL SELECT b + 1, i, 0, v[i + 1], g[i + 1] + ape[i + 1] FROM p4, (SELECT unnest(range(128)) AS i))"]
+    ctes += ["c128 AS (SELECT b, i, 1 AS own, v[i + 1] AS v, g[i + 1] + ape[i + 1] AS s FROM p128, (SELECT unnest(range(128)) AS i))"]
+    for n in (4, 128):
+        ctes += [f"d{n} AS (SELECT b, i, sum(v * exp(s)) / sum(exp(s)) AS v FROM c{n} GROUP BY b, i HAVING sum(own) = {n})"]
+        ctes += [f"s{n} AS (SELECT 'pool{n}' AS stream, b AS pos, b * {n} AS turn, 160000.0::DOUBLE AS theta, list(v ORDER BY i) AS y FROM d{n} GROUP BY b)"]
+    ctes += ["al AS (SELECT * FROM s0 UNION ALL SELECT * FROM s4 UNION ALL SELECT * FROM s128)"]
+    ctes += ["nn AS (SELECT stream, pos, turn, theta, list_transform(y, lambda a: a / sqrt(list_sum(list_transform(y, lambda z: z * z)) / 128 + 1e-6::DOUBLE)) AS u FROM al)"]
+    ctes += ["sc AS (SELECT *, greatest(list_max(list_transform(u[1:64], lambda a: abs(a))), 1e-4::DOUBLE) / 448.0::DOUBLE AS scale FROM nn)"]
+    angle = "turn * pow(theta, -2 * ((i - 64) // 2) / 64.0::DOUBLE)"
+    part = "greatest(-448.0::DOUBLE, least(448.0::DOUBLE, u[i + 1] / scale))"
+    value = f"CASE WHEN i < 64 THEN {signed(part, e4m3)} * scale WHEN i % 2 = 0 THEN u[i + 1] * cos({angle}) - u[i + 2] * sin({angle}) ELSE u[i] * sin({angle}) + u[i + 1] * cos({angle}) END"
+    return f"""WITH {", ".join(ctes)} SELECT stream, pos, i::INT AS "at", {r(f'{value} + 2.3e-7::DOUBLE', 5)} AS value FROM sc, (SELECT unnest(range(128)) AS i)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["codec_bits"] = f"""WITH g AS ({GRID}), gd AS (SELECT *, unnest([64, 128, 256, 512]) AS d FROM g),
@@ -197,7 +236,7 @@ SELECT variant, d, q, bits, raw, {r('raw::DOUBLE / bits')} AS ratio, {r('1 - bit
     parts = []
     for name, args in {"v14_full": {}, "no_unit_norm": {"unit": False}, "no_hadamard": {"turn": False}, "global_qmax": {"per": "global"}, "per_block_qmax": {"per": "block"}, "scalar_quantise": {"variant": "zn"}}.items():
         parts.append(f"SELECT '{name}' AS variant, m FROM (WITH {decoded(**({'variant': 'd4', 'q': 38, 'factor': VARIED} | args))} SELECT avg({error()}) / greatest(avg({dot('x', 'x')}), 1e-12) AS m FROM dec)")
-    out["ablation_table"] = f"WITH m AS ({' UNION ALL '.join(parts)}) SELECT variant, {r('m', 8)} AS rel_mse, {r('m / (SELECT b.m FROM m b WHERE b.variant = $$v14_full$$)', 4)} AS to_full FROM m"
+    out["ablation_table"] = f"WITH m AS ({' UNION ALL '.join(parts)}) SELECT variant, 432::BIGINT AS bits, {r('m', 8)} AS rel_mse, {r('m / (SELECT b.m FROM m b WHERE b.variant = $$v14_full$$)', 4)} AS to_full FROM m"
     out["dispatch_by_length"] = f"""SELECT vec_id, 64 AS dims, {r(error(), 9)} AS error FROM (WITH {decoded('d4', 38, where='WHERE vec_id % 2 = 0')} SELECT * FROM dec)
 UNION ALL SELECT vec_id, 32 AS dims, {r(error(dims=32), 9)} AS error FROM (WITH {decoded('e8', 10, dims=32, where='WHERE vec_id % 2 = 1')} SELECT * FROM dec)"""
     bf = f"list_transform(x, lambda a: {signed('a', bf16)})"
@@ -270,6 +309,11 @@ CASE WHEN coded_bytes >= 1073741824 THEN printf('%.2f GiB', coded_bytes / 107374
     cell = lambda d: r(f"sum(n_correct) FILTER (depth = {d}::DOUBLE)::DOUBLE / sum(n_trials) FILTER (depth = {d}::DOUBLE)")
     out["niah_heat_map"] = f"WITH {TRIALS} SELECT ctx_len, channel, {cell(0.1)} AS d0_1, {cell(0.5)} AS d0_5, {cell(0.9)} AS d0_9 FROM tri GROUP BY ctx_len, channel"
     out["nearest_hadamard_rows"], out["nearest_hadamard_vertices"], out["nearest_planes"] = nearest(ROWS48), nearest(VERTICES), nearest(PLANES)
+    out["nearest_random"] = nearest(codewords(unit_rows(np.random.default_rng(0xC0DE).normal(size=(256, 64)))))
+    turn = np.linalg.qr(np.random.default_rng(0xDADA).normal(size=(64, 64)))[0]
+    arcs = [np.cos(a * np.pi / 4) * turn[:, 2 * p] + np.sin(a * np.pi / 4) * turn[:, 2 * p + 1] for p in range(32) for a in range(4)]
+    axes = [np.cos(a * np.pi / 8) * np.eye(64)[2 * p] + np.sin(a * np.pi / 8) * np.eye(64)[2 * p + 1] for p in range(32) for a in range(8)]
+    out["nearest_planes_scales"] = nearest(codewords(unit_rows(np.array(axes + arcs))))
     out["codebook_head_to_head"] = f"""WITH near AS ({nearest(ROWS64)}), {ROWS64}, vec AS (SELECT vec_id, label, list_transform(embedding, lambda a: a::DOUBLE * {VARIED}) AS x FROM embeddings),
 j AS (SELECT label, x, c, {dot('x', 'x')} AS n2, {dot('x', 'c')} AS t FROM vec JOIN near USING (vec_id) JOIN cw USING (seg_id)),
 k AS (SELECT label, n2, list_sum(list_transform(range(1, 65), lambda i: (x[i] - t * c[i]) * (x[i] - t * c[i]))) AS e, abs(t) / sqrt(n2) AS cos FROM j)
@@ -281,7 +325,7 @@ UNION ALL SELECT d.lang, d.i, CASE WHEN f.done THEN d.text ELSE f.whole || d.tex
   CASE WHEN f.done THEN 0 ELSE f.est END + floor(d.n * 1.3::DOUBLE)::BIGINT >= 400 FROM f JOIN d ON d.lang = f.lang AND d.i = f.i + 1),
 g AS (SELECT lang, i, rows, len({WORDS.format("whole")}) AS words, md5(whole) AS md5 FROM f WHERE done)
 SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY i) - 1)::INT AS passage, rows::INT AS rows, words::INT AS words, md5 FROM g WHERE words >= 400"""
-    out["haystack_rows"] = f"""WITH d AS (SELECT lang, doc_id, floor(len({w}) * 1.3::DOUBLE)::BIGINT AS e FROM documents WHERE trim(text) <> ''),
+    out["haystack_rows"] = f"""WITH d AS (SELECT lang, doc_id, floor(len({w}) * 1.3::DOUBLE)::BIGINT AS e FROM documents WHERE trim(text) <> '' AND len({w}) > 0),
 b AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d) SELECT lang, count(*) AS rows, sum(e)::BIGINT AS estimate FROM b WHERE before < 10192 GROUP BY lang"""
     needle, question = WORDS.format(lit(NEEDLE)), WORDS.format(lit(QUESTION))
     out["needle_prompt"] = f"""WITH d AS (SELECT doc_id, {w} AS ids, {needle} AS nd, {question} AS qs FROM documents), c AS (SELECT *, ids[1 : 300 - len(nd)] AS h FROM d),
@@ -306,10 +350,10 @@ al AS (SELECT label, x, y FROM dec UNION ALL SELECT b.label, list_reverse(d.x),
 s AS (SELECT label AS layer_id, label NOT IN (0, 9) AS fired, CASE WHEN label NOT IN (0, 9) THEN y ELSE x END AS v FROM al) SELECT layer_id, fired, count(*) AS n, {r(f'sum({sq})', 4)} AS norm2 FROM s GROUP BY ALL"""
     out["effective_boundary"] = "SELECT i::INT AS layer_id FROM (SELECT unnest(range(10)) AS i) WHERE i < 2 OR i >= 8 OR i NOT IN (SELECT label FROM embeddings WHERE label <> 4)"
     out["unshared_layers"] = f"WITH {KV} SELECT layer_id, count(*) AS n FROM kv WHERE layer_id < 7 GROUP BY layer_id"
-    out["pool_ratio16"] = f"""WITH {POSITIONS}, e AS (SELECT label, pos // 16 AS block, i AS c, value[i + 1] AS v, score[i + 1] AS s FROM ps, (SELECT unnest(range(64)) AS i) WHERE pos < 32)
-SELECT label, block, c::INT AS "at", {r('sum(v * exp(s)) / sum(exp(s)) + 2.3e-7::DOUBLE', 5)} AS value FROM e GROUP BY label, block, c"""
-    out["pool_ratio4_overlapping"] = f"""WITH {POSITIONS}, h AS (SELECT label, pos // 4 AS block, value[33:64] AS v, score[33:64] AS s FROM ps WHERE pos < 32 UNION ALL SELECT label, pos // 4 + 1, value[1:32], score[1:32] FROM ps WHERE pos < 28),
-e AS (SELECT label, block, i AS c, v[i + 1] AS v, s[i + 1] AS s FROM h, (SELECT unnest(range(32)) AS i)) SELECT label, block, c::INT AS "at", {r('sum(v * exp(s)) / sum(exp(s)) + 2.3e-7::DOUBLE', 5)} AS value FROM e GROUP BY label, block, c"""
+    out["pool_ratio16"] = f"""WITH {POSITIONS}, e AS (SELECT label, pos // 16 AS block, i AS c, value[i + 1] AS v, score[i + 1] AS s FROM ps, (SELECT unnest(range(64)) AS i))
+SELECT label, block, c::INT AS "at", {r('sum(v * exp(s)) / sum(exp(s)) + 2.3e-7::DOUBLE', 5)} AS value FROM e GROUP BY label, block, c HAVING count(*) = 16"""
+    out["pool_ratio4_overlapping"] = f"""WITH {POSITIONS}, h AS (SELECT label, pos // 4 AS block, value[33:64] AS v, score[33:64] AS s, 1 AS own FROM ps UNION ALL SELECT label, pos // 4 + 1, value[1:32], score[1:32], 0 FROM ps),
+e AS (SELECT label, block, own, i AS c, v[i + 1] AS v, s[i + 1] AS s FROM h, (SELECT unnest(range(32)) AS i)) SELECT label, block, c::INT AS "at", {r('sum(v * exp(s)) / sum(exp(s)) + 2.3e-7::DOUBLE', 5)} AS value FROM e GROUP BY label, block, c HAVING sum(own) = 4"""
     out["position_embedding"] = f"WITH {POSITIONS} SELECT label, pos::INT AS pos, {r('score[1]')} AS first, {r('score[64] + (63 * (pos % 4 + 1)) / 100.0::DOUBLE')} AS last FROM ps"
     angle = "(pos * 4) * pow(10000.0::DOUBLE, -2 * ((i - 48) // 2) / 16.0::DOUBLE)"
     out["rmsnorm_rope"] = f"""WITH {POSITIONS}, nn AS (SELECT label, pos::INT AS pos, list_transform(value, lambda a: a / sqrt({dot('value', 'value')} / 64 + 1e-6::DOUBLE)) AS u FROM ps)
@@ -321,7 +365,27 @@ SELECT i::INT AS i, {r('f / 16 * (1 - k) + f * k', 12)} AS f FROM f"""
     out["weight_scale_pairs"] = """WITH n AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'layers.' ELSE 'head.' END || (p_partkey // 2) AS base, p_partkey % 2 = 0 AS is_w FROM part)
 SELECT w.base, w.base || '.weight' AS weight, CASE WHEN s.base IS NOT NULL THEN s.base || '.scale' END AS scale FROM n w LEFT JOIN n s ON s.base = w.base AND NOT s.is_w WHERE w.is_w"""
     sweeps = " UNION ALL ".join(f"SELECT '{v}' AS variant, {q} AS q, x, y FROM (WITH {decoded(v, q)} SELECT x, y FROM dec)" for v in ("d4", "e8") for q in (4, 10, 38))
-    out["arrow_sweep"] = f"WITH s AS ({sweeps}) SELECT variant, q, {r(f'sum({error()}) / greatest(sum({dot(chr(120), chr(120))}), 1e-12)')} AS rel_mse, {r(f'avg({cos})')} AS cos_mean, count(*) AS n FROM s GROUP BY variant, q"
+    out["arrow_sweep"] = f"WITH s AS ({sweeps}) SELECT variant, q, {r(f'sum({error()}) / greatest(sum({dot(chr(120), chr(120))}), 1e-12)', 9)} AS rel_mse, {r(f'avg({cos})', 9)} AS cos_mean, count(*) AS n FROM s GROUP BY variant, q"
     out["vector_digests"] = "SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda a: printf('%.4f', a::DOUBLE)), ',')) AS sha256 FROM embeddings"
+    out["decode_speed"] = f"SELECT p_partkey, {r('p_retailprice / 1000 * 1e9 / (p_size * 1024 * 8)', 4)} AS ms_per_million FROM part"
+    out["phase_off"] = f"WITH {KV} SELECT layer_id, false AS fired, count(*) AS n, {r('sum(list_sum(list_transform(vec, lambda a: a::DOUBLE * a::DOUBLE)))', 4)} AS norm2 FROM kv GROUP BY layer_id"
+    out["head_size_problems"] = """SELECT d::INT AS d, variant, concat_ws('; ', CASE WHEN d NOT IN (1, 2, 4, 8, 16, 32, 64, 128, 256) THEN 'head size ' || d || ' is no power of two' END,
+  CASE WHEN d % size <> 0 THEN 'head size ' || d || ' is no multiple of ' || size END) AS problems FROM (SELECT unnest(range(1, 301)) AS d), (VALUES ('d4', 4), ('e8', 8)) v(variant, size)"""
+    out["layer_codec_plan"] = "SELECT i::INT AS layer_id, i >= 2 AND i < 10 AS coded, CASE WHEN i >= 2 AND i < 10 THEN 16 * ceil(8 * log2(77)) + 32 ELSE 2048 END::BIGINT AS bits FROM (SELECT unnest(range(12)) AS i)"
+    out["projected"] = f"""WITH w AS (SELECT {number_list(np.random.default_rng(3).normal(size=(4, 8)) / np.sqrt(8))} AS w), e AS (SELECT vec_id, list_transform(embedding[1:8], lambda a: a::DOUBLE) AS h FROM embeddings)
+SELECT vec_id, i::INT AS "at", {r('list_sum(list_transform(range(1, 9), lambda k: w[i + 1][k] * h[k])) + 2.3e-7::DOUBLE', 5)} AS value FROM e, w, (SELECT unnest(range(4)) AS i)"""
+    out["three_streams"] = three_streams()
+    per = lambda source, n: f"SELECT label, {mse} AS {n}_m, avg({cos}) AS {n}_k FROM ({source}) GROUP BY label"
+    own = " JOIN ".join(f"({per(q, n)}) {n}_t USING (label)" for n, q in (("d4", f"WITH {decoded('d4', 38, VARIED)} SELECT * FROM dec"), ("e8", f"WITH {decoded('e8', 38, VARIED)} SELECT * FROM dec"), ("fp8", f"WITH {fp8_block('e4m3')} SELECT * FROM fp8")))
+    bits = {"d4": "16 * ceil(4 * log2(77) - 1) + 32", "e8": "8 * ceil(8 * log2(77)) + 32", "fp8": "8 * 64 + 16"}
+    flat = ", ".join(f"({bits[n]})::INT AS {n}_bits, {r(f'{n}_m', 8)} AS {n}_rel_mse, {r(f'{n}_k', 8)} AS {n}_cos" for n in bits)
+    out["stream_records"] = f"SELECT a.label, a.num_vectors, a.excess_kurtosis_abs, a.isotropy_variance_ratio, {flat} FROM ({audit(VARIED, 'label', False)}) a JOIN {own}"
+    out["capture_stream"] = "SELECT label AS layer_id, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings GROUP BY label"
+    out["built_in_passages"] = "SELECT i::INT AS passage_id, topic, (8 * length(t))::INT AS chars, md5(repeat(t, 8)) AS md5 FROM (VALUES (0, 'tide', 'The tide turns twice a day. '), (1, 'bread', 'Flour, water, salt and time. '), (2, 'maps', 'A map leaves most things out. ')) p(i, topic, t)"
+    out["golden_entries"] = "SELECT * FROM (VALUES ('d4_q38', '0a1b', 432::INT), ('e8_q38', '2c3d', 440::INT)) g(key, sha256, bits)"
+    out["device_trace"] = "SELECT * FROM (VALUES ('10:00:00', 45.3::DOUBLE, 12.0::DOUBLE), ('10:00:01', 151.0, 2048.0), ('10:00:02', NULL, 2049.0)) t(timestamp, power_draw, memory_used)"
+    out["report_records"] = f"WITH {TRIALS} SELECT ctx_len, depth, channel, sum(n_correct)::INT AS n_correct, sum(n_trials)::INT AS n_trials, {r('sum(n_correct)::DOUBLE / sum(n_trials)')} AS accuracy FROM tri GROUP BY ALL"
+    out["gaussian_moments"] = "SELECT 262144::BIGINT AS n, true AS mean, true AS std, true AS skew, true AS kurt"
+    out["head_gain"] = f"WITH g AS (SELECT vec_id, list_transform(embedding, lambda a: (a::DOUBLE * (0.5::DOUBLE + label * (1.5::DOUBLE / 9)))::FLOAT::DOUBLE) AS y FROM embeddings) {coordinates('g', 'vec_id', 'y')}"
     out["stream_roundtrip"] = "SELECT label AS layer_id, label >= 2 AND label < 8 AS fired, count(*) AS n FROM embeddings GROUP BY label"
     return out

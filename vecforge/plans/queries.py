@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecforge.functions.arrays import as_doubles, hadamard, squared_norm
@@ -17,7 +17,7 @@ from vecforge.functions.floats import bf16, e4m3, e8m0, fp16
 from vecforge.operators import bits, cache, codebook, metrics, pooling, stats, text
 from vecforge.operators.codec import ABLATIONS, Codec, ablation, bf16_roundtrip, d4, dispatched_roundtrip, e8, fp8_roundtrip, masked_roundtrip, scalar, with_global_max
 from vecforge.operators.codec_arrow import sweep
-from vecforge.sources.tables import digest, table
+from vecforge.sources.tables import RETRIEVAL, digest, gaussian, golden, passages, records, report, table, trace, with_head_gain, work_dir
 from vecforge.streaming import cache as streaming
 
 DIMS, LAYERS, BOUNDARY = 64, 10, 2
@@ -146,8 +146,16 @@ def _ablation_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ablation_table(spark: SparkSession, sf: str) -> DataFrame:
     means = metrics.relative_mse(_ablation_rows(spark, sf), "x", "y", ["variant"])
-    base = F.broadcast(means.where("variant = 'v14_full'").select(F.col("rel_mse").alias("base")))
-    return means.crossJoin(base).select("variant", rounded("rel_mse", 8).alias("rel_mse"), rounded(F.col("rel_mse") / F.col("base"), 4).alias("to_full"))
+    bits_of = F.create_map(*[F.lit(v) for n in ABLATIONS for v in (n, ablation(n, DIMS, 38).bits)])
+    out = stats.with_baseline(means, "variant", "rel_mse", "v14_full")
+    return out.select("variant", bits_of[F.col("variant")].cast("long").alias("bits"), rounded("rel_mse", 8).alias("rel_mse"), rounded(F.col("rel_mse") / F.col("base"), 4).alias("to_full"))
+
+
+@query
+def decode_speed(spark: SparkSession, sf: str) -> DataFrame:
+    """Seconds of a run over 1,024 tokens as milliseconds for a million vectors."""
+    speed = bits.ms_per_million(F.col("p_retailprice") / 1000, F.col("p_size"), F.lit(1024), F.lit(8))
+    return table(spark, sf, "part").select("p_partkey", rounded(speed, 4).alias("ms_per_million"))
 
 
 @query
@@ -232,6 +240,16 @@ def short_audit(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*[rounded(c).alias(c) for c in ("excess_kurtosis_abs", "isotropy_variance_ratio")])
 
 
+@query
+def stream_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One record for each class: the audit, two codecs and the FP8 baseline, laid flat for comparison."""
+    codecs = {"d4": d4(DIMS, 38), "e8": e8(DIMS, 38)}
+    out = metrics.stream_records(vectors(spark, sf, True), "x", DIMS, codecs, ["label"])
+    audits = [rounded(F.col("audit")[c]).alias(c) for c in ("excess_kurtosis_abs", "isotropy_variance_ratio")]
+    each = [c for n in ("d4", "e8", "fp8") for c in (F.col("codecs")[n]["bits"].alias(f"{n}_bits"), rounded(F.col("codecs")[n]["rel_mse"], 8).alias(f"{n}_rel_mse"), rounded(F.col("codecs")[n]["cos_sim"], 8).alias(f"{n}_cos"))]
+    return out.select("label", F.col("audit")["num_vectors"].alias("num_vectors"), *audits, *each)
+
+
 def _logprobs(spark: SparkSession, sf: str, shift: float) -> DataFrame:
     """(passage, pos, gold_id, logprobs): three candidates a position; every eleventh has none."""
     e = table(spark, sf, "events")
@@ -431,6 +449,7 @@ def _nearest(name: str, make: Callable[[], codebook.Codebook]) -> None:
 _nearest("nearest_hadamard_rows", lambda: codebook.hadamard_rows(48, DIMS))
 _nearest("nearest_hadamard_vertices", lambda: codebook.hadamard_vertices(7, DIMS))
 _nearest("nearest_planes", lambda: codebook.planes(DIMS, 8))
+_nearest("nearest_planes_scales", lambda: codebook.planes(DIMS, 8, scales=2))
 _nearest("nearest_random", lambda: codebook.random_codebook(256, DIMS))
 
 
@@ -500,6 +519,26 @@ def boundary_skip(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("layer_id", "tensor", "fired").agg(F.count("*").alias("n"), rounded(F.sum(squared_norm(as_doubles(F.col("vec")))), 4).alias("norm2"))
 
 
+@query
+def phase_off(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a codec nothing fires and vectors pass."""
+    out = cache.write(_kv(spark, sf), None, LAYERS, BOUNDARY)
+    return out.groupBy("layer_id", "fired").agg(F.count("*").alias("n"), rounded(F.sum(squared_norm(as_doubles(F.col("vec")))), 4).alias("norm2"))
+
+
+@query
+def head_size_problems(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(d, v, "; ".join(cache.problems(d, v))) for d in range(1, 301) for v in ("d4", "e8")]
+    return spark.createDataFrame(rows, "d int, variant string, problems string")
+
+
+@query
+def layer_codec_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of twelve layers are coded, and at how many bits a vector."""
+    rows = [(i, c is not None, 16 * 128 if c is None else c.bits) for i, c in cache.layer_codecs(12, BOUNDARY, 128, "e8", 38).items()]
+    return spark.createDataFrame(rows, "layer_id int, coded boolean, bits long")
+
+
 @query
 def fire_counts(spark: SparkSession, sf: str) -> DataFrame:
     counts = cache.counters(cache.write(_kv(spark, sf), d4(DIMS, 38), LAYERS, BOUNDARY))
@@ -552,21 +591,33 @@ def unshared_layers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, sf: str) -> DataFrame:
-    """(pos, value, score): the vectors of each class in id order; scores are the reversed vectors."""
-    pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return table(spark, sf, "embeddings").select("label", pos.alias("pos"), as_doubles(F.col("embedding")).alias("value"), as_doubles(F.reverse("embedding")).alias("score"))
+    """(label, pos, value, score): ten sequences, dealt out by id; scores are the reversed vectors."""
+    e = table(spark, sf, "embeddings")
+    return e.select((F.col("vec_id") % LAYERS).cast("int").alias("label"), F.floor(F.col("vec_id") / LAYERS).cast("int").alias("pos"), as_doubles(F.col("embedding")).alias("value"), as_doubles(F.reverse("embedding")).alias("score"))
 
 
 @query
 def pool_ratio16(spark: SparkSession, sf: str) -> DataFrame:
-    out = pooling.pool(_positions(spark, sf), 16, ["label"], n=32)
-    return coordinates(out, ["label", "block"], F.col("pooled"))
+    return coordinates(pooling.pool(_positions(spark, sf), 16, ["label"]), ["label", "block"], F.col("pooled"))
 
 
 @query
 def pool_ratio4_overlapping(spark: SparkSession, sf: str) -> DataFrame:
-    out = pooling.pool_overlapping(_positions(spark, sf), 4, 32, 32, ["label"])
-    return coordinates(out, ["label", "block"], F.col("pooled"))
+    return coordinates(pooling.pool_overlapping(_positions(spark, sf), 4, 32, ["label"]), ["label", "block"], F.col("pooled"))
+
+
+@query
+def projected(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("hidden"))
+    return coordinates(pooling.project(rows, pooling.projection_matrix(4, 8, 3), "hidden", "kv"), ["vec_id"], F.col("kv"))
+
+
+@query
+def three_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors in id order as one sequence of hidden states of eight numbers, filled up to a multiple of 128."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.slice("embedding", 1, 8).alias("hidden"))
+    n = -(-(rows.agg(F.max("pos")).first()[0] + 1) // 128) * 128
+    return coordinates(pooling.streams(rows, n, pooling.Shape(hidden=8, head=128, rope=64)), ["stream", "pos"], F.col("kv"))
 
 
 @query
@@ -610,7 +661,7 @@ def weight_scale_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def arrow_sweep(spark: SparkSession, sf: str) -> DataFrame:
     settings = [(v, q) for v in ("d4", "e8") for q in (4, 10, 38)]
-    return sweep(vectors(spark, sf), settings, "x").select("variant", "q", rounded("rel_mse").alias("rel_mse"), rounded("cos_mean").alias("cos_mean"), "n")
+    return sweep(vectors(spark, sf), settings, "x").select("variant", "q", rounded("rel_mse", 9).alias("rel_mse"), rounded("cos_mean", 9).alias("cos_mean"), "n")
 
 
 @query
@@ -629,5 +680,64 @@ def stream_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(name).select("layer_id", "fired", "n")
 
 
+@query
+def capture_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The tap: every micro-batch of the file stream kept in a folder, then counted."""
+    folder = work_dir(spark)
+    stream = streaming.source(spark, f"{sf}/embeddings*.parquet", "vec_id long, embedding array<float>, label int")
+    streaming.capture(stream, f"{folder}/tap", f"{folder}/state").awaitTermination()
+    kept = spark.read.parquet(f"{folder}/tap")
+    return kept.groupBy(F.col("label").alias("layer_id")).agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+
+
+# --- sources and reports
+
+PASSAGES = [("tide", "The tide turns twice a day. "), ("bread", "Flour, water, salt and time. "), ("maps", "A map leaves most things out. ")]
+GOLDEN = '{"d4_q38": {"sha256": "0a1b", "bits": 432}, "e8_q38": {"sha256": "2c3d", "bits": 440}, "_notes": {"seed": 7}}'
+TRACE = ["timestamp, power.draw [W], memory.used [MiB]", "10:00:00, 45.30 W, 12 MiB", "10:00:01, 151.00 W, 2048 MiB", "10:00:02, N/A, 2049 MiB"]
+
+
+@query
+def built_in_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages(spark, PASSAGES, 8).select("passage_id", "topic", F.length("text").alias("chars"), F.md5("text").alias("md5"))
+
+
+@query
+def golden_entries(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark)
+    spark.createDataFrame([(GOLDEN,)], "value string").write.text(path)
+    return golden(spark, path)
+
+
+@query
+def device_trace(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark)
+    spark.createDataFrame([(line,) for line in TRACE], "value string").coalesce(1).write.text(path)
+    return trace(spark, path, ["power_draw", "memory_used"])
+
+
+@query
+def report_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval records written as one JSON report and read back."""
+    path = work_dir(spark)
+    rows = stats.accuracy(_trials(spark, sf), ["ctx_len", "depth", "channel"])
+    report(rows, model="m", tokens=8192).write.text(path)
+    return records(spark, path, RETRIEVAL).select("ctx_len", "depth", "channel", "n_correct", "n_trials", rounded("accuracy").alias("accuracy"))
+
+
+@query
+def gaussian_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeded normal numbers: counts, and whether the moments are what they should be."""
+    v = gaussian(spark, 2048, 8, 16).select(F.explode("vec").alias("v"))
+    near = lambda c, want: (F.abs(c - want) < 0.005)
+    return v.agg(F.count("*").alias("n"), near(F.avg("v"), 0.0).alias("mean"), near(F.stddev_pop("v"), 0.3).alias("std"), (F.abs(F.skewness("v")) < 0.05).alias("skew"), (F.abs(F.kurtosis("v")) < 0.1).alias("kurt"))
+
+
+@query
+def head_gain(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("head_idx"), F.col("embedding").alias("vec"))
+    return coordinates(with_head_gain(rows, LAYERS), ["vec_id"], as_doubles(F.col("vec")))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
