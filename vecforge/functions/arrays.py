@@ -60,11 +60,6 @@ def blocks(vec: Column, dims: int, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dims // size - 1)), lambda k: F.slice(vec, k * size + 1, F.lit(size)))
 
 
-def hadamard_sign(i: Column, j: Column) -> Column:
-    """+1 or -1: the entry of the unnormalised Hadamard matrix; it is never stored."""
-    return F.when(F.bit_count(i.bitwiseAND(j)) % 2 == 0, 1.0).otherwise(-1.0)
-
-
 def hadamard(vec: Column, dims: int, normalised: bool = True) -> Column:
     """Product with the Hadamard matrix: log2(dims) rounds of sums and differences; its own inverse if normalised."""
     if dims & (dims - 1):

@@ -95,7 +95,7 @@ dec AS (SELECT vec_id, label, x, list_transform({back}, lambda a: a * norm16) AS
 
 
 def coordinates(source: str, keys: str, vec: str) -> str:
-    return f"""SELECT {keys}, i::INT AS "at", {r(f'{vec}[i + 1] + 2.3e-7::DOUBLE', 5)} AS value FROM {source}, (SELECT unnest(range(64)) AS i)"""
+    return f"""SELECT {keys}, i::INT AS "at", {r(f'{vec}[i + 1] + 2.3e-9::DOUBLE', 7)} AS value FROM {source}, (SELECT unnest(range(64)) AS i)"""
 
 
 def error(x: str = "x", y: str = "y", dims: int = 64) -> str:
@@ -208,7 +208,7 @@ def three_streams() -> str:
     angle = "turn * pow(theta, -2 * ((i - 64) // 2) / 64.0::DOUBLE)"
     part = "greatest(-448.0::DOUBLE, least(448.0::DOUBLE, u[i + 1] / scale))"
     value = f"CASE WHEN i < 64 THEN {signed(part, e4m3)} * scale WHEN i % 2 = 0 THEN u[i + 1] * cos({angle}) - u[i + 2] * sin({angle}) ELSE u[i] * sin({angle}) + u[i + 1] * cos({angle}) END"
-    return f"""WITH {", ".join(ctes)} SELECT stream, pos, i::INT AS "at", {r(f'{value} + 2.3e-7::DOUBLE', 5)} AS value FROM sc, (SELECT unnest(range(128)) AS i)"""
+    return f"""WITH {", ".join(ctes)} SELECT stream, pos, i::INT AS "at", {r(f'{value} + 2.3e-9::DOUBLE', 7)} AS value FROM sc, (SELECT unnest(range(128)) AS i)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -351,13 +351,13 @@ s AS (SELECT label AS layer_id, label NOT IN (0, 9) AS fired, CASE WHEN label NO
     out["effective_boundary"] = "SELECT i::INT AS layer_id FROM (SELECT unnest(range(10)) AS i) WHERE i < 2 OR i >= 8 OR i NOT IN (SELECT label FROM embeddings WHERE label <> 4)"
     out["unshared_layers"] = f"WITH {KV} SELECT layer_id, count(*) AS n FROM kv WHERE layer_id < 7 GROUP BY layer_id"
     out["pool_ratio16"] = f"""WITH {POSITIONS}, e AS (SELECT label, pos // 16 AS block, i AS c, value[i + 1] AS v, score[i + 1] AS s FROM ps, (SELECT unnest(range(64)) AS i))
-SELECT label, block, c::INT AS "at", {r('sum(v * exp(s)) / sum(exp(s)) + 2.3e-7::DOUBLE', 5)} AS value FROM e GROUP BY label, block, c HAVING count(*) = 16"""
+SELECT label, block, c::INT AS "at", {r('sum(v * exp(s)) / sum(exp(s)) + 2.3e-9::DOUBLE', 7)} AS value FROM e GROUP BY label, block, c HAVING count(*) = 16"""
     out["pool_ratio4_overlapping"] = f"""WITH {POSITIONS}, h AS (SELECT label, pos // 4 AS block, value[33:64] AS v, score[33:64] AS s, 1 AS own FROM ps UNION ALL SELECT label, pos // 4 + 1, value[1:32], score[1:32], 0 FROM ps),
-e AS (SELECT label, block, own, i AS c, v[i + 1] AS v, s[i + 1] AS s FROM h, (SELECT unnest(range(32)) AS i)) SELECT label, block, c::INT AS "at", {r('sum(v * exp(s)) / sum(exp(s)) + 2.3e-7::DOUBLE', 5)} AS value FROM e GROUP BY label, block, c HAVING sum(own) = 4"""
+e AS (SELECT label, block, own, i AS c, v[i + 1] AS v, s[i + 1] AS s FROM h, (SELECT unnest(range(32)) AS i)) SELECT label, block, c::INT AS "at", {r('sum(v * exp(s)) / sum(exp(s)) + 2.3e-9::DOUBLE', 7)} AS value FROM e GROUP BY label, block, c HAVING sum(own) = 4"""
     out["position_embedding"] = f"WITH {POSITIONS} SELECT label, pos::INT AS pos, {r('score[1]')} AS first, {r('score[64] + (63 * (pos % 4 + 1)) / 100.0::DOUBLE')} AS last FROM ps"
     angle = "(pos * 4) * pow(10000.0::DOUBLE, -2 * ((i - 48) // 2) / 16.0::DOUBLE)"
     out["rmsnorm_rope"] = f"""WITH {POSITIONS}, nn AS (SELECT label, pos::INT AS pos, list_transform(value, lambda a: a / sqrt({dot('value', 'value')} / 64 + 1e-6::DOUBLE)) AS u FROM ps)
-SELECT label, pos, i::INT AS "at", {r(f'CASE WHEN i < 48 THEN u[i + 1] WHEN i % 2 = 0 THEN u[i + 1] * cos({angle}) - u[i + 2] * sin({angle}) ELSE u[i] * sin({angle}) + u[i + 1] * cos({angle}) END + 2.3e-7::DOUBLE', 5)} AS value FROM nn, (SELECT unnest(range(64)) AS i)"""
+SELECT label, pos, i::INT AS "at", {r(f'CASE WHEN i < 48 THEN u[i + 1] WHEN i % 2 = 0 THEN u[i + 1] * cos({angle}) - u[i + 2] * sin({angle}) ELSE u[i] * sin({angle}) + u[i + 1] * cos({angle}) END + 2.3e-9::DOUBLE', 7)} AS value FROM nn, (SELECT unnest(range(64)) AS i)"""
     pair = lambda t: f"64 * ln(65536 / ({t} * 2 * pi())) / (2 * ln(160000.0::DOUBLE))"
     out["rope_stretched"] = f"""WITH b AS (SELECT greatest(floor({pair(32)}), 0) AS lo, least(ceil({pair(1)}), 63) AS hi), f AS (SELECT i, pow(160000.0::DOUBLE, -2 * i / 64.0::DOUBLE) AS f, 1 - least(greatest((i - lo) / (hi - lo), 0), 1) AS k FROM b, (SELECT unnest(range(32)) AS i))
 SELECT i::INT AS i, {r('f / 16 * (1 - k) + f * k', 12)} AS f FROM f"""
@@ -373,7 +373,7 @@ SELECT w.base, w.base || '.weight' AS weight, CASE WHEN s.base IS NOT NULL THEN
   CASE WHEN d % size <> 0 THEN 'head size ' || d || ' is no multiple of ' || size END) AS problems FROM (SELECT unnest(range(1, 301)) AS d), (VALUES ('d4', 4), ('e8', 8)) v(variant, size)"""
     out["layer_codec_plan"] = "SELECT i::INT AS layer_id, i >= 2 AND i < 10 AS coded, CASE WHEN i >= 2 AND i < 10 THEN 16 * ceil(8 * log2(77)) + 32 ELSE 2048 END::BIGINT AS bits FROM (SELECT unnest(range(12)) AS i)"
     out["projected"] = f"""WITH w AS (SELECT {number_list(np.random.default_rng(3).normal(size=(4, 8)) / np.sqrt(8))} AS w), e AS (SELECT vec_id, list_transform(embedding[1:8], lambda a: a::DOUBLE) AS h FROM embeddings)
-SELECT vec_id, i::INT AS "at", {r('list_sum(list_transform(range(1, 9), lambda k: w[i + 1][k] * h[k])) + 2.3e-7::DOUBLE', 5)} AS value FROM e, w, (SELECT unnest(range(4)) AS i)"""
+SELECT vec_id, i::INT AS "at", {r('list_sum(list_transform(range(1, 9), lambda k: w[i + 1][k] * h[k])) + 2.3e-9::DOUBLE', 7)} AS value FROM e, w, (SELECT unnest(range(4)) AS i)"""
     out["three_streams"] = three_streams()
     per = lambda source, n: f"SELECT label, {mse} AS {n}_m, avg({cos}) AS {n}_k FROM ({source}) GROUP BY label"
     own = " JOIN ".join(f"({per(q, n)}) {n}_t USING (label)" for n, q in (("d4", f"WITH {decoded('d4', 38, VARIED)} SELECT * FROM dec"), ("e8", f"WITH {decoded('e8', 38, VARIED)} SELECT * FROM dec"), ("fp8", f"WITH {fp8_block('e4m3')} SELECT * FROM fp8")))

@@ -44,7 +44,7 @@ def rounded(c: Column | str, n: int = 6) -> Column:
 
 def coordinates(df: DataFrame, keys: list[str], vec: Column) -> DataFrame:
     """(keys, at, value): vectors coordinate by coordinate, rounded for comparison; exact halves are moved off first."""
-    return df.select(*keys, F.posexplode(vec).alias("at", "v")).select(*keys, "at", rounded(F.col("v") + 2.3e-7, 5).alias("value"))
+    return df.select(*keys, F.posexplode(vec).alias("at", "v")).select(*keys, "at", rounded(F.col("v") + 2.3e-9, 7).alias("value"))
 
 
 def joined(z: Column) -> Column:
