@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vecforge.llm.common import connected_components, discard, stored
 
-PIVOTS = 64
+PIVOTS = 16
 
 
 def joined(rows: DataFrame, linked: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
