@@ -128,6 +128,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def each_text(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """The same, one by one; few of them are held at a time."""
+    for at in range(0, len(column), rows):
+        yield from as_bytes(column.slice(at, rows))
+
+
 def record_batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 

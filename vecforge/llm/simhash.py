@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecforge.llm import hamming
-from vecforge.llm.common import as_bytes, record_batch, stored
+from vecforge.llm.common import each_text, record_batch, stored
 
 SHINGLE = 3
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in as_bytes(b.column(0))], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t) for t in each_text(b.column(0))], np.uint64).view(np.int64)
             yield record_batch(fp=fps, id=b.column(1), row=b.column(2))
 
     own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"), (F.lit(0).cast("long") if row is None else row).alias("row"))

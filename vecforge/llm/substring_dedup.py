@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import as_bytes, discard, record_batch, stored
+from vecforge.llm.common import discard, each_text, record_batch, stored
 from vecforge.llm.suffix_array import adjacent, suffix_order
 
 LENGTH = 200
@@ -138,7 +138,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         out: list[list[np.ndarray]] = [[] for _ in range(4)]
-        for text in as_bytes(b.column(0)):
+        for text in each_text(b.column(0)):
             if len(text) < LENGTH:
                 continue
             key = (*_digest(text), len(text))
@@ -167,7 +167,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text of a task once."""
     seen: set[bytes] = set()
     for b in batches:
-        keys = [xxhash.xxh3_128_digest(t) for t in as_bytes(b.column(0))]
+        keys = [xxhash.xxh3_128_digest(t) for t in each_text(b.column(0))]
         fresh = []
         for k in keys:
             fresh.append(k not in seen)
@@ -181,9 +181,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, becomes digest, bytes, and compressed text."""
     pack = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        texts = as_bytes(b.column(b.num_columns - 1))
-        doc, doc2 = np.array([_digest(t) for t in texts], np.uint64).reshape(-1, 2).T
-        new = {"doc": _signed(doc), "doc2": _signed(doc2), "size": pa.array([len(t) for t in texts], pa.int64()), "packed": pa.array([pack.compress(t) for t in texts], pa.binary())}
+        texts = b.column(b.num_columns - 1)
+        found = [(*_digest(t), len(t), pack.compress(t)) for t in each_text(texts)]
+        doc, doc2, sizes, packed = zip(*found, strict=True) if found else ((), (), (), ())
+        new = {"doc": _signed(np.array(doc, np.uint64)), "doc2": _signed(np.array(doc2, np.uint64)), "size": pa.array(sizes, pa.int64()), "packed": pa.array(packed, pa.binary())}
         yield record_batch(**dict(zip(b.schema.names[:-1], b.columns[:-1], strict=True)), **new)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecforge.llm import calibration
-from vecforge.llm.common import as_bytes, record_batch, stored
+from vecforge.llm.common import as_bytes, each_text, record_batch, stored
 
 SHINGLE = 3
 FLUSH = 200_000
@@ -145,7 +145,7 @@ def calibrates() -> Column:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         low = []
-        for text in as_bytes(b.column(2)):
+        for text in each_text(b.column(2)):
             own = words(text)
             low.append(min((xxhash.xxh64_intdigest(b" ".join(own[i : i + SHINGLE])) for i in range(max(len(own) - SHINGLE + 1, 1))), default=0))
         yield record_batch(_id=b.column(0), label=b.column(1), sketch=np.array(low, np.uint64).view(np.int64))
@@ -171,7 +171,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums[1].clear()
 
     for b in batches:
-        for text, label, weight in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for text, label, weight in zip(each_text(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             own = sums[int(label > 0)]
             for k in {i for w in set(words(text)) for i in cache[w]}:
                 own[k] = own.get(k, 0.0) + weight
@@ -224,9 +224,9 @@ class _Scorer:
 TOGETHER = 256
 
 
-def _scored(texts: list[bytes], scorer: _Scorer) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+def _scored(texts: pa.Array, scorer: _Scorer) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     for i in range(0, len(texts), TOGETHER):
-        yield from zip(*scorer(texts[i : i + TOGETHER]), strict=True)
+        yield from zip(*scorer(as_bytes(texts.slice(i, TOGETHER))), strict=True)
 
 
 def _raw(found: list[tuple[int, list[tuple[int, int, float]]]], model: Model) -> np.ndarray:
@@ -243,7 +243,7 @@ def raw_scores(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for b in batches:
-            found = list(_scored(as_bytes(b.column(1)), scorer))
+            found = list(_scored(b.column(1), scorer))
             top = [max((s[2] for s in segs), default=0.0) for _, segs in found]
             yield record_batch(_id=b.column(0), label=b.column(2), n_words=pa.array([n for n, _ in found], pa.int64()), top=pa.array(top, pa.float64()), raw=_raw(found, model))
 
@@ -280,7 +280,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         scorer = _Scorer(model)
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("total", pa.float64())]))
         for b in batches:
-            found = list(_scored(as_bytes(b.column(1)), scorer))
+            found = list(_scored(b.column(1), scorer))
             least = [math.log(max(model.k * max(n, 1), 1e-12) / EXPECTED) / model.lam for n, _ in found]
             spans = [[{"first": s, "end": e, "total": t} for s, e, t in segs if t >= low] for (_, segs), low in zip(found, least, strict=True)]
             yield record_batch(id=b.column(0), score=_value(_raw(found, model), model), passages=pa.array(spans, kind))
@@ -296,7 +296,7 @@ def filtered(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _Scorer(model)
         for t in texts:
-            yield pa.array(_value(_raw(list(_scored(as_bytes(t), scorer)), model), model))
+            yield pa.array(_value(_raw(list(_scored(t, scorer)), model), model))
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.withColumn("score", score(F.col("row")[text_col].cast("string"))).where(F.col("score") < threshold).select("row.*")
