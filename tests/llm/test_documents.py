@@ -119,6 +119,7 @@ def test_simhash_blocks_of_one_key(spark, monkeypatch):
     from vecforge.llm import hamming
 
     monkeypatch.setattr(hamming, "BLOCK", 8)
+    monkeypatch.setattr(hamming, "PACK", 16)
     rng = np.random.default_rng(1)
     base = [0]
     for _ in range(60):

@@ -6,7 +6,7 @@ distinct fingerprint is indexed under its 64 one-wildcard variants, equal keys m
 meeting is verified on all 64 bits.
 
 Skew: copies share a fingerprint and are one row before the index is built. Keys with more than ``hamming.BLOCK``
-distinct fingerprints are compared in pivot rounds, by joins that Spark splits.
+distinct fingerprints are cut into blocks, and pairs of blocks are dealt out to tasks of their own.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, linked like any other;
 rows with a null id are left out; repeated rows come back as often as they came; columns other than the id and
