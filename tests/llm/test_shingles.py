@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.helpers import SCHEMA, documents, prose
-from vecforge.llm import clusters, shingles, simhash
+from vecforge.llm import shingles, simhash
 
 
 def shingle_set(text):
@@ -29,8 +29,8 @@ def brute(sets):
 
 @pytest.mark.parametrize("block", [1024, 6])
 def test_components(spark, monkeypatch, block):
-    monkeypatch.setattr(clusters, "PIVOTS", 8)
     monkeypatch.setattr(shingles, "BLOCK", block)
+    monkeypatch.setattr(shingles, "PACK", block)
     words = prose(9, 400).split()
     texts = [" ".join(words[:i] + ["new"] + words[i + 1 :]) for i in range(0, 400, 20)]  # one word: five shingles
     texts += [" ".join(words[i : i + 250]) for i in range(0, 150, 15)]  # a chain of windows
