@@ -71,7 +71,7 @@ def discard(*tables: DataFrame) -> None:
     """Empty stored tables that only finished, stored steps have read."""
     for table in tables:
         if path := _PATHS.pop(table, None):
-            table.sparkSession.range(0).write.mode("overwrite").parquet(path)
+            table.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
 
 
 def n_partitions(spark: SparkSession) -> int:
