@@ -1,6 +1,7 @@
 import hashlib
 import json
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -144,3 +145,43 @@ def test_rotary_inverse(spark):
     v = F.array(*[F.lit(float(a)) for a in x])
     back = pooling.rotary(pooling.rotary(v, F.lit(5), freqs, 16), F.lit(5), freqs, 16, inverse=True)
     assert np.allclose(spark.range(1).select(back).first()[0], x)
+
+
+def test_pools_by_partial_sums(spark):
+    """Blocks spread over batches and tasks, unfinished ends, nulls and arrays of two lengths, against plain sums."""
+    rng = np.random.default_rng(8)
+    rows = [(g, i, rng.normal(size=6).tolist(), (rng.normal(size=6) * 300).tolist()) for g in ("a", "b") for i in range(3000 if g == "a" else 37)]
+    rows[5][2][1] = None
+    rows[17][3][2] = None
+    rows[40] = ("a", 40, None, rows[40][3])
+    rows[64] = ("a", 64, rows[64][2][:4], rows[64][3])
+    df = spark.createDataFrame(rows, "g string, pos int, value array<double>, score array<double>").repartition(7)
+    got = {(r.g, r.block): r.pooled for r in pooling.pool(df, 16, ["g"]).collect()}
+
+    def plain(own: list[tuple], at: int) -> float:
+        pairs = [(v[at] if at < len(v) else None, s[at]) for v, s in own if s[at] is not None]
+        top = max(s for _, s in pairs)
+        return sum(v * np.exp(s - top) for v, s in pairs if v is not None) / sum(np.exp(s - top) for _, s in pairs)
+
+    want = {}
+    for g in ("a", "b"):
+        for block in range(188):
+            own = [(v, s) for k, pos, v, s in rows if k == g and pos // 16 == block and v is not None]
+            if len(own) == 16:
+                want[g, block] = [plain(own, at) for at in range(6)]
+    assert got.keys() == want.keys() and ("a", 2) not in want and ("b", 2) not in want
+    assert all(np.allclose(got[k], want[k], rtol=1e-12, atol=0) for k in want)
+
+
+def test_vectors_are_normed_and_turned_once(spark):
+    """The work for a vector grows with its width: wide vectors took the square of it for the norm, and more to turn."""
+    rows = spark.range(1600).select("id", F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda i: F.sin(F.col("id") + i)).alias("x"))
+    begun = time.monotonic()
+    got = rows.select("id", pooling.rotary(pooling.rms_norm(F.col("x"), 1024), F.col("id"), pooling.frequencies(512, 10_000.0), 1024).alias("y")).collect()
+    assert time.monotonic() - begun < 25
+    x = np.sin(7 + np.arange(1, 1025))
+    u = x / np.sqrt((x * x).mean() + 1e-6)
+    angle = 7 * np.array(pooling.frequencies(512, 10_000.0))
+    a, b = u[512::2], u[513::2]
+    turned = np.stack([a * np.cos(angle) - b * np.sin(angle), a * np.sin(angle) + b * np.cos(angle)], 1).reshape(-1)
+    assert np.allclose(next(r.y for r in got if r.id == 7), np.concatenate([u[:512], turned]), rtol=1e-12, atol=1e-12)

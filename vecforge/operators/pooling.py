@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecforge.functions.arrays import as_doubles, squared_norm
+from vecforge.functions.arrays import as_doubles, divided, let, squared_norm
 from vecforge.functions.floats import e8m0
 from vecforge.operators.codec import fp8_roundtrip
 
@@ -40,16 +41,96 @@ def check_length(n: int, ratio: int) -> None:
         raise ValueError(f"a sequence of {n} is shorter than one block of {ratio}")
 
 
-def _pool(coords: DataFrame, keys: Sequence[str], ratio: int) -> DataFrame:
-    """Softmax of the scores within each (keys, block, at), times the values; then arrays in coordinate order.
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, which of them there are) of an array column as rows of ``width``; what is null or missing is 0."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    inside, out, there = np.arange(width) < n[:, None], np.zeros((len(n), width)), np.zeros((len(n), width), bool)
+    out[inside], there[inside] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+    return out, there
 
-    coords: (keys, block, at, v, s, own); a block with fewer than ``ratio`` positions of its own, as at the end of a
-    sequence, is dropped. The largest score is taken out first, so that exponentials stay in range."""
-    cell = [*keys, "block", "at"]
-    top = coords.groupBy(*cell).agg(F.max("s").alias("m"), F.sum("own").alias("n")).where(F.col("n") >= ratio)
-    weight = F.exp(F.col("s") - F.col("m"))
-    pooled = coords.join(top, cell).groupBy(*cell).agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v"))
-    return pooled.groupBy(*keys, "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]).alias("pooled"))
+
+def _arrays(values: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    flat = pa.array(values.reshape(-1), mask=None if there is None else ~there.reshape(-1))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), flat)
+
+
+#: Sums of a block by coordinate: positions of its own, largest score, exponentials, values times exponentials.
+_SUMS = ("own", "m", "e", "ve")
+#: Numbers of one kind that are summed up at a time.
+_CELLS = 1 << 18
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Equal numbers for equal values, nulls among them."""
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Batches in pieces of about ``_CELLS`` numbers, with the width of the longest array in ``column``."""
+    for b in batches:
+        width = max(1, pc.max(pc.list_value_length(b.column(column))).as_py() or 0)
+        for at in range(0, b.num_rows, step := max(1, _CELLS // width)):
+            yield b.slice(at, step), width
+
+
+def _summed(keys: list[pa.Array], names: list[str], own: np.ndarray, m: np.ndarray, scored: np.ndarray, e: np.ndarray, ve: np.ndarray, valued: np.ndarray) -> pa.RecordBatch:
+    """One row for each run of equal keys; sums are relative to the largest score, so exponentials stay in range.
+
+    A score that is null leaves its coordinate out, a value that is null adds nothing; a sum of nothing is null."""
+    codes = [_codes(k) for k in keys]
+    begin = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in codes])]))
+    valued = valued & scored
+    with np.errstate(invalid="ignore", over="ignore"):
+        top = np.maximum.reduceat(np.where(scored, m, -np.inf), begin)
+        share = np.exp(m - np.repeat(top, np.diff([*begin, len(m)]), axis=0))
+        own, e, ve = (np.add.reduceat(x, begin) for x in (own, np.where(scored, e * share, 0.0), np.where(valued, ve * share, 0.0)))
+    some, found = np.logical_or.reduceat(scored, begin), np.logical_or.reduceat(valued, begin)
+    return pa.RecordBatch.from_arrays([*[k.take(pa.array(begin)) for k in keys], _arrays(own), _arrays(top, some), _arrays(e), _arrays(ve, found)], names=names)
+
+
+def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(keys, own, s, v) to sums: rows of one block that come near each other become one before the shuffle."""
+    for b, width in _pieces(batches, "v"):
+        b = b.take(pa.array(np.lexsort([_codes(k) for k in b.columns[:-3]])))
+        (s, scored), (v, valued) = _matrix(b.column("s"), width), _matrix(b.column("v"), width)
+        own = np.repeat(b.column("own").to_numpy()[:, None].astype(float), width, axis=1)
+        yield _summed(b.columns[:-3], [*b.schema.names[:-3], *_SUMS], own, s, scored, np.ones_like(s), v, valued)
+
+
+def _fold_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums in the order of their keys: the last block of a piece goes on in the next one."""
+    held = None
+    for b, width in _pieces(batches, "own"):
+        b = b if held is None else pa.concat_batches([held, b])
+        width = max(width, len(b.column("own")[0]))
+        (own, _), (m, scored), (e, _), (ve, valued) = (_matrix(b.column(n), width) for n in _SUMS)
+        b = _summed(b.columns[:-4], b.schema.names, own, m, scored, e, ve, valued)
+        held = b.slice(b.num_rows - 1)
+        if b.num_rows > 1:
+            yield b.slice(0, b.num_rows - 1)
+    if held is not None:
+        yield held
+
+
+def _pool(rows: DataFrame, keys: Sequence[str], ratio: int) -> DataFrame:
+    """Softmax of the scores within each (keys, block) and coordinate, times the values.
+
+    rows: (keys, block, own, s array, v array), arrays of one length; a block with fewer than ``ratio`` positions of its
+    own, as at the end of a sequence, is dropped. Rows are summed up in their batches, then by block: one scan, one
+    shuffle of sums, no row for a coordinate and no task that holds a block."""
+    each = [*keys, "block"]
+    whole = rows.where("block is not null and size(v) > 0")
+    fields = ", ".join(f"`{n}` {t}" for n, t in whole.select(*each).dtypes) + "".join(f", `{n}` array<double>" for n in _SUMS)
+    sums = whole.mapInArrow(_fold_rows, fields).repartition(*each).sortWithinPartitions(*each).mapInArrow(_fold_sums, fields)
+    cells = F.filter(F.arrays_zip(*_SUMS), lambda c: c["own"] >= ratio)
+    return sums.select(*each, F.transform(cells, lambda c: c["ve"] / c["e"]).alias("pooled")).where("size(pooled) > 0")
+
+
+def _even(v: Column, s: Column) -> Column:
+    """STRUCT<v, s> of doubles, the shorter array filled up with nulls; null if one of them is."""
+    pairs = F.arrays_zip(as_doubles(v).alias("v"), as_doubles(s).alias("s"))
+    return F.when(F.size(v) == F.size(s), F.struct(as_doubles(v).alias("v"), as_doubles(s).alias("s"))).otherwise(let(pairs, lambda p: F.struct(p["v"].alias("v"), p["s"].alias("s"))))
 
 
 def with_position_embedding(df: DataFrame, table: DataFrame, ratio: int, score: str = "score", pos: str = "pos") -> DataFrame:
@@ -60,8 +141,8 @@ def with_position_embedding(df: DataFrame, table: DataFrame, ratio: int, score:
 
 def pool(df: DataFrame, ratio: int, keys: Sequence[str] = (), value: str = "value", score: str = "score", pos: str = "pos") -> DataFrame:
     """(keys, block, pooled): blocks of ``ratio`` positions, over sequences of any lengths; positions run from 0."""
-    each = df.select(*keys, F.floor(F.col(pos) / ratio).alias("block"), F.posexplode(F.arrays_zip(as_doubles(F.col(value)).alias("v"), as_doubles(F.col(score)).alias("s"))).alias("at", "c"))
-    return _pool(each.select(*keys, "block", "at", "c.v", "c.s", F.lit(1).alias("own")), keys, ratio)
+    each = df.select(*keys, F.floor(F.col(pos) / ratio).alias("block"), F.lit(1).alias("own"), _even(F.col(value), F.col(score)).alias("c"))
+    return _pool(each.select(*keys, "block", "own", "c.s", "c.v"), keys, ratio)
 
 
 def pool_overlapping(df: DataFrame, ratio: int, dims: int, keys: Sequence[str] = (), value: str = "value", score: str = "score", pos: str = "pos") -> DataFrame:
@@ -75,8 +156,8 @@ def pool_overlapping(df: DataFrame, ratio: int, dims: int, keys: Sequence[str] =
         return F.struct(b.alias("block"), F.slice(F.col(value), first, dims).alias("v"), F.slice(F.col(score), first, dims).alias("s"), F.lit(own).alias("own"))
 
     halves = df.select(*keys, F.explode(F.array(half(block, dims + 1, 1), half(block + 1, 1, 0))).alias("h"))
-    each = halves.select(*keys, F.col("h.block").alias("block"), F.col("h.own").alias("own"), F.posexplode(F.arrays_zip(as_doubles(F.col("h.v")).alias("v"), as_doubles(F.col("h.s")).alias("s"))).alias("at", "c"))
-    return _pool(each.select(*keys, "block", "at", "c.v", "c.s", "own"), keys, ratio)
+    each = halves.select(*keys, "h.block", "h.own", _even(F.col("h.v"), F.col("h.s")).alias("c"))
+    return _pool(each.select(*keys, "block", "own", "c.s", "c.v"), keys, ratio)
 
 
 def project(df: DataFrame, weight: np.ndarray, vec_col: str, name: str) -> DataFrame:
@@ -98,8 +179,7 @@ def projection_matrix(rows: int, columns: int, seed: int) -> np.ndarray:
 
 
 def rms_norm(vec: Column, dims: int, weight: Column | None = None, eps: float = 1e-6) -> Column:
-    x = as_doubles(vec)
-    out = F.transform(x, lambda v: v / F.sqrt(squared_norm(x) / dims + eps))
+    out = let(as_doubles(vec), lambda x: let(F.sqrt(squared_norm(x) / dims + eps), lambda size: divided(x, size)))
     return out if weight is None else F.zip_with(out, weight, lambda a, b: a * b)
 
 
@@ -120,15 +200,18 @@ def frequencies(dims: int, base: float, length: int = 0, trained: int = 0, stret
 def rotary(vec: Column, pos: Column, freqs: Sequence[float], dims: int, inverse: bool = False) -> Column:
     """Turns the neighbouring pairs of the last ``2 * len(freqs)`` coordinates by position x frequency."""
     tail = 2 * len(freqs)
-    x = as_doubles(vec)
     first = dims - tail
     sign = -1.0 if inverse else 1.0
-    parts = []
-    for i, f in enumerate(freqs):
-        a, b, angle = x[first + 2 * i], x[first + 2 * i + 1], pos * f
-        c, s = F.cos(angle), F.sin(angle) * sign
-        parts += [a * c - b * s, a * s + b * c]
-    return F.concat(F.slice(x, 1, first), F.array(*parts)) if first else F.array(*parts)
+
+    def turned(x: Column) -> Column:
+        def pair(f: Column, i: Column) -> Column:
+            at = (i * 2 + first).cast("int")
+            return let(pos * f, lambda angle: let(F.struct(F.get(x, at).alias("a"), F.get(x, at + 1).alias("b"), F.cos(angle).alias("c"), (F.sin(angle) * sign).alias("s")), lambda p: F.array(p["a"] * p["c"] - p["b"] * p["s"], p["a"] * p["s"] + p["b"] * p["c"])))
+
+        turns = F.flatten(F.transform(F.lit([float(f) for f in freqs]), pair))
+        return F.concat(F.slice(x, 1, first), turns) if first else turns
+
+    return let(as_doubles(vec), turned)
 
 
 def pooled_positions(block: Column, ratio: int) -> Column:
