@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import struct
 import time
 
@@ -185,3 +186,31 @@ def test_vectors_are_normed_and_turned_once(spark):
     a, b = u[512::2], u[513::2]
     turned = np.stack([a * np.cos(angle) - b * np.sin(angle), a * np.sin(angle) + b * np.cos(angle)], 1).reshape(-1)
     assert np.allclose(next(r.y for r in got if r.id == 7), np.concatenate([u[:512], turned]), rtol=1e-12, atol=1e-12)
+
+
+def test_passages_reach_over_pieces(spark, monkeypatch):
+    """Groups cut in pieces of eight rows, passages over several of them, words that meet between rows, short ends."""
+    monkeypatch.setattr(text, "PIECE", 3)
+    rng = np.random.default_rng(12)
+    rows, want = [], []
+    for g in ("a", "b", "c"):
+        whole, n, estimate, made = "", 0, 0, 0
+        for i in range({"a": 700, "b": 9, "c": 150}[g]):
+            size = int(rng.integers(1, 40 if g == "a" else 6))
+            own = rng.choice(["", " "]) + " ".join(["w"] * size) + rng.choice(["", "\n"])
+            rows.append((i, g, own))
+            whole, n, estimate = whole + own, n + 1, estimate + math.floor(size * 1.3)
+            if estimate >= 100:
+                if len(whole.split()) >= 100:
+                    want.append((g, made, n, len(whole.split()), whole))
+                    made += 1
+                whole, n, estimate = "", 0, 0
+    got = text.assemble_passages(spark.createDataFrame(rows, "i long, g string, t string").repartition(5), "g", "i", "t", 100, 1000)
+    assert want and sorted(tuple(r) for r in got.select("g", "passage", "rows", "words", "text").collect()) == sorted(want)
+
+
+def test_passages_keep_texts_out_of_group_windows(spark):
+    """No task gets the texts of a group: they are dealt out by row, then by passage."""
+    docs = spark.range(50).select("id", F.lit("en").alias("g"), F.lit("a b c").alias("t"))
+    plan = text.assemble_passages(docs, "g", "id", "t", 4, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan

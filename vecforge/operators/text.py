@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecforge.sources.tables import work_dir
+
 #: Question and needle of the retrieval test. Fixed values.
 NEEDLE = "\nThe best thing to do in San Francisco is eat a sandwich and sit in Dolores Park on a sunny day.\n"
 QUESTION = "\n\nAccording to the text above, what is the best thing to do in San Francisco?\n\nAnswer:"
@@ -26,48 +28,161 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.size(words(text)) * PER_WORD).cast("long")
 
 
-def _passage_numbers(least: int):
-    """Numbers the rows of each group, in order: a passage ends with the row whose running estimate reaches ``least``.
-
-    A batch is searched for the end of one passage after the other; rows of an unfinished passage carry their total on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, number, held = None, 0, 0
-        for b in batches:
-            groups, sizes = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
-            edges = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
-            out = np.zeros(len(groups), np.int64)
-            for begin, end in zip(edges, edges[1:], strict=False):
-                if begin == end:
-                    continue
-                if groups[begin] != last:
-                    last, number, held = groups[begin], 0, 0
-                sums, at, base = np.cumsum(sizes[begin:end]) + held, 0, 0
-                while (stop := int(np.searchsorted(sums, base + least))) < len(sums):
-                    out[begin + at : begin + stop + 1] = number
-                    number, at, base = number + 1, stop + 1, int(sums[stop])
-                out[begin + at : end] = number
-                held = int(sums[-1]) - base
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["g", "o", "passage"])
-
-    return run
+#: Rows of a piece that is numbered at a time: two to this power.
+PIECE = 17
+
+
+class _Piece:
+    """Rows of one group that follow each other, and where a passage ends that begins at any of them.
+
+    A passage ends with the row whose running estimate reaches ``least``. Its words are those of its rows, less one for
+    each two rows that meet within a word."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, opens: np.ndarray, ends: np.ndarray, least: int):
+        self.n, self.least, self.opens, self.ends = len(sizes), least, bool(opens[0]), bool(ends[-1])
+        self.sizes, self.words = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(words)])
+        meets = np.concatenate([[False], ends[:-1] & opens[1:], [False]])
+        self.words[1:] -= np.cumsum(meets[:-1])
+        self.stop = np.searchsorted(self.sizes, self.sizes[:-1] + least)  # one past the last row, n + 1 without an end
+        # a passage does not meet the row before it
+        self.long = self.words[np.minimum(self.stop, self.n)] - self.words[:-1] + meets[:-1] >= least
+        self.meets = meets
+
+    def held(self, begin: int) -> tuple[int, int]:
+        """(estimate, words) of the rows from ``begin`` on."""
+        return int(self.sizes[-1] - self.sizes[begin]), int(self.words[-1] - self.words[begin] + self.meets[begin]) if begin < self.n else 0
+
+    def first_stop(self, held: int) -> int:
+        return int(np.searchsorted(self.sizes, self.least - held))
+
+    def outcomes(self) -> list[tuple[int, int, int, int, int, int]]:
+        """(stop, estimate up to it, words up to it, long passages after it, estimate and words left at the end) for
+        each row that may end a passage begun before the piece; at last those of the whole piece."""
+        stop, long = self.stop.tolist(), self.long.tolist()
+        after, tail = [0] * (self.n + 1), [*range(self.n + 1)]
+        for i in range(self.n - 1, -1, -1):
+            if stop[i] <= self.n:
+                after[i], tail[i] = after[stop[i]] + long[i], tail[stop[i]]
+        last = min(stop[0], self.n)
+        out = [(i, int(self.sizes[i]), int(self.words[i]), after[i], *self.held(tail[i])) for i in range(1, last + 1)]
+        return [*out, (self.n + 1, int(self.sizes[-1]), int(self.words[-1]), 0, 0, 0)]
+
+    def numbers(self, first_stop: int, first: int, number: int, last: int) -> np.ndarray:
+        """The passage of each row, -1 for none: the one begun before is ``first``, those in the piece are numbered from
+        ``number`` on, and the one unfinished at the end is ``last``."""
+        out = np.full(self.n, -1, np.int64)
+        if first_stop > self.n:
+            out[:] = last
+            return out
+        out[:first_stop] = first
+        at, stop, long = first_stop, self.stop, self.long
+        while at < self.n and (end := int(stop[at])) <= self.n:
+            if long[at]:
+                out[at:end] = number
+                number += 1
+            at = end
+        out[at:] = last
+        return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one piece and one group at a time; rows come in their order."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        codes = [b.column(n).dictionary_encode().indices.to_numpy() for n in ("piece", "g")]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1 if b.num_rows else []
+        for begin, end in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            own = b.slice(begin, end - begin)
+            if held and own.num_rows and any(held[0].column(n)[0] != own.column(n)[0] for n in ("piece", "g")):
+                yield pa.concat_batches(held)
+                held = []
+            if own.num_rows:
+                held.append(own)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _piece(b: pa.RecordBatch, least: int) -> _Piece:
+    return _Piece(*(b.column(n).to_numpy(zero_copy_only=False) for n in ("e", "w", "opens", "ends")), least)
+
+
+_OUTCOME = ("stop", "size", "words", "after", "held", "held_words")
+
+
+def _starts(outcomes: dict[tuple[int, object], list], least: int) -> list[tuple]:
+    """(piece, g, first stop, number of the passage begun before, next number, number of the unfinished one) of each
+    piece and group, from what each piece does for any beginning; pieces are in order."""
+    states: dict[object, tuple[int, int, bool, int]] = {}
+    found: dict[object, list[list]] = {}
+    for (piece, g), rows in outcomes.items():
+        held, words, open_, number = states.get(g, (0, 0, False, 0))
+        opens, ends = rows[0][:2]
+        meets = int(open_ and opens)
+        stop = next((r for r in rows[:-1] if held + r[3] >= least), None)
+        if stop is None:
+            whole = rows[-1]
+            found.setdefault(g, []).append([piece, whole[2], None, number])
+            states[g] = held + whole[3], words + whole[4] - meets, ends, number
+            continue
+        long = words + stop[4] - meets >= least
+        found.setdefault(g, []).append([piece, stop[2], number if long else -1, number + long])
+        states[g] = stop[6], stop[7], ends and stop[6] > 0, number + long + stop[5]
+    out = []
+    for g, rows in found.items():
+        last = -1
+        for piece, stop, first, number in reversed(rows):
+            out.append((piece, g, stop, last if first is None else first, number, last))
+            last = last if first is None else first
+    return out
+
+
+def _passage_numbers(rows: DataFrame, least: int) -> DataFrame:
+    """(g, o, at, passage) of the rows that passages of ``least`` words are made of; rows: (g, o, e, w, opens, ends).
+
+    Rows are put in order by ranges and cut in pieces. A passage that reaches into a piece may end there at one of few
+    rows; each piece tells what follows from each of them, the driver goes through these from piece to piece, and the
+    pieces are then numbered by themselves."""
+    spark, kinds = rows.sparkSession, dict(rows.dtypes)
+    path = work_dir(spark)
+    order = [F.asc("g"), F.asc_nulls_last("o")]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path).withColumn("piece", F.shiftright("at", PIECE))
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            piece = _piece(b, least)
+            found = piece.outcomes()
+            each = pa.array(np.zeros(len(found), int))
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+            flags = [pa.array([x] * len(found), pa.bool_()) for x in (piece.opens, piece.ends)]
+            yield pa.RecordBatch.from_arrays([b.column("piece").take(each), b.column("g").take(each), *flags, *columns], names=["piece", "g", "opens", "ends", *_OUTCOME])
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            start = (b.column(n)[0].as_py() for n in ("stop", "first", "number", "last"))
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("o"), b.column("at"), pa.array(_piece(b, least).numbers(*start))], names=["g", "o", "at", "passage"])
+
+    told = kept.repartition("piece").sortWithinPartitions("at").mapInArrow(outcomes, f"piece long, g {kinds['g']}, opens boolean, ends boolean, " + ", ".join(f"{n} long" for n in _OUTCOME))
+    by_piece: dict[tuple[int, object], list] = {}
+    for piece, g, *rest in told.orderBy("piece", "g", "stop").collect():
+        by_piece.setdefault((piece, g), []).append(rest)
+    starts = spark.createDataFrame(_starts(by_piece, least), f"piece long, g {kinds['g']}, stop long, first long, number long, last long")
+    ready = kept.join(F.broadcast(starts), ["piece", "g"]).repartition("piece").sortWithinPartitions("at")
+    return ready.mapInArrow(numbers, f"g {kinds['g']}, o {kinds['o']}, at long, passage long").where("passage >= 0")
 
 
 def assemble_passages(df: DataFrame, by: str, order: str, text: str, min_tokens: int, n: int) -> DataFrame:
     """(by, passage, rows, words, text): rows joined in order until the estimate reaches ``min_tokens``; what is then
     too short by its word count, and an unfinished end, are dropped; at most ``n`` for each group.
 
-    Only (group, order, estimate) goes through a group's order; texts meet by passage. ``order`` is unique in a group."""
-    kinds = dict(df.dtypes)
-    own = df.where(F.size(words(F.col(text))) > 0).select(F.col(by).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"))
-    narrow = own.select("g", "o", estimated_tokens(F.col("t")).alias("e")).repartition("g").sortWithinPartitions("g", "o")
-    numbered = narrow.mapInArrow(_passage_numbers(min_tokens), f"g {kinds[by]}, o {kinds[order]}, passage long")
-    met = own.join(numbered, ["g", "o"]).groupBy("g", "passage")
-    joined = met.agg(F.count("*").cast("int").alias("rows"), F.sum(estimated_tokens(F.col("t"))).alias("e"), F.sort_array(F.collect_list(F.struct("o", "t"))).alias("parts"))
-    whole = joined.where(F.col("e") >= min_tokens).select("g", "passage", "rows", F.concat_ws("", F.transform("parts", lambda p: p["t"])).alias("text"))
-    long = whole.withColumn("words", F.size(words(F.col("text")))).where(F.col("words") >= min_tokens)
-    ranked = long.withColumn("passage", (F.row_number().over(Window.partitionBy("g").orderBy("passage")) - 1).cast("int"))
-    return ranked.where(F.col("passage") < n).select(F.col("g").alias(by), "passage", "rows", "words", "text")
+    Only counts go through a group's order; texts meet by passage. ``order`` is unique in a group."""
+    own = df.where(F.col(by).isNotNull() & (F.size(words(F.col(text))) > 0)).select(F.col(by).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"))
+    narrow = own.select("g", "o", estimated_tokens(F.col("t")).alias("e"), F.size(words(F.col("t"))).cast("long").alias("w"), F.col("t").rlike(r"\A\S").alias("opens"), F.col("t").rlike(r"\S\z").alias("ends"))
+    numbered = _passage_numbers(narrow, min_tokens).where(F.col("passage") < n).select(F.col("g").alias("_g"), F.col("o").alias("_o"), "at", "passage")
+    met = own.join(numbered, (F.col("g") == F.col("_g")) & F.col("o").eqNullSafe(F.col("_o"))).groupBy("g", "passage")
+    joined = met.agg(F.count("*").cast("int").alias("rows"), F.sort_array(F.collect_list(F.struct("at", "t"))).alias("parts"))
+    whole = joined.select("g", "passage", "rows", F.concat_ws("", F.transform("parts", lambda p: p["t"])).alias("text"))
+    return whole.select(F.col("g").alias(by), F.col("passage").cast("int").alias("passage"), "rows", F.size(words(F.col("text"))).alias("words"), "text")
 
 
 def haystack(df: DataFrame, by: str, order: str, text: str, total: int) -> DataFrame:
