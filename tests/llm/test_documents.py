@@ -394,3 +394,25 @@ def test_packing_pads_little(spark, sf):
     got = packing.packed(spark.read.parquet(f"{sf}/documents.parquet").coalesce(1), BYTE)
     n, used = got.agg(F.max("sequence_id") + 1, F.sum("length")).first()
     assert n - used / 2048 < 1
+
+
+@pytest.mark.parametrize(("name", "keep"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_share_their_parts(name, keep):
+    """A word is merged once for a batch, whatever its case, its punctuation and the line it stands on."""
+    path = public_tokenizers.path(name)
+    enc, library = tokens.Encoder(path, keep), Tokenizer.from_file(path)
+    calls = []
+
+    class Counted:
+        def tokenize(self, text):
+            calls.append(text)
+            return library.model.tokenize(text)
+
+    enc.model = Counted()
+    texts = ["xqvord xqvord, xqvord. (xqvord)", "a xqvord\nxqvord! étéqq étéqq;", "a  xqvord,\t中文 xqvord,", "", None, "Xqvord, XQVORD xqvord"]
+    for _ in range(2):
+        got = [x.tolist() for x in enc.encode(texts)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(calls) == len(set(calls))
+    if not keep:
+        assert len([c for c in calls if "xqvord" in c]) == 1

@@ -23,7 +23,6 @@ import pyarrow.compute as pc
 PIECES = 700_000
 BATCH_CHARS = 1 << 20
 GROUP_BYTES = 1 << 22
-PUNCTUATION = 10_000
 _ODD_BLANK = re.compile(r" (?:\s|$)")
 #: The same for Arrow's expressions, with all that Python takes for white space.
 _ODD_BLANK_RE2 = r" (?:[\s\v\pZ\x1c-\x1f\x{85}]|$)"
@@ -35,7 +34,7 @@ _WORD = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
 #: Byte-level vocabularies write each byte as one visible character: unprintable ones follow from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _VISIBLE = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
-_BLANK = chr(_VISIBLE[32])
+_BLANK, _LINE = chr(_VISIBLE[32]), chr(_VISIBLE[10])
 _ID = attrgetter("id")
 
 
@@ -52,18 +51,21 @@ class _Pieces(dict):
         return n
 
 
-class _Known(dict):
-    """Ids of runs of punctuation, kept while they are few."""
+class _Atoms(dict):
+    """Numbers, from ``top`` on, of strings that the model has merged in one call of ``_learn``."""
 
-    def __init__(self, encode):
+    def __init__(self, tokenize, top: int):
         super().__init__()
-        self.encode = encode
+        self.tokenize, self.top = tokenize, top
+        self.ids: list[int] = []
+        self.sizes: list[int] = []
 
-    def __missing__(self, text: str) -> list[int]:
-        ids = self.encode(text)
-        if len(self) < PUNCTUATION:
-            self[text] = ids
-        return ids
+    def __missing__(self, text: str) -> int:
+        own = self.tokenize(text)
+        self.ids += map(_ID, own)
+        self[text] = n = self.top + len(self.sizes)
+        self.sizes.append(len(own))
+        return n
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -81,7 +83,6 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
-        self.short = _Known(lambda text: [t.id for t in self.model.tokenize(text.translate(_VISIBLE))])
         self.keep_blank = keep_blank
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self._reset()
@@ -111,31 +112,54 @@ class Encoder:
         new, self.waiting = self.waiting, []
         if not new:
             return
-        ids = self._words(new)
-        if odd := [i for i, own in enumerate(ids) if own is None]:
-            for i, e in zip(odd, self.library.encode_batch([new[i] for i in odd], add_special_tokens=False), strict=True):
-                ids[i] = e.ids
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
-        self.lengths = np.concatenate([self.lengths, n])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.kind, int(n.sum()))])
-
-    def _words(self, new: list[str]) -> list[list[int] | None]:
-        """Ids of pieces made of Latin words, each with punctuation after it or none, on lines of their own; else None.
-
-        Such words and runs of punctuation are just what both vocabularies cut a text into before merging."""
-        keep, tokenize, short, top = self.keep_blank, self.model.tokenize, self.short, len(self.lengths)
-        spaced, first, match, flat = self.spaced, self.first, _WORD.fullmatch, self.flat
-        starts, ends = self.starts, self.starts + self.lengths
-        out: list[list[int] | None] = []
+        atoms = _Atoms(self.model.tokenize, len(self.lengths))
+        parts, sizes = self._words(new, atoms)
+        size, at = np.array(sizes, np.int64), np.array(parts, np.int64)
+        first = np.cumsum(size) - size
+        n = np.array(atoms.sizes, np.int64)
+        flat, grown = [self.flat, np.array(atoms.ids, self.kind)], len(self.flat) + len(atoms.ids)
+        starts, lengths = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n]), np.concatenate([self.lengths, n])
+        # a piece of one part shares its ids, one of several gets a stretch of its own
+        own_starts, own_lengths = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        one, more = np.flatnonzero(size == 1), np.flatnonzero(size > 1)
+        own_starts[one], own_lengths[one] = starts[at[first[one]]], lengths[at[first[one]]]
+        if len(more):
+            several = at[np.repeat(size > 1, size)]
+            flat.append(gather(np.concatenate(flat), starts[several], lengths[several]))
+            own_lengths[more] = np.add.reduceat(lengths[several], np.cumsum(size[more]) - size[more])
+            own_starts[more] = grown + np.cumsum(own_lengths[more]) - own_lengths[more]
+            grown += len(flat[-1])
+        if len(odd := np.flatnonzero(size == 0)):
+            ids = [e.ids for e in self.library.encode_batch([new[i] for i in odd.tolist()], add_special_tokens=False)]
+            own_lengths[odd] = np.fromiter(map(len, ids), np.int64, len(ids))
+            own_starts[odd] = grown + np.cumsum(own_lengths[odd]) - own_lengths[odd]
+            flat.append(np.fromiter(chain.from_iterable(ids), self.kind, int(own_lengths[odd].sum())))
+        self.starts, self.lengths = np.concatenate([self.starts, own_starts]), np.concatenate([self.lengths, own_lengths])
+        self.flat = np.concatenate(flat)
+
+    def _words(self, new: list[str], atoms: _Atoms) -> tuple[list[int], list[int]]:
+        """(numbers of the parts of all pieces, number of parts of each) of pieces made of Latin words, each with
+        punctuation after it or none, on lines of their own; other pieces have no parts.
+
+        Such words and runs of punctuation are just what both vocabularies cut a text into before merging. A part is a
+        piece that has been learnt before or one of ``atoms``."""
+        keep, top = self.keep_blank, len(self.lengths)
+        spaced, first, match = self.spaced, self.first, _WORD.fullmatch
+        out: list[int] = []
+        sizes: list[int] = []
         for piece in new:
-            blank = piece[:1] == " "
-            ids: list[int] | None = []
+            if not keep and piece.isascii() and piece.isalpha():
+                word = piece.lower()
+                known = spaced.get(word, top)
+                out.append(known if known < top else atoms[word])
+                sizes.append(1)
+                continue
+            blank, begin = piece[:1] == " ", len(out)
             for i, line in enumerate(piece.split("\n") if "\n" in piece else (piece,)):
                 after_blank = blank and not i
                 m = match(line, 1) if after_blank else match(line)
                 if m is None:
-                    ids = None
+                    del out[begin:]
                     break
                 word, after = m.groups()
                 if not keep:
@@ -143,17 +167,19 @@ class Encoder:
                     known = spaced.get(word, top)
                 else:
                     if i:
-                        ids += short["\n"]
+                        out.append(atoms[_LINE])
                     known = (spaced if after_blank else first).get(word, top)
                 if known < top:  # the bare word has been learnt before
-                    ids += flat[starts[known] : ends[known]].tolist()
-                else:
+                    out.append(known)
+                elif keep:
                     mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)
-                    ids += map(_ID, tokenize(_BLANK + mapped if keep and after_blank else mapped))
+                    out.append(atoms[_BLANK + mapped if after_blank else mapped])
+                else:
+                    out.append(atoms[word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)])
                 if after:
-                    ids += short[after]
-            out.append(ids)
-        return out
+                    out.append(atoms[after])
+            sizes.append(len(out) - begin)
+        return out, sizes
 
     def _numbers(self, text: str, begins: bool) -> np.ndarray:
         if not self.keep_blank:
@@ -207,7 +233,7 @@ class Encoder:
             lists = pc.split_pattern(column.take(pa.array(plain)), " ")
             first = np.array(lists.offsets)
             words = lists.flatten().dictionary_encode()
-            at, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+            at, distinct = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
             numbers = np.fromiter(map(self.spaced.__getitem__, distinct), np.int32, len(distinct))[at]
             begins = first[:-1] - first[0]
             if self.keep_blank:
