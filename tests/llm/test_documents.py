@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -416,3 +417,29 @@ def test_words_share_their_parts(name, keep):
     assert len(calls) == len(set(calls))
     if not keep:
         assert len([c for c in calls if "xqvord" in c]) == 1
+
+
+def test_suffix_sort_takes_few_passes(spark, monkeypatch):
+    """Nine letters are two rounds of one sort each; the difference cover took five."""
+    sorts = []
+    plain = suffix_array.counts_below
+    monkeypatch.setattr(suffix_array, "counts_below", lambda *a, **k: sorts.append(1) or plain(*a, **k))
+    df = spark.createDataFrame([(0, [5, 5, 5, 1]), (1, [5, 1])], "sid long, letters array<long>")
+    assert {r.sid: r.ranks for r in suffix_array.suffix_order(df, 9).collect()} == {0: [5, 4, 2, 0], 1: [2, 0]}
+    assert len(sorts) == 2
+
+
+def test_runs_of_joined_texts():
+    """Texts searched in one block have the runs that each has by itself."""
+    texts = [prose(i, 60 + 40 * i).encode() for i in range(4)] + [b"ab" * 200, b"x" * 200]
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    text, h, p, a, z = substring_dedup._runs(b"".join(texts), begins, sizes)
+    got = sorted(zip(text.tolist(), h.tolist(), (p - begins[text]).tolist(), (a - begins[text]).tolist(), (z - begins[text]).tolist(), strict=True))
+    assert got == sorted((i, *r) for i, t in enumerate(texts) for r in zip(*(c.tolist() for c in substring_dedup.runs(t)), strict=True))
+
+
+def test_spans_of_a_batch():
+    windows = pa.array([[(3 << 32) | 5, 0, (205 << 32) | 205], None, [], [(7 << 32) | 7]], pa.list_(pa.int64()))
+    offsets, begins, ends = substring_dedup.spans(windows)
+    assert offsets.tolist() == [0, 1, 1, 1, 2] and begins.tolist() == [0, 7] and ends.tolist() == [405, 207]

@@ -10,8 +10,8 @@ losing any repeat:
 3. Runs of a minimizer with several texts are cut into units of ``UNIT`` windows at fixed offsets from the minimizer.
    The windows of a unit share a core of ``LENGTH - UNIT + 1`` bytes; a core within one text only is unique.
 4. The remaining units become strings of letters, left bytes, minimizer, core, right bytes, so that a window is
-   ``UNIT + 1`` letters. Their suffixes are sorted by the distributed difference-cover algorithm of ``suffix_array``,
-   and windows with an equal neighbour in that order occur elsewhere.
+   ``UNIT + 1`` letters. Their suffixes are sorted by the prefix tripling of ``suffix_array``: by the names of triples,
+   then by three names, and windows with an equal neighbour in that order occur elsewhere.
 
 Skew: copies of one text within a task are sent once with a count; counting is pre-aggregated; joins on minimizers
 are ordinary joins that Spark splits when a key is hot. Documents are known by a 128-bit digest and their length, runs
@@ -42,70 +42,101 @@ UNIT = 8
 #: Digests of texts that a task remembers, to send copies once.
 REMEMBER = 1 << 18
 STRETCH = 1 << 18
+#: Texts are searched for runs in blocks of about as many bytes.
+BLOCK = 1 << 16
 #: Runs in one batch.
 BATCH = 1 << 16
+#: Bytes of texts that are cut into units at once.
+UNPACKED = 1 << 21
 #: What a text is known by: a digest and its bytes.
 DOC = ("doc", "doc2", "size")
-_FACTOR = 0x9E3779B97F4A7C15
+_FACTOR = 0x9E3779B1
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _sliding(a: np.ndarray, width: int) -> np.ndarray:
-    """The smallest of each ``width`` neighbours."""
+def _sliding(a: np.ndarray, width: int, of: np.ufunc = np.minimum) -> np.ndarray:
+    """The smallest (or largest) of each ``width`` neighbours."""
     span = 1
     while span * 2 <= width:
-        a = np.minimum(a[:-span], a[span:])
+        a = of(a[:-span], a[span:])
         span *= 2
     rest = width - span
-    return np.minimum(a[: len(a) - rest], a[rest:]) if rest else a
+    return of(a[: len(a) - rest], a[rest:]) if rest else a
 
 
 def _hashes(text: np.ndarray) -> np.ndarray:
-    """A hash of the ``K`` (a power of two) bytes from each position, built by doubling."""
-    h, factor, span = text.astype(np.uint64) + np.uint64(1), np.uint64(_FACTOR), 1
-    with np.errstate(over="ignore"):
-        while span < K:
-            h = h[:-span] * factor + h[span:]
-            factor, span = factor * factor, span * 2
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def _runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, minimizer position, first window, last window) of each run of windows with one minimizer."""
+    """32 bits of the ``K`` (a power of two) bytes from each position, built by doubling: they choose minimizers."""
+    h, factor, span = text.astype(np.uint32) + np.uint32(1), _FACTOR, 1
+    while span < K:
+        h = h[:-span] * np.uint32(factor) + h[span:]
+        factor, span = factor * factor % (1 << 32), span * 2
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return h ^ (h >> np.uint32(13))
+
+
+def _names(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``K`` bytes from each of some positions: minimizers are known by it."""
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, K)[at]).view("<u8")
+    h = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
+    for i in range(words.shape[1]):
+        h = (h ^ words[:, i]) * _MIX
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _runs(joined: bytes, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, minimizer hash, minimizer position, first window, last window) of each run of windows with one minimizer
+    in texts of ``LENGTH`` bytes at least that are joined; positions are those in ``joined``."""
     width = LENGTH - K + 1
-    h = _hashes(np.frombuffer(text, np.uint8))
+    own = np.frombuffer(joined, np.uint8)
+    h = _hashes(own)
     low = _sliding(h, width)
-    cut = np.flatnonzero(low[1:] != low[:-1]) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(low) - 1]])
+    edge = np.ones(len(low) + 1, bool)
+    edge[1:-1] = low[1:] != low[:-1]
+    edge[begins] = edge[begins + sizes - LENGTH + 1] = True  # windows over the end of a text are runs of their own
+    edges = np.flatnonzero(edge)
+    first, last = edges[:-1], edges[1:] - 1
+    text = np.searchsorted(begins, first, "right") - 1
+    whole = last + LENGTH <= (begins + sizes)[text]
+    text, first, last = text[whole], first[whole], last[whole]
     # a run's minimizer is the first position from the run's start on with its hash
-    where = np.flatnonzero(~_sliding(~np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)]), width) == h)
+    pad = np.zeros(width - 1, low.dtype)
+    where = np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), width, np.maximum) == h)
     value, wanted = h[where], low[first]
     i = np.searchsorted(where, first)
     while (wrong := value[i] != wanted).any():
         i = i + wrong
     at = where[i]
     done = at >= last
-    out = [[wanted[done]], [at[done]], [first[done]], [last[done]]]
+    out = [[text[done]], [at[done]], [first[done]], [last[done]]]
     # the same hash again within a run: the run is split where its leftmost minimizer leaves the window
-    for j, v, a, b in zip(i[~done].tolist(), wanted[~done].tolist(), first[~done].tolist(), last[~done].tolist(), strict=True):
+    for d, j, v, a, b in zip(text[~done].tolist(), i[~done].tolist(), wanted[~done].tolist(), first[~done].tolist(), last[~done].tolist(), strict=True):
         while a <= b:
             while value[j] != v or where[j] < a:
                 j += 1
             p = int(where[j])
-            for column, x in zip(out, (np.uint64(v), p, a, min(b, p)), strict=True):
+            for column, x in zip(out, (d, p, a, min(b, p)), strict=True):
                 column.append(np.array([x]))
             a = p + 1
-    return tuple(np.concatenate(c) for c in out)
+    text, at, first, last = (np.concatenate(c) for c in out)
+    return text, _names(own, at), at, first, last
 
 
-def runs(text: bytes) -> tuple[np.ndarray, ...]:
-    """``_runs`` over stretches of a long text, so that memory stays bounded; a stretch's edge may split a run."""
+def _stretches(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """A long text in stretches, each with its place, so that memory stays bounded; a stretch's edge may split a run."""
     if len(text) <= STRETCH:
-        return _runs(text)
-    parts = []
+        yield 0, text
+        return
     for at in range(0, len(text) - LENGTH + 1, STRETCH - LENGTH + 1):
-        h, p, a, b = _runs(text[at : at + STRETCH])
-        parts.append((h, p + at, a + at, b + at))
+        yield at, text[at : at + STRETCH]
+
+
+def runs(text: bytes) -> tuple[np.ndarray, ...]:
+    """(minimizer hash, minimizer position, first window, last window) of the runs of one text."""
+    parts = []
+    for at, own in _stretches(text):
+        _, h, p, a, z = _runs(own, np.array([0]), np.array([len(own)]))
+        parts.append((h, p + at, a + at, z + at))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
@@ -136,8 +167,18 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, doc2, size, text, copies = (np.array(x, np.uint64) for x in zip(*((*key, *n) for key, n in known.items()), strict=True))
         return rows(doc=doc, doc2=doc2, size=size, text=text, copies=copies)
 
+    def search(block: list[tuple[int, int, bytes]], out: list[list[np.ndarray]]) -> None:
+        numbers, places, sizes = (np.array(x, np.int64) for x in zip(*((n, at, len(t)) for n, at, t in block), strict=True))
+        joined, begins = b"".join(t for *_, t in block), np.cumsum(sizes) - sizes
+        which, h, p, a, z = _runs(joined, begins, sizes)
+        whole = np.fromiter((xxhash.xxh64_intdigest(joined[x:y]) for x, y in zip(a.tolist(), (z + LENGTH).tolist(), strict=True)), np.uint64, len(a))
+        for column, x in zip(out, (h, whole, numbers[which], ((a + (places - begins)[which]) << 16) | ((z - a) << 8) | (p - a)), strict=True):
+            column.append(x.astype(np.uint64))
+
     for b in batches:
         out: list[list[np.ndarray]] = [[] for _ in range(4)]
+        block: list[tuple[int, int, bytes]] = []
+        held = 0
         for text in each_text(b.column(0)):
             if len(text) < LENGTH:
                 continue
@@ -146,14 +187,18 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[key] = (known[key][0], known[key][1] + 1)
                 continue
             known[key] = (number, 1)
-            h, p, a, z = runs(text)
-            whole = np.array([xxhash.xxh64_intdigest(text[x : y + LENGTH]) for x, y in zip(a.tolist(), z.tolist(), strict=True)], np.uint64)
-            for column, x in zip(out, (h, whole, np.full(len(h), number), (a << 16) | ((z - a) << 8) | (p - a)), strict=True):
-                column.append(x.astype(np.uint64))
+            for at, own in _stretches(text):
+                block.append((number, at, own))
+                held += len(own)
+                if held >= BLOCK:
+                    search(block, out)
+                    block, held = [], 0
             number += 1
             if sum(map(len, out[0])) > BATCH:
                 yield found(out)
                 out = [[] for _ in range(4)]
+        if block:
+            search(block, out)
         if out[0]:
             yield found(out)
         if len(known) > REMEMBER:
@@ -192,47 +237,75 @@ def _distinct_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield from _digests(_once(batches))
 
 
+def _packed_bytes(text: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Up to seven bytes from each position, with their number in the eighth."""
+    out = n << 56
+    for i in range(UNIT - 1):
+        out |= np.where(i < n, text[np.minimum(begin + i, len(text) - 1)].astype(np.int64) << (8 * i), 0)
+    return out
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The units of each wanted run: minimizer, run text, unit number, core, bytes left and right of the core."""
     unpack = zstandard.ZstdDecompressor()
-    fields = {"h": pa.int64(), "c": pa.int64(), "unit": pa.int64(), "core": pa.int64(), "left": pa.binary(), "right": pa.binary(), "n": pa.int64()}
+
+    def cut(texts: list[bytes], runs_of: np.ndarray, h: np.ndarray, c: np.ndarray, at: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        joined = b"".join(texts)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        a = (at >> 16) + np.repeat(np.cumsum(sizes) - sizes, runs_of)
+        z, p = a + ((at >> 8) & 255), a + (at & 255)
+        least, n = (p - z) // UNIT, (p - a) // UNIT - (p - z) // UNIT + 1
+        run = np.repeat(np.arange(len(at)), n)
+        unit = least[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        # windows begin - t, t in [0, UNIT), all hold the core [begin, end)
+        begin = p[run] - unit * UNIT
+        end = begin - UNIT + 1 + LENGTH
+        low, high = np.maximum(a[run], begin - UNIT + 1), np.minimum(z[run], begin)
+        core = np.fromiter((xxhash.xxh64_intdigest(joined[x:y], u) >> 1 for x, y, u in zip(begin.tolist(), end.tolist(), unit.tolist(), strict=True)), np.int64, len(run))
+        own = np.frombuffer(joined, np.uint8)
+        return record_batch(h=h[run], c=c[run], unit=unit, core=core, left=_packed_bytes(own, low, begin - low), right=_packed_bytes(own, end, high + LENGTH - end), n=times[run])
+
     for b in batches:
-        rows: list[tuple] = []
-        for packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            text = unpack.decompress(packed)
-            for r in wanted:
-                at = r["at"]
-                a = at >> 16
-                z, p = a + ((at >> 8) & 255), a + (at & 255)
-                for u in range((p - z) // UNIT, (p - a) // UNIT + 1):
-                    # windows p - u*UNIT - t, t in [0, UNIT), all hold the core [begin, end)
-                    begin, end = p - u * UNIT, p - u * UNIT - UNIT + 1 + LENGTH
-                    low, high = max(a, begin - UNIT + 1), min(z, begin)
-                    rows.append((r["h"], r["c"], u, xxhash.xxh64_intdigest(text[begin:end], u) >> 1, text[low:begin], text[end : high + LENGTH], r["n"]))
-            if len(rows) > 1 << 15:
-                yield record_batch(**{f: pa.array(v, t) for (f, t), v in zip(fields.items(), zip(*rows, strict=True), strict=True)})
-                rows = []
-        if rows:
-            yield record_batch(**{f: pa.array(v, t) for (f, t), v in zip(fields.items(), zip(*rows, strict=True), strict=True)})
+        lists, packed = b.column(1), b.column(0)
+        edges = lists.offsets.to_numpy()
+        edges = edges - edges[0]
+        fields = [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+        texts: list[bytes] = []
+        first, held = 0, 0
+        for i in range(b.num_rows):
+            texts.append(unpack.decompress(packed[i].as_py()))
+            held += len(texts[-1])
+            if held >= UNPACKED or i == b.num_rows - 1:
+                yield cut(texts, np.diff(edges[first : i + 2]), *(x[edges[first] : edges[i + 1]] for x in fields))
+                texts, first, held = [], i + 1, 0
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units as strings: left bytes, minimizer (without its sign), core, right bytes; bytes are below 256."""
+    """Units as strings: left bytes, minimizer (without its sign), core, right bytes; bytes are below 256. The numbers of
+    bytes on both sides go into the string's id."""
+    places = 8 * np.arange(UNIT - 1)
     for b in batches:
-        out = [[*left, (h & ((1 << 62) - 1)) + 256, core + 256 if core < 2**63 - 256 else core, *right] for h, core, left, right in zip(*(b.column(n).to_pylist() for n in ("h", "core", "left", "right")), strict=True)]
-        yield record_batch(sid=b.column("sid"), letters=pa.array(out, pa.list_(pa.int64())))
+        sid, h, core, left, right = (b.column(n).to_numpy() for n in ("sid", "h", "core", "left", "right"))
+        n_left, n_right = left >> 56, right >> 56
+        middle = np.stack([(h & ((1 << 62) - 1)) + 256, np.where(core < 2**63 - 256, core + 256, core)], 1)
+        table = np.concatenate([(left[:, None] >> places) & 255, middle, (right[:, None] >> places) & 255], 1)
+        there = np.concatenate([np.arange(UNIT - 1) < n_left[:, None], np.ones((len(sid), 2), bool), np.arange(UNIT - 1) < n_right[:, None]], 1)
+        offsets = np.concatenate([[0], np.cumsum(n_left + n_right + 2)])
+        yield record_batch(sid=(sid << 8) | (n_left << 4) | n_right, letters=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(table[there])))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes that are whole windows: t bytes left of the core, all of ``UNIT + 1`` letters."""
+    """The suffixes that are whole windows: t bytes left of the core, and the names of their three triples."""
     for b in batches:
-        rows: list[tuple] = []
-        for sid, h, core, left, right, ranks in zip(*(b.column(n).to_pylist() for n in ("sid", "h", "core", "left", "right", "ranks")), strict=True):
-            key = h.to_bytes(8, "little", signed=True) + core.to_bytes(8, "little")
-            for t in range(max(0, UNIT - 1 - len(right)), len(left) + 1):
-                rows.append((sid, t, ranks[len(left) - t], key + left[len(left) - t :] + right[: UNIT - 1 - t] + bytes([t])))
-        sid, t, position, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield record_batch(sid=pa.array(sid, pa.int64()), t=pa.array(t, pa.int32()), position=pa.array(position, pa.int64()), prefix=pa.array(prefix, pa.binary()))
+        sid, lists = b.column("sid").to_numpy(), b.column("ranks")
+        begins = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        names = lists.values.to_numpy()
+        n_left, n_right = (sid >> 4) & 15, sid & 15
+        n = np.maximum(0, np.minimum(n_left, n_left + n_right - UNIT + 1) + 1)
+        row = np.repeat(np.arange(len(sid)), n)
+        begin = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = begins[row] + begin
+        yield record_batch(sid=sid[row] >> 8, t=(n_left[row] - begin).astype(np.int32), a=names[at], b=names[at + 3], c=names[at + 6])
 
 
 def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -260,7 +333,7 @@ def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     several = contexts.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h")
     wanted = contexts.join(several, "h").join(known, "text").groupBy(*DOC).agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("wanted"))
     packed = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_distinct_digests, "doc long, doc2 long, size long, packed binary")
-    units = packed.join(wanted.hint("shuffle_hash"), list(DOC)).select("packed", "wanted").mapInArrow(_units, "h long, c long, unit long, core long, left binary, right binary, n long")
+    units = packed.join(wanted.hint("shuffle_hash"), list(DOC)).select("packed", "wanted").mapInArrow(_units, "h long, c long, unit long, core long, left long, right long, n long")
     units = stored(units, "units")
     # equal units of different runs are one string; a core needs sorting if it has several strings, one of them single;
     # a text that two tasks sent gives its units twice, which changes none of these sums
@@ -268,12 +341,13 @@ def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     strings = stored(units.groupBy("h", "core", "unit", "left", "right").agg((F.max("n") + several_runs).alias("n")).withColumn("sid", F.monotonically_increasing_id()), "unit-strings")
     cores = strings.groupBy("h", "core", "unit").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", "core", "unit")
     sorted_ = stored(strings.join(cores.hint("shuffle_hash"), ["h", "core", "unit"]), "unit-sorted")
-    ranked = suffix_order(sorted_.mapInArrow(_letters, "sid long, letters array<long>"), UNIT + 1)
-    suffixes = sorted_.join(ranked, "sid").select("sid", "h", "core", "left", "right", "ranks").mapInArrow(_windows, "sid long, t int, position long, prefix binary")
-    hits = adjacent(suffixes, "prefix").where("repeated").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, t)")).alias("mask"))
+    # names of triples, then the order of three names: that of the UNIT + 1 letters of a window
+    named = suffix_order(sorted_.mapInArrow(_letters, "sid long, letters array<long>"), 3)
+    suffixes = stored(named.mapInArrow(_windows, "sid long, t int, a long, b long, c long"), "suffix-windows")
+    hits = adjacent(suffixes, ["a", "b", "c"]).where("repeated").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, t)")).alias("mask"))
     every = (1 << UNIT) - 1
     masks = strings.join(hits, "sid", "left").select("h", "core", "unit", "left", "right", F.when(F.col("n") > 1, F.lit(every)).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0")
-    single = units.where("n = 1").join(masks.hint("shuffle_hash"), ["h", "core", "unit", "left", "right"]).groupBy("h", "c").agg(F.collect_list(F.struct("unit", "mask")).alias("masks"))
+    single = units.where("n = 1").join(masks.hint("shuffle_hash"), ["h", "core", "unit", "left", "right"]).groupBy("h", "c").agg(F.collect_list(F.col("unit") * 256 + F.col("mask")).alias("masks"))
     single = single.join(alone, ["h", "c"]).select("text", "at", "masks")
     partly = stored(single.mapInArrow(_starts, "text long, first long, last long"), "unit-windows")
     discard(units, strings, sorted_)
@@ -281,31 +355,39 @@ def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window starts from the masks of a run's units."""
+    """Runs of window starts from the masks of a run's units; a mask is the low byte beside its unit's number."""
     for b in batches:
-        rows: list[tuple[int, int, int]] = []
-        for text, at, masks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            a = at >> 16
-            z, p = a + ((at >> 8) & 255), a + (at & 255)
-            starts = sorted({s for m in masks for t in range(UNIT) if m["mask"] >> t & 1 and a <= (s := p - m["unit"] * UNIT - t) <= z})
-            for s in starts:
-                if rows and rows[-1][0] == text and rows[-1][2] == s - 1:
-                    rows[-1] = (*rows[-1][:2], s)
-                else:
-                    rows.append((text, s, s))
-        text, first, last = zip(*rows, strict=True) if rows else ((), (), ())
-        yield record_batch(**{k: pa.array(v, pa.int64()) for k, v in zip(("text", "first", "last"), (text, first, last), strict=True)})
-
-
-def spans(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal stretches [begin, end) covered by windows whose starts are given as runs."""
-    out: list[list[int]] = []
-    for first, last in sorted(windows):
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + LENGTH)
-        else:
-            out.append([first, last + LENGTH])
-    return [(a, b) for a, b in out]
+        number, place, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+        row = np.repeat(np.arange(len(number)), np.diff(lists.offsets.to_numpy()))
+        masks = lists.flatten().to_numpy()
+        i, t = np.nonzero((masks[:, None] >> np.arange(UNIT)) & 1)
+        row, unit = row[i], masks[i] >> 8
+        a = place[row] >> 16
+        z, s = a + ((place[row] >> 8) & 255), a + (place[row] & 255) - unit * UNIT - t
+        inside = (a <= s) & (s <= z)
+        row, s = row[inside], s[inside]
+        order = np.lexsort((s, row))
+        row, s = row[order], s[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (row[1:] != row[:-1]) | (s[1:] > s[:-1] + 1)
+        first = np.flatnonzero(new)
+        yield record_batch(text=number[row[first]], first=s[first], last=s[np.append(first, len(s))[1:] - 1])
+
+
+def spans(windows: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, begins, ends): for each row the maximal stretches [begin, end) covered by windows, whose starts are given
+    as runs (first in the upper half of a number, last in the lower one); null is none."""
+    n = np.diff(windows.offsets.to_numpy())
+    row, value = np.repeat(np.arange(len(n)), n), windows.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((value, row))
+    row, value = row[order].astype(np.int64), value[order]
+    begin, end = value >> 32, (value & ((1 << 32) - 1)) + LENGTH
+    reach = np.maximum.accumulate((row << 33) + end)
+    new = np.ones(len(row), bool)
+    new[1:] = (row << 33)[1:] + begin[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first, len(row))[1:] - 1
+    return np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(n)))]), begin[first], reach[last] - (row[last] << 33)
 
 
 def whole_characters(text: bytes, own: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -323,7 +405,7 @@ def _with_windows(docs: DataFrame, keep: list[str], id_col: str, text_col: str)
     """The columns to keep, size, packed text and windows of each row with an id."""
     own = docs.where(F.col(id_col).isNotNull())
     # stored first, so that Spark can split the join below where a text has very many copies
-    grouped = stored(repeated_windows(own, text_col).groupBy(*DOC).agg(F.collect_set(F.struct("first", "last")).alias("windows")), "text-windows")
+    grouped = stored(repeated_windows(own, text_col).groupBy(*DOC).agg(F.collect_set(F.shiftleft("first", 32).bitwiseOR(F.col("last"))).alias("windows")), "text-windows")
     columns = [F.col(c).alias(f"keep_{c}") for c in keep]
     fields = "".join(f"`keep_{c}` {dict(docs.dtypes)[c]}, " for c in keep)
     packed = own.select(*columns, F.col(text_col).cast("string").alias("text")).mapInArrow(_digests, f"{fields}doc long, doc2 long, size long, packed binary")
@@ -336,21 +418,25 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            gone, rest, sums = [], [], []
-            for packed, windows in zip(b.column("packed").to_pylist(), b.column("windows").to_pylist(), strict=True):
+            rest, sums = [], []
+            offsets, begins, ends = spans(b.column("windows"))
+            for packed, own in zip(b.column("packed").to_pylist(), _by_row(offsets, begins, ends), strict=True):
                 text = unpack.decompress(packed)
-                own = spans([(w["first"], w["last"]) for w in windows or ()])
-                rest.append(without(text, own))
-                gone.append([{"begin": a, "end": z} for a, z in own])
+                rest.append(without(text, own) if own else text)
                 sums.append(hashlib.sha256(rest[-1]).hexdigest())
-            yield record_batch(
-                id=b.column(0).cast(pa.int64()), n_bytes=b.column("size"), spans=pa.array(gone, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), kept=pa.array(rest, pa.binary()), kept_sha256=pa.array(sums, pa.string())
-            )
+            gone = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(begins), pa.array(ends)], ["begin", "end"]))
+            yield record_batch(id=b.column(0).cast(pa.int64()), n_bytes=b.column("size"), spans=gone, kept=pa.array(rest, pa.binary()), kept_sha256=pa.array(sums, pa.string()))
 
     joined = _with_windows(docs, [id_col], id_col, text_col)
     return joined.mapInArrow(cut, "id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary, kept_sha256 string")
 
 
+def _by_row(offsets: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    own = list(zip(begins.tolist(), ends.tolist(), strict=True))
+    for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield own[a:z]
+
+
 def without(text: bytes, own: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for s in own for x in s), len(text)]
     return b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
@@ -364,9 +450,9 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
             texts = []
-            for packed, windows in zip(b.column("packed").to_pylist(), b.column("windows").to_pylist(), strict=True):
+            for packed, own in zip(b.column("packed").to_pylist(), _by_row(*spans(b.column("windows"))), strict=True):
                 text = unpack.decompress(packed)
-                texts.append(without(text, whole_characters(text, spans([(w["first"], w["last"]) for w in windows or ()]))).decode())
+                texts.append((without(text, whole_characters(text, own)) if own else text).decode())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*b.schema.names[: len(keep)], "cut"])
 
     fields = "".join(f"`keep_{c}` {dict(docs.dtypes)[c]}, " for c in keep)

@@ -1,9 +1,8 @@
-"""Suffix order by the difference-cover algorithm, as Spark sorts.
+"""Suffix order by prefix tripling, as Spark sorts.
 
-``suffix_order`` takes many strings of letters and gives each suffix a position. Positions 1 and 2 modulo 3 are the
-sample: their triples of letters are sorted and named by the number of smaller ones, the names make new strings on
-which the algorithm recurses, and the remaining suffixes, sorted by first letter and rank of the next, are merged in
-by counting. The order is that of the first ``depth`` letters at least; suffixes equal that far lie side by side, and
+``suffix_order`` takes many strings of letters and gives each suffix a position. A round sorts triples and names each
+by the number of smaller ones: first triples of letters, then of names that lie 1, 3, 9 places of what is known apart,
+so that a round orders suffixes by three times as many letters. Suffixes with equal keys lie side by side, and
 ``adjacent`` compares neighbours.
 
 Each step is one range-partitioned sort of narrow rows; what reaches the driver is one row of counts for each
@@ -12,7 +11,8 @@ partition. Strings are pieces of bounded length that the caller cuts; see ``subs
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,14 @@ from vecforge.llm.common import n_partitions, record_batch, stored
 PAST = -1
 
 
-def counts_below(df: DataFrame, keys: Sequence[str], kinds: int = 1) -> DataFrame:
-    """``df`` with n0, n1, ...: for each row, how many rows of that ``kind`` have a smaller key."""
+def counts_below(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with n0 in place of the keys: for each row, how many rows have a smaller key."""
     spark = df.sparkSession
-    fields = ", ".join(f"{n} {t}" for n, t in df.dtypes)
-    names = [f"n{k}" for k in range(kinds)]
+    rest = [n for n in df.columns if n not in keys]
+    fields = ", ".join(f"{n} {t}" for n, t in df.dtypes if n in rest)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        below, seen, last = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64), None
+        below, seen, last = 0, 0, None
         for b in batches:
             n = b.num_rows
             if not n:
@@ -41,130 +41,98 @@ def counts_below(df: DataFrame, keys: Sequence[str], kinds: int = 1) -> DataFram
             new = np.ones(n, bool)
             new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
             new[0] = last is None or any(c[0] != v for c, v in zip(cols, last, strict=True))
-            kind = b.column("kind").to_numpy() if kinds > 1 else np.zeros(n, np.int64)
-            before = np.zeros((n + 1, kinds), np.int64)
-            for k in range(kinds):
-                before[1:, k] = np.cumsum(kind == k)
             begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            out = np.where(begin[:, None] >= 0, seen + before[begin], below)
-            if new.any():
-                below = out[-1].copy()
-            seen = seen + before[-1]
-            last = [c[-1] for c in cols]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(out[:, k]) for k in range(kinds)]], names=[*b.schema.names, *names])
+            out = np.where(begin >= 0, seen + begin, below)
+            below, seen, last = int(out[-1]), seen + n, [c[-1] for c in cols]
+            yield record_batch(**{name: b.column(name) for name in rest}, n0=out)
 
     ranged = df.repartitionByRange(n_partitions(spark), *keys).sortWithinPartitions(*keys)
-    kept = stored(ranged.mapInArrow(count, f"{fields}, {', '.join(f'{n} long' for n in names)}").withColumn("_part", F.spark_partition_id()), "suffix-sorted")
-    total = [F.count("*")] if kinds == 1 else [F.sum((F.col("kind") == k).cast("long")) for k in range(kinds)]
-    sums = sorted(tuple(r) for r in kept.groupBy("_part").agg(*total).collect())
-    at, table = [0] * kinds, []
-    for part, *n in sums:
-        table.append((part, *at))
-        at = [x + y for x, y in zip(at, n, strict=True)]
-    small = spark.createDataFrame(table, "_part int, " + ", ".join(f"_b{k} long" for k in range(kinds)))
-    out = kept.join(F.broadcast(small), "_part")
-    return out.select(*df.columns, *[(F.col(f"n{k}") + F.col(f"_b{k}")).alias(f"n{k}") for k in range(kinds)])
-
-
-def _ahead(flat: np.ndarray, ends: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """The letter ``step`` places after each position, or ``PAST``."""
-    inside = at + step < ends
-    return np.where(inside, flat[np.minimum(at + step, len(flat) - 1)], PAST)
-
-
-def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sid, position in the string, letters, end of the string) for each letter of a batch."""
-    lists = batch.column(column)
-    n = np.array([len(x) for x in lists], np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.repeat(np.cumsum(n), n)
-    position = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(batch.column("sid").to_numpy(), n), position, flat, ends
-
-
-def _triples(sample: bool):
+    kept = stored(ranged.mapInArrow(count, f"{fields}, n0 long").withColumn("_part", F.spark_partition_id()), "suffix-sorted")
+    sums = sorted((r[0], r[1]) for r in kept.groupBy("_part").count().collect())
+    small = spark.createDataFrame(list(zip([p for p, _ in sums], accumulate([n for _, n in sums], initial=0), strict=False)), "_part int, _before long")
+    return kept.join(F.broadcast(small), "_part").select(*rest, (F.col("n0") + F.col("_before")).alias("n0"))
+
+
+def _triples(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each suffix with its letters (or names) at 0, ``step`` and twice ``step`` places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, position, flat, ends = _flat(b, "letters")
-            at = np.flatnonzero(position % 3 != 0) if sample else np.arange(len(flat))
-            yield record_batch(sid=sid[at], j=position[at].astype(np.int32), a=flat[at], b=_ahead(flat, ends[at], at, 1), c=_ahead(flat, ends[at], at, 2))
+            lists = b.column("letters")
+            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at, ends = np.arange(len(flat)), np.repeat(np.cumsum(n), n)
+            b_, c = (np.where(at + k < ends, flat[np.minimum(at + k, len(flat) - 1)], PAST) if len(flat) else flat for k in (step, 2 * step))
+            yield record_batch(sid=np.repeat(b.column("sid").to_numpy(), n), j=(at - (ends - np.repeat(n, n))).astype(np.int32), a=flat, b=b_, c=c)
 
     return run
 
 
-def _in_order(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """One array for each key, in the order of ``j``."""
-    pairs = F.sort_array(F.collect_list(F.struct("j", F.col(value).alias("v"))))
-    return rows.groupBy(key).agg(F.transform(pairs, lambda p: p["v"]).alias(name))
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One array for each sid, of rows that are sorted by it; a string may reach over batches."""
+    held: list[pa.RecordBatch] = []
 
+    def lists(sid: np.ndarray, n: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
+        return record_batch(sid=sid[begins], letters=pa.ListArray.from_arrays(pa.array(np.append(begins, len(sid)), pa.int32()), pa.array(n)))
 
-def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys for the merge: class 0 against 1 by (letter, next rank), class 0 against 2 by (letter, letter, rank)."""
     for b in batches:
-        sid, position, flat, ends = _flat(b, "letters")
-        r1, r2 = b.column("r1").to_pylist(), b.column("r2").to_pylist()
-        ranks = np.full(len(flat), PAST, np.int64)
-        cls = position % 3
-        ranks[cls == 1] = [v for x in r1 for v in (x or ())]
-        ranks[cls == 2] = [v for x in r2 for v in (x or ())]
-        every = np.arange(len(flat))
-        first, second = _ahead(ranks, ends, every, 1), _ahead(ranks, ends, every, 2)
-        letter2 = _ahead(flat, ends, every, 1)
-        for kind, rest in ((1, np.stack([first, np.full(len(flat), PAST)])), (2, np.stack([letter2, second]))):
-            at = np.flatnonzero((cls == 0) | (cls == kind))
-            yield record_batch(
-                sid=sid[at], j=position[at].astype(np.int32), own=ranks[at], kind=(cls[at] != 0).astype(np.int64), against=np.full(len(at), kind, np.int32), x=flat[at], y=rest[0][at], z=rest[1][at]
-            )
+        sid = b.column("sid").to_numpy()
+        if not len(sid):
+            continue
+        if sid[0] == sid[-1]:
+            if held and held[-1].column("sid")[-1].as_py() != sid[0]:
+                yield lists(*_joined(held))
+                held = []
+            held.append(b)
+            continue
+        cut = int(np.searchsorted(sid, sid[-1]))
+        yield lists(*_joined([*held, b.slice(0, cut)]))
+        held = [b.slice(cut)]
+    if held:
+        yield lists(*_joined(held))
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sid, n = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("sid", "n0"))
+    return sid, n, np.concatenate([[0], np.flatnonzero(sid[1:] != sid[:-1]) + 1])
 
 
 def suffix_order(strings: DataFrame, depth: int) -> DataFrame:
-    """(sid, ranks): for each string (sid long, letters array<long>), the number of smaller suffixes by position."""
-    strings = stored(strings.select("sid", "letters"), "suffix-strings")
-    if depth <= 3:
-        rows = stored(strings.mapInArrow(_triples(False), "sid long, j int, a long, b long, c long"), "suffix-triples")
-        return _in_order(counts_below(rows, ["a", "b", "c"]), "sid", "n0", "ranks")
-    rows = stored(strings.mapInArrow(_triples(True), "sid long, j int, a long, b long, c long"), "suffix-triples")
-    named = counts_below(rows, ["a", "b", "c"]).select((F.col("sid") * 2 + F.col("j") % 3 - 1).alias("sid"), "j", "n0")
-    deeper = suffix_order(_in_order(named, "sid", "n0", "letters"), -(-depth // 3))
-    sampled = deeper.select(F.floor(F.col("sid") / 2).alias("sid"), (F.col("sid") % 2).alias("cls"), "ranks")
-    sides = sampled.groupBy("sid").agg(F.max(F.when(F.col("cls") == 0, F.col("ranks"))).alias("r1"), F.max(F.when(F.col("cls") == 1, F.col("ranks"))).alias("r2"))
-    whole = strings.join(sides, "sid", "left")
-    keyed = stored(whole.mapInArrow(_remaining, "sid long, j int, own long, kind long, against int, x long, y long, z long"), "suffix-remaining")
-    columns = ["sid", "j", "own", "kind", "x", "y", "z"]
-    with1, with2 = (counts_below(keyed.where(F.col("against") == k).select(*columns), ["x", "y", "z"], 2) for k in (1, 2))
-    # a remaining suffix adds up the smaller ones of all classes, a sampled one the smaller remaining ones
-    part1 = with1.select("sid", "j", F.when(F.col("kind") == 0, F.col("n0") + F.col("n1")).otherwise(F.col("own") + F.col("n0")).alias("n"))
-    part2 = with2.select("sid", "j", F.when(F.col("kind") == 0, F.col("n1")).otherwise(F.col("own") + F.col("n0")).alias("n"))
-    merged = part1.union(part2).groupBy("sid", "j").agg(F.sum("n").alias("n"))
-    return _in_order(merged, "sid", "n", "ranks")
-
-
-def adjacent(suffixes: DataFrame, prefix: str) -> DataFrame:
-    """``suffixes`` (with the column ``position``) and ``repeated``: does a neighbour in the order have the same prefix?"""
-    spark = suffixes.sparkSession
-    fields = ", ".join(f"{n} {t}" for n, t in suffixes.dtypes)
+    """(sid, ranks): for each string (sid long, letters array<long>), the number of smaller suffixes by position; suffixes
+    are compared by ``depth`` letters at least."""
+    step, strings = 1, stored(strings.select("sid", "letters"), "suffix-strings")
+    while True:
+        rows = stored(strings.mapInArrow(_triples(step), "sid long, j int, a long, b long, c long"), "suffix-triples")
+        named = counts_below(rows, ["a", "b", "c"])
+        ordered = named.repartition("sid").sortWithinPartitions("sid", "j").select("sid", "n0")
+        # stored, so that a task runs one Python worker and not two in a row
+        strings = stored(ordered.mapInArrow(_arrays, "sid long, letters array<long>"), "suffix-names")
+        step *= 3
+        if step >= depth:
+            return strings.withColumnRenamed("letters", "ranks")
+
+
+def adjacent(suffixes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``suffixes`` without the keys and with ``repeated``: does a neighbour in their order have equal keys?
+
+    Rows with equal keys share a range partition."""
+    rest = [n for n in suffixes.columns if n not in keys]
+    fields = ", ".join(f"{n} {t}" for n, t in suffixes.dtypes if n in rest)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, carried = None, False
         for b in batches:
-            if held is not None:
-                b = pa.concat_batches([held, b])
             if not b.num_rows:
                 continue
-            p = b.column(prefix).to_numpy(zero_copy_only=False)
-            same = p[1:] == p[:-1]
+            if held is not None:
+                b = pa.concat_batches([held, b])
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            same = np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
             flag = np.concatenate([[carried], same]) | np.concatenate([same, [False]])
             held, carried = b.slice(b.num_rows - 1), bool(same[-1]) if len(same) else carried
-            if b.num_rows > 1:
-                yield pa.RecordBatch.from_arrays([*(c.slice(0, b.num_rows - 1) for c in b.columns), pa.array(flag[:-1])], names=[*b.schema.names, "repeated"])
-        if held is not None and held.num_rows:
-            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([carried])], names=[*held.schema.names, "repeated"])
-
-    ranged = suffixes.repartitionByRange(n_partitions(spark), "position").sortWithinPartitions("position", prefix)
-    kept = stored(ranged.mapInArrow(compare, f"{fields}, repeated boolean").withColumn("_part", F.spark_partition_id()), "suffix-adjacent")
-    ends = kept.groupBy("_part").agg(*[f(F.struct("position", prefix)) for f in (F.min, F.max)]).collect()
-    ends = sorted((r[0], r[1][0], bytes(r[1][1]), r[2][0], bytes(r[2][1])) for r in ends)
-    joined = {p for (_, _, _, _, p), (_, _, q, _, _) in zip(ends, ends[1:], strict=False) if p == q}
-    if not joined:
-        return kept.drop("_part")
-    return kept.withColumn("repeated", F.col("repeated") | F.col(prefix).isin([F.lit(bytearray(p)) for p in joined])).drop("_part")
+            yield record_batch(**{n: b.column(n).slice(0, b.num_rows - 1) for n in rest}, repeated=flag[:-1])
+        if held is not None:
+            yield record_batch(**{n: held.column(n) for n in rest}, repeated=np.array([carried]))
+
+    ranged = suffixes.repartitionByRange(n_partitions(suffixes.sparkSession), *keys).sortWithinPartitions(*keys)
+    return ranged.mapInArrow(compare, f"{fields}, repeated boolean")
