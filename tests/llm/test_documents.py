@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import crc, documents, empty, prose, rows
 from vecforge.llm import mixing, packing, quality, repair, sharding, simhash, substring_dedup, suffix_array, tokens, toxicity
-from vecforge.llm.common import connected_components, with_position
+from vecforge.llm.common import connected_components, record_batch, stored, with_position
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 OWN = [r for r in rows() if r[0] is not None]
@@ -443,3 +443,13 @@ def test_spans_of_a_batch():
     windows = pa.array([[(3 << 32) | 5, 0, (205 << 32) | 205], None, [], [(7 << 32) | 7]], pa.list_(pa.int64()))
     offsets, begins, ends = substring_dedup.spans(windows)
     assert offsets.tolist() == [0, 1, 1, 1, 2] and begins.tolist() == [0, 7] and ends.tolist() == [405, 207]
+
+
+def test_batches_of_long_texts_are_small(spark):
+    def sizes(batches):
+        for b in batches:
+            yield record_batch(n=pa.array([b.nbytes], pa.int64()))
+
+    long = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("text"))
+    seen = [r.n for r in stored(long.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert len(seen) > 4 and max(seen) < 3 << 20

@@ -22,7 +22,7 @@ _LOCAL: list[str] = []
 #: Where the tables that ``stored`` gave are kept.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: While a table is written: its shuffle files go when it is done, and Python workers get small batches of long rows.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
