@@ -453,3 +453,14 @@ def test_batches_of_long_texts_are_small(spark):
     long = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("text"))
     seen = [r.n for r in stored(long.mapInArrow(sizes, "n long"), "sizes").collect()]
     assert len(seen) > 4 and max(seen) < 3 << 20
+
+
+def test_plain_words_are_taken_apart_by_arrow(monkeypatch):
+    """Only pieces that are no ASCII word with punctuation are taken apart one by one."""
+    alone = []
+    plain = tokens.Encoder._words
+    monkeypatch.setattr(tokens.Encoder, "_words", lambda self, new, atoms: alone.extend(new) or plain(self, new, atoms))
+    texts = ["Word word, WORD... don't a\nb été x1 (y) !", "word! Word,", ""]
+    got = [ids.tolist() for ids in tokens.Encoder(WORD, False).encode(texts)]
+    assert got == [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    assert set(alone) == {"don't", "a\nb", "été", "x1", "(y)", "!", ""}

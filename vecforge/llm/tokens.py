@@ -31,6 +31,8 @@ _NEXT = re.compile(r" \S")
 #: Latin letters below U+0250, but for one whose small form is two characters, then ASCII punctuation.
 _LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130")
 _WORD = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+#: The same of ASCII letters on one line, for Arrow.
+_ASCII_WORD_RE2 = r"\A(?P<word>[A-Za-z]+)(?P<after>[!-/:-@\[-`{-~]*)\z"
 #: Byte-level vocabularies write each byte as one visible character: unprintable ones follow from U+0100 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _VISIBLE = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
@@ -113,7 +115,7 @@ class Encoder:
         if not new:
             return
         atoms = _Atoms(self.model.tokenize, len(self.lengths))
-        parts, sizes = self._words(new, atoms)
+        parts, sizes = self._words(new, atoms) if self.keep_blank else self._plain_words(new, atoms)
         size, at = np.array(sizes, np.int64), np.array(parts, np.int64)
         first = np.cumsum(size) - size
         n = np.array(atoms.sizes, np.int64)
@@ -137,6 +139,26 @@ class Encoder:
         self.starts, self.lengths = np.concatenate([self.starts, own_starts]), np.concatenate([self.lengths, own_lengths])
         self.flat = np.concatenate(flat)
 
+    def _plain_words(self, new: list[str], atoms: _Atoms) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_words``: Arrow takes ASCII words from their punctuation and makes both distinct; other pieces go one by one."""
+        found = pc.extract_regex(pa.array(new, pa.large_string()), _ASCII_WORD_RE2)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        top, known = len(self.lengths), self.spaced
+        words, after = (found.filter(pa.array(plain)).field(i).dictionary_encode() for i in (0, 1))
+        lower = pc.ascii_lower(words.dictionary).to_pylist()
+        word = np.array([n if (n := known.get(w, top)) < top else atoms[w] for w in lower], np.int64)[words.indices.to_numpy()]
+        mark = np.array([atoms[a] if a else -1 for a in after.dictionary.to_pylist()], np.int64)[after.indices.to_numpy()]
+        odd = np.flatnonzero(~plain)
+        parts, n = self._words([new[i] for i in odd.tolist()], atoms)
+        sizes = np.zeros(len(new), np.int64)
+        sizes[plain], sizes[odd] = 1 + (mark >= 0), n
+        starts, out = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), np.int64)
+        at = starts[plain]
+        out[at], out[at[mark >= 0] + 1] = word, mark[mark >= 0]
+        n = sizes[odd]
+        out[np.arange(len(parts)) + np.repeat(starts[odd] - (np.cumsum(n) - n), n)] = parts
+        return out, sizes
+
     def _words(self, new: list[str], atoms: _Atoms) -> tuple[list[int], list[int]]:
         """(numbers of the parts of all pieces, number of parts of each) of pieces made of Latin words, each with
         punctuation after it or none, on lines of their own; other pieces have no parts.
