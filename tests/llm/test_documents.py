@@ -420,7 +420,7 @@ def test_words_share_their_parts(name, keep):
 
 
 def test_suffix_sort_takes_few_passes(spark, monkeypatch):
-    """Nine letters are two rounds of one sort each; the difference cover took five."""
+    """Nine letters are two rounds of one sort each; the difference cover took four."""
     sorts = []
     plain = suffix_array.counts_below
     monkeypatch.setattr(suffix_array, "counts_below", lambda *a, **k: sorts.append(1) or plain(*a, **k))
