@@ -4,12 +4,15 @@ import math
 import struct
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vecforge.operators import cache, pooling, stats, text
 from vecforge.operators.codec import d4
+from vecforge.plans.oracle import oracle_sql
+from vecforge.plans.queries import queries
 from vecforge.sources import tables
 from vecforge.streaming import cache as streaming
 
@@ -140,6 +143,23 @@ def test_streams_of_hidden_states(spark):
         pooling.check_length(3, 4)
 
 
+def test_streams_of_a_long_sequence_equal_their_sql(spark, sf, tmp_path):
+    """Positions past 65,536: the query slowed its frequencies from there on, its SQL does not."""
+    first = tables.table(spark, sf, "embeddings").where("vec_id < 256")
+    first.withColumn("vec_id", F.col("vec_id") + 131_072).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r)[:3]: r.value for r in queries()["three_streams"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert len(got) == (256 + 64 + 2) * 128 and got == {r[:3]: r[3] for r in con.sql(oracle_sql()["three_streams"]).fetchall()}
+
+
+def test_frequencies_to_the_last_digit():
+    """Four of these were a last digit off as a power of a whole array: rows of long sequences were rounded otherwise."""
+    assert pooling.frequencies(64, 10_000.0) == [10_000.0 ** (-i / 32) for i in range(32)]
+    assert pooling.frequencies(64, 10_000.0, 2048, 0, 16.0) == pooling.frequencies(64, 10_000.0)
+    assert pooling.frequencies(64, 10_000.0, 2048, 1024, 16.0)[31] == pytest.approx(10_000.0 ** (-31 / 32) / 16)
+
+
 def test_rotary_inverse(spark):
     freqs = pooling.frequencies(8, 10_000.0)
     x = np.random.default_rng(6).normal(size=16)

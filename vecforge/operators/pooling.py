@@ -186,9 +186,10 @@ def rms_norm(vec: Column, dims: int, weight: Column | None = None, eps: float =
 def frequencies(dims: int, base: float, length: int = 0, trained: int = 0, stretch: float = 1.0, turns: tuple[int, int] = (32, 1)) -> list[float]:
     """Rotary frequencies of ``dims / 2`` pairs. For sequences longer than the trained length, pairs that make few turns
     over it are slowed by ``stretch``: none up to the pair of ``turns[0]`` turns, all from that of ``turns[1]`` on,
-    evenly more between."""
+    evenly more between. A trained length of 0 slows none."""
     pairs = np.arange(dims // 2)
-    plain = base ** (-2.0 * pairs / dims)
+    # one power at a time: those of whole arrays can be a last digit off, and far positions multiply it
+    plain = np.array([base ** (-2.0 * i / dims) for i in range(dims // 2)])
     if length <= trained or not trained:
         return plain.tolist()
     fast, slow = (dims / 2 * math.log(trained / (2 * math.pi * t), base) for t in turns)
