@@ -429,6 +429,25 @@ def test_suffix_sort_takes_few_passes(spark, monkeypatch):
     assert len(sorts) == 2
 
 
+def test_the_suffix_sort_decides_every_repeat(spark, monkeypatch):
+    """Copies of a text, repeated runs and windows of runs that differ: nothing is marked that the sort has not found.
+    Counts of texts and runs marked most of it before."""
+    base, kinds = prose(21, 200), collections.Counter()
+    texts = [base, base, base[:700] + prose(22, 40), base[:300] + "#" + base[301:], prose(23, 90)]
+    docs = documents(spark, [(i, t, "en", "s", 1, *"abcdef") for i, t in enumerate(texts)]).repartition(2)
+    plain = substring_dedup.adjacent
+    monkeypatch.setattr(substring_dedup, "adjacent", lambda *a: plain(*a).withColumns({"repeated": F.lit(False), "more": F.lit(False)}))
+    assert substring_dedup.repeated_windows(docs).count() == 0
+
+    def counted(*a):
+        for r in plain(*a).where("repeated or more").selectExpr("sid % 4 kind").groupBy("kind").count().collect():
+            kinds[r.kind] += r["count"]
+        return plain(*a)
+
+    monkeypatch.setattr(substring_dedup, "adjacent", counted)
+    assert cut(docs) == [(i, *w) for i, w in enumerate(brute_cut([t.encode() for t in texts]))] and all(kinds[k] > 0 for k in range(3))
+
+
 def test_runs_of_joined_texts():
     """Texts searched in one block have the runs that each has by itself."""
     texts = [prose(i, 60 + 40 * i).encode() for i in range(4)] + [b"ab" * 200, b"x" * 200]

@@ -6,16 +6,20 @@ losing any repeat:
 1. Each window of ``LENGTH`` bytes has a minimizer: the ``K``-byte stretch in it with the smallest hash, leftmost on
    ties. Equal windows have equal minimizers at equal offsets. Neighbouring windows with one minimizer are a run; a
    run whose minimizer occurs once is unique.
-2. Runs with equal text are one row with a count. If a minimizer has just one such text, its count decides.
-3. Runs of a minimizer with several texts are cut into units of ``UNIT`` windows at fixed offsets from the minimizer.
-   The windows of a unit share a core of ``LENGTH - UNIT + 1`` bytes; a core within one text only is unique.
-4. The remaining units become strings of letters, left bytes, minimizer, core, right bytes, so that a window is
-   ``UNIT + 1`` letters. Their suffixes are sorted by the prefix tripling of ``suffix_array``: by the names of triples,
-   then by three names, and windows with an equal neighbour in that order occur elsewhere.
-
-Skew: copies of one text within a task are sent once with a count; counting is pre-aggregated; joins on minimizers
-are ordinary joins that Spark splits when a key is hot. Documents are known by a 128-bit digest and their length, runs
-by two 64-bit hashes, cores by 63 bits beside their minimizer; equality by them is taken for equality of the text.
+2. The runs that are left, and whole texts, are strings of two names; equal ones of a task are one string with a
+   count. Their windows repeat if the suffix from the first name does: where a suffix repeats for L bytes, the one i
+   bytes further on repeats for L - i.
+3. Runs with a text of their own whose minimizer has other texts are cut, with these, into units of ``UNIT`` windows at
+   fixed offsets from the minimizer. The windows of a unit share a core of ``LENGTH - UNIT + 1`` bytes; a core that
+   occurs once is unique. Units are strings of letters, left bytes, minimizer, core, right bytes, so that a window is
+   ``UNIT + 1`` letters; if a core has just one string, its two names are enough.
+4. The suffixes of all these strings are sorted by the prefix tripling of ``suffix_array``: by the names of triples,
+   then by three names. What occurs elsewhere has an equal neighbour in that order, or a count; nothing else marks it.
+
+Skew: copies of one text or run within a task are sent once with a count, so that a hot one has a row for each task;
+counting is pre-aggregated; joins on minimizers are ordinary joins that Spark splits when a key is hot. Documents are
+known by a 128-bit digest and their length, runs by two 64-bit hashes, cores by 63 bits beside their minimizer (the sort
+takes 62 bits of a first name and 63 of a second); equality by them is taken for equality of the text.
 
 Defined results: a null text counts as empty; a text shorter than ``LENGTH`` loses nothing; rows with a null id are
 left out; repeated rows are copies of each other; other columns are ignored; an empty table gives an empty result.
@@ -50,6 +54,9 @@ BATCH = 1 << 16
 UNPACKED = 1 << 21
 #: What a text is known by: a digest and its bytes.
 DOC = ("doc", "doc2", "size")
+#: Kinds of strings that are sorted, and flags in a string's id: it comes more than once, it is two names.
+_TEXTS, _RUNS, _UNITS = range(3)
+_MORE, _WHOLE = 8, 128
 _FACTOR = 0x9E3779B1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -281,31 +288,35 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units as strings: left bytes, minimizer (without its sign), core, right bytes; bytes are below 256. The numbers of
-    bytes on both sides go into the string's id."""
+    """Units as strings: left bytes, minimizer (without its sign), core, right bytes; bytes are below 256. A string that
+    is not ``fine`` is its two names. The numbers of bytes on both sides and both flags go into the string's id."""
     places = 8 * np.arange(UNIT - 1)
     for b in batches:
         sid, h, core, left, right = (b.column(n).to_numpy() for n in ("sid", "h", "core", "left", "right"))
-        n_left, n_right = left >> 56, right >> 56
+        more, fine = (b.column(n).to_numpy(zero_copy_only=False) for n in ("more", "fine"))
+        n_left, n_right = np.where(fine, left >> 56, 0), np.where(fine, right >> 56, 0)
         middle = np.stack([(h & ((1 << 62) - 1)) + 256, np.where(core < 2**63 - 256, core + 256, core)], 1)
         table = np.concatenate([(left[:, None] >> places) & 255, middle, (right[:, None] >> places) & 255], 1)
         there = np.concatenate([np.arange(UNIT - 1) < n_left[:, None], np.ones((len(sid), 2), bool), np.arange(UNIT - 1) < n_right[:, None]], 1)
         offsets = np.concatenate([[0], np.cumsum(n_left + n_right + 2)])
-        yield record_batch(sid=(sid << 8) | (n_left << 4) | n_right, letters=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(table[there])))
+        flags = np.where(fine, 0, _WHOLE) | np.where(more, _MORE, 0)
+        yield record_batch(sid=(sid << 8) | (n_left << 4) | n_right | flags, letters=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(table[there])))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes that are whole windows: t bytes left of the core, and the names of their three triples."""
+    """The suffixes that are whole windows: t bytes left of the core, and the names of their three triples. Of two names,
+    the suffix from the first one."""
     for b in batches:
         sid, lists = b.column("sid").to_numpy(), b.column("ranks")
         begins = lists.offsets.to_numpy()[:-1].astype(np.int64)
         names = lists.values.to_numpy()
-        n_left, n_right = (sid >> 4) & 15, sid & 15
-        n = np.maximum(0, np.minimum(n_left, n_left + n_right - UNIT + 1) + 1)
+        n_left, n_right, fine = (sid >> 4) & 7, sid & 7, sid & _WHOLE == 0
+        n = np.where(fine, np.maximum(0, np.minimum(n_left, n_left + n_right - UNIT + 1) + 1), 1)
         row = np.repeat(np.arange(len(sid)), n)
         begin = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = begins[row] + begin
-        yield record_batch(sid=sid[row] >> 8, t=(n_left[row] - begin).astype(np.int32), a=names[at], b=names[at + 3], c=names[at + 6])
+        second, third = (np.where(fine[row], names[np.minimum(at + i, len(names) - 1)] if len(names) else at, -1) for i in (3, 6))
+        yield record_batch(sid=sid[row] >> 8, t=(n_left[row] - begin).astype(np.int32), more=sid[row] & _MORE > 0, a=names[at], b=second, c=third)
 
 
 def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -316,42 +327,54 @@ def repeated_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     seen = texts.mapInArrow(_found, "h long, c long, text long, at long, doc long, doc2 long, size long, copies long")
     # a text's number is made unique by its task's number
     seen = stored(seen.withColumn("text", F.col("text") + F.shiftleft(F.spark_partition_id().cast("long"), 40)), "runs")
-    known = stored(seen.where("doc is not null").select("text", *DOC, "copies"), "texts")
-    # texts with copies repeat from end to end; so do those that two tasks saw, as their runs then count twice
-    copied = known.where("copies > 1").select("text", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"))
+    known = stored(seen.where("doc is not null").select("text", *DOC, "copies").withColumn("sid", F.monotonically_increasing_id()), "texts")
     own = seen.where("h is not null").select("h", "c", "text", "at")
     # stored first, so that the join below has a shuffle of its own on either side and Spark can split a hot key
     minimizers = stored(own.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "minimizers")
     again = stored(own.join(minimizers.hint("shuffle_hash"), "h"), "runs-again")
     discard(seen)
-    contexts = stored(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("at").alias("at")), "contexts")
-    alone = contexts.where("n = 1")  # its minimizer has other texts
-    ends = (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("last")
-    whole = stored(again.join(alone.select("h", "c").hint("shuffle_hash"), ["h", "c"], "left_anti").select("text", F.shiftright("at", 16).alias("first"), ends), "repeated-runs")
-    discard(again)
+    # equal runs of a task are one string, so a hot run has a row for each task
+    grouped = again.groupBy("h", "c", F.shiftright("text", 40).alias("task")).agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("at").alias("at"))
+    run_strings = stored(grouped.drop("task").withColumn("sid", F.monotonically_increasing_id()), "run-strings")
+    contexts = stored(run_strings.groupBy("h", "c").agg(F.sum("n").alias("n"), F.first("text").alias("text"), F.first("at").alias("at")), "contexts")
     # minimizers with several texts, at least one of them single
     several = contexts.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h")
     wanted = contexts.join(several, "h").join(known, "text").groupBy(*DOC).agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("wanted"))
     packed = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_distinct_digests, "doc long, doc2 long, size long, packed binary")
     units = packed.join(wanted.hint("shuffle_hash"), list(DOC)).select("packed", "wanted").mapInArrow(_units, "h long, c long, unit long, core long, left long, right long, n long")
     units = stored(units, "units")
-    # equal units of different runs are one string; a core needs sorting if it has several strings, one of them single;
-    # a text that two tasks sent gives its units twice, which changes none of these sums
+    # equal units of different runs are one string; a text that two tasks sent gives its units twice, which changes none
+    # of these sums
     several_runs = (F.min("c") < F.max("c")).cast("long")
-    strings = stored(units.groupBy("h", "core", "unit", "left", "right").agg((F.max("n") + several_runs).alias("n")).withColumn("sid", F.monotonically_increasing_id()), "unit-strings")
-    cores = strings.groupBy("h", "core", "unit").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", "core", "unit")
-    sorted_ = stored(strings.join(cores.hint("shuffle_hash"), ["h", "core", "unit"]), "unit-sorted")
-    # names of triples, then the order of three names: that of the UNIT + 1 letters of a window
+    strings = stored(units.groupBy("h", "core", "unit", "left", "right").agg((F.max("n") + several_runs).alias("n"), (F.min("n") == 1).alias("single")).withColumn("sid", F.monotonically_increasing_id()), "unit-strings")
+    # a core of single runs that has one string, once, is unique; bytes matter where it has several strings
+    cores = strings.groupBy("h", "core", "unit").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.bool_or("single").alias("open")).where("open and (k > 1 or least > 1)").select("h", "core", "unit", (F.col("k") > 1).alias("fine"))
+    unit_strings = stored(strings.join(cores.hint("shuffle_hash"), ["h", "core", "unit"]), "unit-sorted")
+    # texts, runs and units share one sort; names of triples, then the order of three names: that of the UNIT + 1 letters
+    # of a window
+    more = (F.col("n") > 1).alias("more")
+    sorted_ = _two_names(known, _TEXTS, "doc", "doc2", "copies").union(_two_names(run_strings, _RUNS, "h", "c", "n"))
+    sorted_ = sorted_.union(unit_strings.select((F.col("sid") * 4 + _UNITS).alias("sid"), "h", "core", "left", "right", more, "fine"))
     named = suffix_order(sorted_.mapInArrow(_letters, "sid long, letters array<long>"), 3)
-    suffixes = stored(named.mapInArrow(_windows, "sid long, t int, a long, b long, c long"), "suffix-windows")
-    hits = adjacent(suffixes, ["a", "b", "c"]).where("repeated").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, t)")).alias("mask"))
-    every = (1 << UNIT) - 1
-    masks = strings.join(hits, "sid", "left").select("h", "core", "unit", "left", "right", F.when(F.col("n") > 1, F.lit(every)).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0")
+    suffixes = stored(named.mapInArrow(_windows, "sid long, t int, more boolean, a long, b long, c long"), "suffix-windows")
+    found = adjacent(suffixes, ["a", "b", "c"]).where("repeated or more").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, t)")).alias("mask"))
+    hits = stored(found.select((F.col("sid") % 4).alias("kind"), F.shiftright("sid", 2).alias("sid"), "mask"), "hits")
+    copied = known.join(hits.where(F.col("kind") == _TEXTS), "sid").select("text", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"))
+    ends = (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("last")
+    repeated = run_strings.join(hits.where(F.col("kind") == _RUNS), "sid").select("h", "c").distinct()
+    whole = stored(again.join(stored(repeated, "run-hits").hint("shuffle_hash"), ["h", "c"]).select("text", F.shiftright("at", 16).alias("first"), ends), "repeated-runs")
+    masks = unit_strings.join(hits.where(F.col("kind") == _UNITS), "sid").select("h", "core", "unit", "left", "right", F.when(F.col("fine"), F.col("mask")).otherwise(F.lit((1 << UNIT) - 1)).alias("mask"))
     single = units.where("n = 1").join(masks.hint("shuffle_hash"), ["h", "core", "unit", "left", "right"]).groupBy("h", "c").agg(F.collect_list(F.col("unit") * 256 + F.col("mask")).alias("masks"))
-    single = single.join(alone, ["h", "c"]).select("text", "at", "masks")
+    single = single.join(contexts.where("n = 1"), ["h", "c"]).select("text", "at", "masks")
     partly = stored(single.mapInArrow(_starts, "text long, first long, last long"), "unit-windows")
-    discard(units, strings, sorted_)
-    return copied.union(whole).union(partly).join(known, "text").select(*DOC, "first", "last")
+    discard(again, run_strings, units, strings, unit_strings)
+    return copied.union(whole).union(partly).join(known.drop("sid"), "text").select(*DOC, "first", "last")
+
+
+def _two_names(df: DataFrame, kind: int, first: str, second: str, n: str) -> DataFrame:
+    """Texts or runs as strings of two names: all their windows repeat if the first suffix does."""
+    none = F.lit(0).cast("long")
+    return df.select((F.col("sid") * 4 + kind).alias("sid"), F.col(first).alias("h"), F.shiftrightunsigned(second, 1).alias("core"), none.alias("left"), none.alias("right"), (F.col(n) > 1).alias("more"), F.lit(False).alias("fine"))
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
